@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, langid, packing, rules, shards, warc
+from . import bpe, exact_dedup, langid, lbl, near_dup, packing, rules, shards, warc
 from .common import crc_mod
 
 
@@ -14,6 +14,18 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = crc_mod("doc_id", 7) == 2
+    counts, words, model = lbl.fit(docs.filter(~held_out))
+    extra = {"doc_id": F.col("doc_id"), "held_out": held_out}
+    return lbl.score(docs, counts, words, model, extra=extra).drop("rid")
+
+
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.join(_table(spark, sf_dir, "documents")).drop("rid")
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = shards.assign(_table(spark, sf_dir, "documents"), 16)
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -47,6 +59,8 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_lm_scoring": op1_lm_scoring,
+    "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_sharding": op3_sharding,
     "op4_language_id": op4_language_id,
     "op5_exact_dedup": op5_exact_dedup,
