@@ -1,19 +1,63 @@
-"""Cleans and packs documents: STAGES in order, each reading what the one before wrote."""
+"""Cleans and packs documents: STAGES in order, each reading what the one before wrote.
+
+A stage takes (spark, docs, sf_dir); docs is a table just read, so a scan of
+it gives the same rows in the same order each time. All but the last return
+the columns of documents.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tracelake.llm import exact_dedup, langid, near_dup, packing, rules
+from tracelake.llm.common import row_id, staged
+
+#: A text whose best language has a smaller share of the corrected hits than this many even shares is rejected.
+LEAST_LANGUAGE = 1.2
+
+
+def without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
+    """docs without the rows whose number (column rid) is rejected."""
+    gone = staged(rejected.select(F.col("rid").alias("__rid")), "rejected")
+    return docs.select("*", row_id().alias("__rid")).join(gone, "__rid", "left_anti").select(*docs.columns)
+
 
-from tracelake.llm import exact_dedup
-from tracelake.llm.common import staged
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents without a letter and those in which no learned language stands out."""
+    known = langid.learn(docs)
+    least = LEAST_LANGUAGE / max(1, len(known.languages)) if len(known.languages) > 1 else 0.0
+    found = langid.identify(docs, known)
+    return without(docs, found.filter((F.col("lang_pred") == langid.UNKNOWN) | (F.col("score") < least)))
+
+
+def passes_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return without(docs, rules.judge(docs, labels).filter(~F.col("kept")))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.keep_first_copies(docs)
 
 
-STAGES = [("exact dedup", drop_copies)]
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_dup.keep_one(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+
+
+STAGES = [
+    ("language ID", known_language),
+    ("quality rules", passes_rules),
+    ("exact dedup", drop_copies),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("packing", pack),
+]
 
+#: The stages learn models and compare sets of shingles, which SQL can't express.
 ORACLE_SQL = None
 
 

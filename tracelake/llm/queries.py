@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, langid, lbl, near_dup, packing, rules, shards, warc
+from . import bpe, exact_dedup, langid, lbl, near_dup, packing, rules, shards, warc, weak
 from .common import crc_mod
 
 
@@ -42,6 +42,10 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weak.classify(_table(spark, sf_dir, "documents")).drop("rid")
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
@@ -64,6 +68,7 @@ QUERIES = {
     "op3_sharding": op3_sharding,
     "op4_language_id": op4_language_id,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_quality_classifier": op6_quality_classifier,
     "op7_packing": op7_packing,
     "op8_warc": op8_warc,
     "op9_quality_rules": op9_quality_rules,
