@@ -14,6 +14,7 @@ ordinary text; repeated rows are encoded alike; other columns are ignored.
 from __future__ import annotations
 
 import base64
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -24,8 +25,8 @@ from pyspark.sql import functions as F
 
 from .common import column
 
-#: Entries that a worker's caches hold; a full cache is emptied.
-CACHE = 300_000
+#: Words that one generation of a worker's cache holds; pairs have four times as many entries.
+CACHE = 500_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -33,13 +34,20 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
+_MARKS = frozenset(".,;:!?")
+
+
 class PrefixBPE:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.pattern = ranks, regex.compile(pattern)
+        parts = pattern.split("|")
+        self._letters = r" ?\p{L}+" in parts and r" ?[^\s\p{L}\p{N}]+" in parts and all(p[:1] == "'" for p in parts[: parts.index(r" ?\p{L}+")])
         self.bytes_of = {v: k for k, v in ranks.items()}
-        self.longest = max(map(len, ranks), default=1)
+        self.size_of = {v: len(k) for k, v in ranks.items()}
+        self.longest = max(self.size_of.values(), default=1)
         self._halves: dict[int, tuple[int, int] | None] = {}
-        self._pairs: dict[tuple[int, int], bool] = {}
+        self._pairs: dict[int, bool] = {}  # by left << 32 | right
+        self._tables: dict[bytes, list[int]] = {}  # of prefixes seen before
 
     # -- the rule for a pair ------------------------------------------------
     def halves(self, token: int) -> tuple[int, int] | None:
@@ -66,7 +74,7 @@ class PrefixBPE:
         moment the younger side is the one made later, and a pair across the
         border must not have a rank that wins before it.
         """
-        key = (left, right)
+        key = left << 32 | right
         if (known := self._pairs.get(key)) is not None:
             return known
         if len(self._pairs) > 4 * CACHE:
@@ -90,16 +98,19 @@ class PrefixBPE:
 
     # -- the table of a piece -----------------------------------------------
     def extend(self, piece: bytes, table: list[int]) -> list[int]:
-        """table holds the last token of the prefixes 1 to len(table) of piece; adds the rest."""
-        get, pairs, survives = self.ranks.get, self._pairs, self.survives
+        """table holds the last token of the prefixes 1 to len(table) of piece; adds the rest.
+
+        Only one token can end a prefix's encoding, so the order in which they are tried doesn't matter; short ones are more often right.
+        """
+        get, pairs = self.ranks.get, self._pairs.get
         for j in range(len(table) + 1, len(piece) + 1):
-            for i in range(max(0, j - self.longest), j):
+            for i in range(j - 1, max(-1, j - 1 - self.longest), -1):
                 token = get(piece[i:j])
                 if token is None:
                     continue
                 if i:
-                    if (fine := pairs.get((table[i - 1], token))) is None:
-                        fine = survives(table[i - 1], token)
+                    if (fine := pairs(table[i - 1] << 32 | token)) is None:
+                        fine = self.survives(table[i - 1], token)
                     if not fine:
                         continue
                 elif j > 1 and self.halves(token) is None:
@@ -108,21 +119,51 @@ class PrefixBPE:
                 break
         return table
 
+    def table(self, piece: bytes) -> list[int]:
+        """The piece's table, begun from the longest prefix that an earlier piece had."""
+        n = len(piece)
+        if n > 48:
+            return self.extend(piece, [])
+        tables = self._tables
+        for k in range(n, 0, -1):
+            if (known := tables.get(piece[:k])) is not None:
+                if k == n:
+                    return known
+                break
+        else:
+            k, known = 0, []
+        if len(tables) > CACHE:
+            tables.clear()
+        found = self.extend(piece, known[:k])
+        for j in range(k + 1, n + 1):
+            tables[piece[:j]] = found  # a longer piece's table serves its prefixes: only what lies within is read
+        return found
+
     def read(self, table: list[int], end: int | None = None) -> list[int]:
         """The encoding of the prefix of length end."""
-        out, j = [], len(table) if end is None else end
+        out, j, size = [], len(table) if end is None else end, self.size_of
         while j:
-            out.append(table[j - 1])
-            j -= len(self.bytes_of[table[j - 1]])
+            token = table[j - 1]
+            out.append(token)
+            j -= size[token]
         return out[::-1]
 
     def encode_piece(self, piece: bytes) -> list[int]:
         whole = self.ranks.get(piece)
-        return [whole] if whole is not None else self.read(self.extend(piece, []))
+        return [whole] if whole is not None else self.read(self.table(piece), len(piece))
 
     # -- texts --------------------------------------------------------------
+    def pieces(self, text: str) -> list[str]:
+        """The pattern's matches; a word of letters after a space, a mark behind it or not, needs no matching."""
+        if self._letters and text[:1] == " ":
+            if text[1:].isalpha():
+                return [text]
+            if text[-1] in _MARKS and text[1:-1].isalpha():
+                return [text[:-1], text[-1]]
+        return self.pattern.findall(text)
+
     def encode(self, text: str) -> list[int]:
-        return [t for p in self.pattern.findall(text) for t in self.encode_piece(p.encode())]
+        return [t for p in self.pieces(text) for t in self.encode_piece(p.encode())]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join([self.bytes_of[i] for i in ids])
@@ -185,6 +226,38 @@ _SPACES = regex.compile(r" (?:\s|\Z)")
 _WORD = regex.compile(r"(?: (?=\S)|(?! (?=\S))[\s\S])(?:(?! (?=\S))[\s\S])*+")
 
 
+class WordCache:
+    """Encoded words in two generations: a full one becomes the old one, and what is found there moves up."""
+
+    def __init__(self, bpe: PrefixBPE):
+        self.bpe = bpe
+        self.young: dict[str, tuple[str, bytes]] = {}
+        self.old: dict[str, tuple[str, bytes]] = {}
+
+    def all(self, words: list[str]) -> list[tuple[str, bytes]]:
+        """(decimal ids joined by a space, the bytes that they decode to) of each word."""
+        get, add = self.young.get, self.add
+        out = [get(w) or add(w) for w in words]
+        if len(self.young) > CACHE:
+            self.old, self.young = self.young, {}
+        return out
+
+    def add(self, word: str) -> tuple[str, bytes]:
+        found = self.old.get(word)
+        if found is None:
+            ids = self.bpe.encode(word)
+            found = " ".join(map(str, ids)), self.bpe.decode(ids)
+        if len(word) < 64:
+            self.young[word] = found
+        return found
+
+
+@functools.cache
+def word_cache(ranks_path: str, pattern: str) -> WordCache:
+    """One for a worker, whichever tasks it runs."""
+    return WordCache(PrefixBPE(load_ranks(ranks_path), pattern))
+
+
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", doc_id: str = "doc_id", ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row, and the ids themselves if asked for.
 
@@ -194,23 +267,12 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, text: str =
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = PrefixBPE(load_ranks(ranks_path), pattern)
-        cache: dict[str, tuple[str, bytes]] = {}
-
-        def add(word: str) -> tuple[str, bytes]:
-            if len(cache) >= CACHE:
-                cache.clear()
-            found = bpe.encode(word)
-            out = " ".join(map(str, found)), bpe.decode(found)
-            if len(word) < 64:
-                cache[word] = out
-            return out
-
+        known = word_cache(ranks_path, pattern)
         for batch in batches:
             n, idsha, decsha, lists = [], [], [], []
             for x in column(batch, "t"):
                 x = x.as_py() or ""
-                parts = [cache.get(w) or add(w) for w in words(x)] if x else []
+                parts = known.all(words(x)) if x else []
                 decimal = " ".join([p[0] for p in parts])
                 n.append(decimal.count(" ") + 1 if decimal else 0)
                 idsha.append(hashlib.sha256(decimal.encode()).hexdigest())
