@@ -1,3 +1,3 @@
 """All queries; importing this fills the registry."""
 
-from . import grouping, tables, windows  # noqa: F401
+from . import engine, grouping, tables, windows  # noqa: F401
