@@ -53,6 +53,11 @@ def _frame(rows: list[dict], schema: str) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
 
 
+def dealt(seeds: DataFrame) -> DataFrame:
+    """Seeds over as many tasks as the session's shuffles have: few bytes, but long work each, so sizes must not decide."""
+    return seeds.select("seed").repartition(int(seeds.sparkSession.conf.get("spark.sql.shuffle.partitions")), "seed")
+
+
 def rollout(spark: SparkSession, spec: Mapping, seeds: DataFrame, ticks: int, policies: Mapping[str, Callable] | None = None, strict: bool = False) -> DataFrame:
     """One episode for each seed of a frame (column seed), a task for a share of them."""
     policies = policies or {k: BUILT_IN[k] for k in ("random", "scripted", "adversarial")}
@@ -62,7 +67,7 @@ def rollout(spark: SparkSession, spec: Mapping, seeds: DataFrame, ticks: int, po
             for seed in part["seed"]:
                 yield _frame(_episode(spec, int(seed), ticks, policies, strict), TRANSITION)
 
-    return seeds.select("seed").repartition("seed").mapInPandas(run, TRANSITION)
+    return dealt(seeds).mapInPandas(run, TRANSITION)
 
 
 def joint_rollout(spark: SparkSession, spec: Mapping, seeds: DataFrame, ticks: int, policy: Callable, missing: str = "noop") -> DataFrame:
@@ -95,7 +100,7 @@ def joint_rollout(spark: SparkSession, spec: Mapping, seeds: DataFrame, ticks: i
             for seed in part["seed"]:
                 yield _frame(episode(int(seed)), TRANSITION)
 
-    return seeds.select("seed").repartition("seed").mapInPandas(run, TRANSITION)
+    return dealt(seeds).mapInPandas(run, TRANSITION)
 
 
 REPLAY = "episode_id string, tick long, anchored boolean, expected string, actual string, ok boolean"
@@ -198,7 +203,7 @@ def matched_utilities(spark: SparkSession, spec: Mapping, seeds: DataFrame, poli
             for seed in part["seed"]:
                 yield _frame(episode(int(seed)), UTILITY)
 
-    return seeds.select("seed").repartition("seed").mapInPandas(run, UTILITY)
+    return dealt(seeds).mapInPandas(run, UTILITY)
 
 
 def compare_policies(outcomes: DataFrame, baseline: str) -> DataFrame:
