@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordering import numbered
+
 NULL_EPSILON = 0.005
 
 
@@ -72,11 +74,10 @@ def paired_stats(rows: DataFrame, diff: str, boots: int = 2000, seed: int = 0, c
     """mean_diff, ci_low, ci_high, direction_consistency, n_pairs of paired differences; nan ones are dropped.
 
     The bootstrap draws by hash, so it is the same on any cluster: draw j of
-    resample b is the pair whose number is hash(seed, b, j) mod n. The pairs
-    (one for each data seed) are a small table.
+    resample b is the pair whose number is hash(seed, b, j) mod n.
     """
     pairs = rows.filter(F.col(diff).isNotNull() & ~F.isnan(diff)).select(F.col(diff).cast("double").alias("x"))
-    pairs = pairs.withColumn("i", F.row_number().over(Window.orderBy("x")) - 1)
+    pairs = numbered(pairs, ["x"], "i")
     spark = rows.sparkSession
     n = pairs.count()
     mean = pairs.agg(F.avg("x")).first()[0]
@@ -86,7 +87,7 @@ def paired_stats(rows: DataFrame, diff: str, boots: int = 2000, seed: int = 0, c
     low = high = mean
     if n > 1:
         draws = spark.range(boots * n).select(F.floor(F.col("id") / n).alias("b"), F.pmod(F.xxhash64(F.lit(seed), F.col("id")), F.lit(n)).alias("i"))
-        means = draws.join(F.broadcast(pairs), "i").groupBy("b").agg(F.avg("x").alias("m"))
+        means = draws.join(pairs, "i").groupBy("b").agg(F.avg("x").alias("m"))
         tail = (1 - ci) / 2
         low, high = means.agg(F.percentile("m", F.lit(tail)), F.percentile("m", F.lit(1 - tail))).first()
     return spark.createDataFrame([(mean, low, high, agree, n)], "mean_diff double, ci_low double, ci_high double, direction_consistency double, n_pairs long")

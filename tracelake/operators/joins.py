@@ -7,9 +7,11 @@ decree but tables whose size a definition fixes.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordering import numbered
+
 
 def with_split(records: DataFrame, splits: DataFrame) -> DataFrame:
     """Records of the three known splits; others are dropped."""
@@ -47,11 +49,11 @@ def in_vocabulary(rows: DataFrame, vocabulary: DataFrame, column: str) -> DataFr
 def vocabulary(rows: DataFrame, column: str, extra: tuple[str, ...] = ()) -> DataFrame:
     """Distinct values in text order with their number; extra values are put before them."""
     found = rows.select(column).filter(F.col(column).isNotNull()).distinct().filter(~F.col(column).isin(list(extra)) if extra else F.lit(True))
-    numbered = found.withColumn("index", (F.row_number().over(Window.orderBy(column)) - 1 + len(extra)).cast("long"))
+    out = numbered(found, [column], "index").withColumn("index", F.col("index") + len(extra))
     if extra:
         first = rows.sparkSession.createDataFrame([(v, i) for i, v in enumerate(extra)], f"{column} string, index long")
-        numbered = first.unionByName(numbered)
-    return numbered
+        out = first.unionByName(out)
+    return out
 
 
 def hop(nodes: DataFrame, edges: DataFrame) -> DataFrame:

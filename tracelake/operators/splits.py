@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordering import numbered
+
 #: The suffix of a branch's episode id (fixed by the naming convention).
 BRANCH_SUFFIX = r"_cf_t[0-9]+_b[0-9]+$"
 
@@ -38,7 +40,7 @@ def grouped_split(rows: DataFrame, seed_splits: DataFrame, strategy: str = "seed
 def seed_map_split(episodes: DataFrame, seed_splits: DataFrame, train: float = 0.8, val: float = 0.1) -> DataFrame:
     """An explicit split for each seed, and a ratio split by rank for the seeds that have none."""
     mapped = episodes.join(seed_splits.select("seed", F.col("split").alias("explicit")), "seed", "left")
-    rest = mapped.filter("explicit is null").select("seed").distinct().withColumn("__g", F.row_number().over(Window.orderBy("seed")) - 1)
+    rest = numbered(mapped.filter("explicit is null").select("seed").distinct(), ["seed"], "__g")
     n = rest.count()
     n_train = max(1, round(n * train))
     n_val = max(1, round(n * val)) if n - n_train > 1 else 0

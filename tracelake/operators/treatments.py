@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ordering import numbered
 from .predicates import is_counterfactual
 from .windows import first_share
 
@@ -12,7 +13,7 @@ from .windows import first_share
 def downsample(rows: DataFrame, n: int, seed: int) -> DataFrame:
     """Exactly n rows, chosen by a hash of the seed and the row's key, so that the choice doesn't depend on partitioning."""
     order = F.sha2(F.concat_ws("|", F.lit(str(seed)), "episode_id", F.col("tick").cast("string")).cast("binary"), 256)
-    return rows.orderBy(order, "episode_id", "tick").limit(n)
+    return numbered(rows, [order, "episode_id", "tick"], "__i").filter(F.col("__i") < n).drop("__i")
 
 
 def build(main: DataFrame, random: DataFrame, small_share: float = 0.25, match_seed: int = 20260729) -> dict[str, DataFrame]:

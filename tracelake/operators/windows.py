@@ -1,8 +1,7 @@
 """Ordered operators over episodes.
 
 All partition by the episode and order by the tick, so one shuffle serves
-any chain of them. Operators over episodes themselves (splits) run on the
-small episode table.
+any chain of them. What needs an order over all episodes is in ordering.
 """
 
 from __future__ import annotations
@@ -10,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import numbered, runs  # noqa: F401
+
 
 def by_tick(episode: str = "episode_id", tick: str = "tick"):
     return Window.partitionBy(episode).orderBy(tick)
@@ -57,16 +58,9 @@ def round_robin(rows: DataFrame, choices: int, out: str = "choice") -> DataFrame
     return rows.withColumn(out, F.pmod(F.row_number().over(by_tick()) - 1, F.lit(choices)))
 
 
-def runs(rows: DataFrame, key: str, order: list[str], out: str = "run") -> DataFrame:
-    """Numbers of consecutive runs of equal keys; a null always starts one. For the small episode table."""
-    w = Window.orderBy(*order)
-    new = F.when(F.col(key).isNull() | F.lag(key).over(w).isNull() | (F.lag(key).over(w) != F.col(key)), 1).otherwise(0)
-    return rows.withColumn("__new", new).withColumn(out, F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1).drop("__new")
-
-
 def ratio_split(rows: DataFrame, group: str, train: float = 0.8, val: float = 0.1) -> DataFrame:
-    """A split for each group by its number: at least one group to train, counts rounded half to even, the rest to test."""
-    groups = rows.select(group).distinct().withColumn("__g", F.row_number().over(Window.orderBy(group)) - 1)
+    """A split for each group by its place: at least one group to train, counts rounded half to even, the rest to test."""
+    groups = numbered(rows.select(group).distinct(), [group], "__g")
     n = groups.count()
     n_train = max(1, round(n * train))
     n_val = max(1, round(n * val)) if n - n_train > 1 else 0

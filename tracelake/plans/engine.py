@@ -231,10 +231,10 @@ x AS (SELECT src AS node, dst AS n, ord, 0 AS side FROM o UNION ALL SELECT dst,
 s AS (SELECT DISTINCT src AS node FROM e UNION SELECT 'nowhere') SELECT s.node, coalesce(n, s.node) AS neighbour FROM s LEFT JOIN f USING (node)""",
 )
 def first_neighbour(spark, sf_dir):
-    from pyspark.sql import Window
+    from ..operators.ordering import numbered
 
     e = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").cast("string").alias("src"), F.concat(F.lit("p"), (F.col("l_partkey") % 50).cast("string")).alias("dst")).distinct()
-    e = e.withColumn("ord", F.row_number().over(Window.orderBy("src", "dst")))
+    e = numbered(e, ["src", "dst"], "ord")
     nodes = e.select(F.col("src").alias("node")).distinct().union(spark.createDataFrame([("nowhere",)], "node string"))
     return P.first_neighbour(nodes, e)
 
