@@ -45,6 +45,9 @@ HEAD = 1 << 17
 
 NOISE, STEP, RATE = 24, 2048, 0.1
 
+#: Rows of logits that are normalised at once: they stay in a core's cache.
+ROWS = 1024
+
 #: Entries of a task's counter before it is flushed.
 COUNTER = 600_000
 
@@ -174,13 +177,21 @@ class Model:
         """log10 P(target | context), normalised over all classes."""
         out = np.empty(len(target))
         weights = np.ascontiguousarray(self.out.T)
-        for a in range(0, len(target), 8192):
-            s = self.query(context[:, a : a + 8192]) @ weights
-            s += self.bias
-            s -= s.max(1, keepdims=True)
-            of_target = s[np.arange(len(s)), target[a : a + 8192]].astype(float)
-            np.exp(s, out=s)
-            out[a : a + 8192] = of_target - np.log(s.sum(1, dtype=np.float64))
+        rows = np.arange(ROWS)
+        s, ones = np.empty((ROWS, CLASSES), np.float32), np.ones(CLASSES, np.float32)
+        for a in range(0, len(target), ROWS):
+            t = target[a : a + ROWS]
+            part = s[: len(t)]
+            np.matmul(self.query(context[:, a : a + ROWS]), weights, out=part)
+            part += self.bias
+            of_target = part[rows[: len(t)], t].astype(float)
+            np.exp(part, out=part)
+            total = (part @ ones).astype(float)
+            out[a : a + ROWS] = of_target - np.log(total)
+            if not (np.isfinite(total) & (total > 1e-30)).all():  # beyond single precision: once more with the largest taken out
+                full = self.query(context[:, a : a + ROWS]).astype(float) @ weights + self.bias
+                top = full.max(1, keepdims=True)
+                out[a : a + ROWS] = full[rows[: len(t)], t] - (top[:, 0] + np.log(np.exp(full - top).sum(1)))
         return out / np.log(10)
 
 
