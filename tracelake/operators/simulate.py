@@ -165,6 +165,41 @@ def branch(records: DataFrame, spec: Mapping, every: int = 5, most: int = 2, ste
     return records.groupBy("episode_id").applyInPandas(run, BRANCH)
 
 
+def joint_branch(records: DataFrame, spec: Mapping, every: int = 5, most: int = 2) -> DataFrame:
+    """At every so many ticks, alternatives of the first agent's action while all others do what they did; distinct by parameters."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        world, rows = World(spec), []
+        group = group.sort_values(["tick", "agent_id"])
+        world.reset(int(group["seed"].iloc[0]))
+        for tick, step in group.groupby("tick", sort=True):
+            event = step["exogenous"].iloc[0]
+            event = json.loads(event) if event else None
+            actions = [(r.agent_id, r.action_type, json.loads(r.params)) for r in step.itertuples()]
+            if tick > 0 and tick % every == 0:
+                fork, (focal, *own), n = world.snapshot(), actions[0], 0
+                seen = {json.dumps(own, sort_keys=True)}
+                for kind, params in world.legal(focal):
+                    key = json.dumps([kind, params], sort_keys=True)
+                    if key in seen or n == most:
+                        continue
+                    seen.add(key)
+                    before, energy = world.hash(), _energy(world, focal)
+                    code, delta = world.receipt(focal, kind, params)
+                    world.step([(focal, kind, params), *actions[1:]], event)
+                    rows.append({
+                        "episode_id": f"{step['episode_id'].iloc[0]}_cf_t{tick}_b{n}", "seed": int(step["seed"].iloc[0]), "tick": tick, "agent_id": focal, "action_type": kind, "params": json.dumps(params, sort_keys=True),
+                        "policy_id": "counterfactual_branch", "outcome_code": code, "receipt_delta": delta, "realized_delta": _energy(world, focal) - energy, "died": focal in world.state["died"],
+                        "exogenous": json.dumps(event, sort_keys=True) if event else None, "state_before_hash": before, "state_after_hash": world.hash(), "fork_tick": tick, "error": None,
+                    })
+                    n += 1
+                    world.restore(fork)
+            world.step(actions, event)
+        return _frame(rows, BRANCH)
+
+    return records.groupBy("episode_id").applyInPandas(run, BRANCH)
+
+
 UTILITY = "seed long, tick long, agent_id string, policy_id string, action_type string, outcome_code string, state_before_hash string, exogenous_hash string, state_after_hash string, scalar double"
 
 

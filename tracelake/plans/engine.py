@@ -296,6 +296,57 @@ def branch(spark, sf_dir):
     return SIM.branch(SIM.rollout(spark, compiled, _seeds(spark, sf_dir), 12), compiled)
 
 
+@query("st21_joint_branch")
+def joint_branch(spark, sf_dir):
+    compiled = spec.compile_spec(scenarios.RELIEF)
+    return SIM.joint_branch(SIM.joint_rollout(spark, compiled, _seeds(spark, sf_dir), 8, PO.random_choice), compiled)
+
+
+@query("dp1_dataset")
+def dataset(spark, sf_dir):
+    """The gates of a whole run over the table's seeds."""
+    from ..operators import dataset as DS
+
+    return DS.build(spark, scenarios.RELIEF, _seeds(spark, sf_dir), DS.Config(ticks=8)).gates
+
+
+@query(
+    "dp22_decisions",
+    f"""WITH {TR} SELECT concat(episode_id, '/', tick) AS decision_id, CASE WHEN tick % 3 = 2 THEN 'view' ELSE 'click' END AS action_type, CASE WHEN tick % 3 = 2 THEN 'fallback' ELSE 'llm' END AS final_origin, CASE WHEN tick % 3 = 2 THEN 2 ELSE 1 END AS attempts FROM tr WHERE tick < 6""",
+)
+def decisions(spark, sf_dir):
+    """A constant client: where its action isn't legal, a retry and then the fallback."""
+    from ..operators import decide as DE
+
+    legal = F.when(F.col("tick") % 3 == 2, F.array(F.lit("view"))).otherwise(F.array(F.lit("view"), F.lit("click")))
+    asked = transitions(spark, sf_dir).filter("tick < 6").select(F.concat_ws("/", "episode_id", F.col("tick").cast("string")).alias("decision_id"), F.lit("{}").alias("prompt"), legal.alias("legal"))
+    tries = DE.decide(asked, DE.constant("click"), retries=1, wait=_no_wait)
+    counts = tries.groupBy("decision_id").agg(F.count("*").cast("int").alias("attempts"))
+    return DE.chosen(tries).join(counts, "decision_id")
+
+
+def _no_wait(seconds: float) -> None:
+    """Retries of test clients needn't wait."""
+
+
+@query(
+    "dp25_states",
+    f"""WITH {TR}, e AS (SELECT DISTINCT episode_id FROM tr), l AS (SELECT episode_id, -1 AS tick, 'energy' AS key, '0' AS value FROM e UNION ALL SELECT episode_id, tick, 'energy', CAST(energy_after AS VARCHAR) FROM tr WHERE tick % 2 = 0 UNION ALL SELECT episode_id, tick, 'last', CASE WHEN action_type <> 'error' THEN action_type END FROM tr WHERE tick % 3 = 0),
+a AS (SELECT tr.episode_id, tr.tick, l.key, arg_max(struct_pack(v := l.value), l.tick).v AS value FROM tr JOIN l ON l.episode_id = tr.episode_id AND l.tick <= tr.tick GROUP BY ALL)
+SELECT episode_id, tick, max(value) FILTER (key = 'energy') AS energy, max(value) FILTER (key = 'last') AS last FROM a WHERE tick < 10 GROUP BY ALL""",
+)
+def states(spark, sf_dir):
+    """The state after each tick, from an initial table and a change log with removals."""
+    from ..operators.materialize import states as folded
+
+    rows = transitions(spark, sf_dir)
+    initial = rows.select("episode_id").distinct().select("episode_id", F.lit("energy").alias("key"), F.lit("0").alias("value"))
+    changes = rows.filter("tick % 2 = 0").select("episode_id", "tick", F.lit("energy").alias("key"), F.col("energy_after").cast("string").alias("value"))
+    changes = changes.unionByName(rows.filter("tick % 3 = 0").select("episode_id", "tick", F.lit("last").alias("key"), F.when(F.col("action_type") != "error", F.col("action_type")).alias("value")))
+    found = folded(rows.filter("tick < 10").select("episode_id", "tick"), initial, changes)
+    return found.select("episode_id", "tick", F.element_at("after", "energy").alias("energy"), F.try_element_at("after", F.lit("last")).alias("last"))
+
+
 @query("st28_matched_policies")
 def matched_policies(spark, sf_dir):
     found = SIM.matched_utilities(spark, spec.compile_spec(scenarios.RELIEF), _seeds(spark, sf_dir), {k: PO.BUILT_IN[k] for k in ("scripted", "adversarial", "random")}, "scripted", 4)

@@ -121,3 +121,42 @@ def counter_closed_form(rows: DataFrame) -> DataFrame:
     w = Window.partitionBy("seed").orderBy("tick").rowsBetween(Window.unboundedPreceding, 0)
     value = rows.withColumn("value", F.sum(1 + F.col("action")).over(w))
     return value.filter(F.col("value") - 1 - F.col("action") < 10).withColumn("terminated", F.col("value") >= 10)
+
+
+class Server:
+    """A world behind an environment's five-part step; an action that isn't legal is rejected and nothing advances."""
+
+    def __init__(self, world, agent: str):
+        self.world, self.agent, self.ready = world, agent, False
+
+    def actions(self) -> list[tuple[str, dict]]:
+        return self.world.legal(self.agent)
+
+    def reset(self, seed: int) -> dict:
+        self.world.reset(seed)
+        self.ready = True
+        return self.state()
+
+    def state(self) -> dict:
+        if not self.ready:
+            raise RuntimeError("reset comes first")
+        row = self.world.state["entities"][self.agent]
+        return {"tick": self.world.state["tick"], "agent_id": self.agent, "observation": [float(v) for v in row.values() if isinstance(v, (int, float)) and not isinstance(v, bool)]}
+
+    def step(self, action: int) -> tuple[dict, float, bool, bool, dict]:
+        if not self.ready:
+            raise RuntimeError("reset comes first")
+        legal = self.actions()
+        if not 0 <= action < len(legal):
+            return self.state(), 0.0, False, False, {"rejected": True}
+        code, delta = self.world.receipt(self.agent, *legal[action])
+        self.world.step([(self.agent, *legal[action])])
+        ended = self.world.caps["population"] and self.agent not in self.world.state["alive"]
+        return self.state(), delta, ended, self.world.state["tick"] >= self.world.spec["time"]["max_ticks"], {"outcome_code": code}
+
+
+def external_params_hash(parameters: dict) -> str:
+    """The identity of an external environment's configuration."""
+    import hashlib
+
+    return "sha256:" + hashlib.sha256(json.dumps(parameters, sort_keys=True, default=str).encode()).hexdigest()

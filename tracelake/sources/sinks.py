@@ -80,3 +80,13 @@ def dataset_card(manifest_row: Mapping, gates: list[Mapping]) -> str:
     lines += ["", "| gate | status | evidence |", "|-|-|-|"] + [f"| {g['key']} {g['name']} | {g['status']} | {g['evidence']} |" for g in gates]
     lines += ["", "## Known limitations", "", *[f"- {g['key']} {g['status']}: {g['evidence']}" for g in gates if g["status"] != "pass"]]
     return "\n".join(lines) + "\n"
+
+
+def write_report(rows: DataFrame, path: str) -> None:
+    """A small report table as one JSON file, for reports of which a definition fixes the size (gates, coverage totals)."""
+    rows.coalesce(1).write.mode("overwrite").json(path)
+
+
+def append_telemetry(attempts: DataFrame, path: str) -> None:
+    """Attempt rows onto a telemetry table, by backend."""
+    attempts.write.mode("append").partitionBy("effective_backend").parquet(path)
