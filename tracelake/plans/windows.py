@@ -179,3 +179,9 @@ SELECT episode_id, tick, CAST(sum(births) OVER w AS BIGINT) AS cumulative_births
 def cumulative_population(spark, sf_dir):
     rows = transitions(spark, sf_dir).select("episode_id", "tick", (F.col("action_type") == "signup").cast("long").alias("births"), (F.col("action_type") == "error").cast("long").alias("deaths"))
     return W.cumulative(rows, ["births", "deaths"]).select("episode_id", "tick", "cumulative_births", "cumulative_deaths")
+
+
+@query("w1_long_episodes", f"WITH {TR} SELECT episode_id, tick, energy_after, state_after_hash FROM tr")
+def long_episodes(spark, sf_dir):
+    """The same transitions where one episode may hold most rows: ranges with carried counts and sums."""
+    return transitions(spark, sf_dir, long_episodes=True).select("episode_id", "tick", "energy_after", "state_after_hash")

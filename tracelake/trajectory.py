@@ -12,18 +12,26 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions.canonical import hash_of, int_tuple
+from .operators.ordering import running
 from .registry import table
 
 BRANCHES, BRANCH_EVERY = 3, 5
 
 
-def transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per (episode, tick). One shuffle on the episode serves both windows."""
+def transitions(spark: SparkSession, sf_dir: str, long_episodes: bool = False) -> DataFrame:
+    """One row per (episode, tick). One shuffle on the episode serves both windows.
+
+    long_episodes: an episode may hold a large share of all rows, so ticks
+    and energies are carried over ranges instead of computed in one task.
+    """
     order = Window.partitionBy("seed").orderBy("ts", "event_id")
     rows = table(spark, sf_dir, "events").select(
         F.col("user_id").cast("long").alias("seed"), "event_id", "ts", "event_type", F.round(F.col("value") * 100).cast("long").alias("d")
     )
-    rows = rows.withColumn("tick", (F.row_number().over(order) - 1).cast("long")).withColumn("energy_after", F.sum("d").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    if long_episodes:
+        rows = running(rows, ["seed"], ["ts", "event_id"], {"d": "energy_after"}, "tick")
+    else:
+        rows = rows.withColumn("tick", (F.row_number().over(order) - 1).cast("long")).withColumn("energy_after", F.sum("d").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     return rows.select(
         "seed",
         F.concat(F.lit("seed"), F.col("seed").cast("string"), F.lit("_run0")).alias("episode_id"),
