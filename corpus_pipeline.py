@@ -2,7 +2,14 @@
 
 A stage takes (spark, docs, sf_dir); docs is a table just read, so a scan of
 it gives the same rows in the same order each time. All but the last return
-the columns of documents.
+the columns of documents, whatever they are called.
+
+Defined results: a null, empty or wordless text has no letter and goes in the
+first stage; repeated rows are one document after exact dedup; of ties the
+stages' own rules decide (largest doc_id for equal texts, least for near
+copies); a null doc_id is the smallest for equal texts and the last choice
+for near copies; an empty table stays empty; missing labels leave only the
+base rules.
 """
 
 from __future__ import annotations
@@ -33,19 +40,23 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def passes_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents that fail the base rules or lie over the forest's threshold."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return without(docs, rules.judge(docs, labels).filter(~F.col("kept")))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the row with the largest doc_id of equal texts."""
     return exact_dedup.keep_first_copies(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the least doc_id of each class of near copies (five-word shingles, similarity of 0.8 or more)."""
     return near_dup.keep_one(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents and their places in sequences."""
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 

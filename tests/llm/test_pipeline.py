@@ -1,30 +1,122 @@
 from __future__ import annotations
 
-import corpus_pipeline
+import re
 import zlib
+from collections import Counter
+
+import corpus_pipeline
+import numpy as np
+import public_tokenizers as P
+import pytest
+import tiktoken
 
+from tracelake.llm import langid, packing, rules
+from tracelake.llm.bpe import load_ranks
+from tracelake.llm.common import staged
 from tracelake.llm.queries import ORACLE_SQL, QUERIES
 
+from .test_methods import brute_links, brute_repeats
 
-def test_stages(spark, sf_dir):
+
+@pytest.fixture(scope="module")
+def steps(spark, sf_dir):
+    """The input and output of every stage."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    columns, ids = docs.columns, {r.doc_id for r in docs.select("doc_id").collect()}
-    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
-    from tracelake.llm.common import staged
-
-    left = [ids]
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), "test-stage")
-        assert docs.columns == columns
-        left.append({r.doc_id for r in docs.select("doc_id").collect()})
-        assert left[-1] <= left[-2]
-    after_rules = left[2]
-    good = [i for i, q in labels.items() if q == 1]
-    assert sum(i in after_rules for i in good) >= 0.85 * len(good)
-    texts = [r.text for r in docs.collect()]
-    assert len(set(texts)) == len(texts)
-    packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir)
-    assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == left[-1]
+    out = []
+    for name, stage in corpus_pipeline.STAGES:
+        result = staged(stage(spark, docs, sf_dir), "test-stage")
+        out.append((name, docs, result))
+        docs = result
+    return out
+
+
+def texts(df):
+    return {r.doc_id: r.text for r in df.select("doc_id", "text").collect()}
+
+
+def test_columns(steps):
+    for _, docs, result in steps[:-1]:
+        assert result.columns == docs.columns == steps[0][1].columns
+        before, after = {tuple(r) for r in docs.collect()}, {tuple(r) for r in result.collect()}
+        assert after <= before and after
+
+
+def test_language_stage(steps):
+    _, docs, result = steps[0]
+    known, rows = langid.learn(docs), texts(docs)
+    least = corpus_pipeline.LEAST_LANGUAGE / len(known.languages)
+    kept = set()
+    for i, text in rows.items():
+        (lang,), (score,) = known.predict([text.encode()])
+        if any(c.isalpha() for c in text) and score >= least:
+            assert lang != langid.UNKNOWN
+            kept.add(i)
+    assert set(texts(result)) == kept
+
+
+def test_rules_stage(spark, sf_dir, steps):
+    _, docs, result = steps[1]
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    forest, threshold = rules.fit(rules.measured(docs), labels)
+    kept = set()
+    for i, text in texts(docs).items():
+        words = re.findall(r"[^\x20\x09-\x0D]+", text)
+        passes = len(words) >= 10 and 100 * brute_repeats(words) <= 20 * len(words)
+        if passes and forest.score(np.array([rules.statistics(text.encode())[1]]))[0] < threshold:
+            kept.add(i)
+    assert set(texts(result)) == kept
+    quality = {r.doc_id: r.quality for r in labels.collect()}
+    good = [i for i in texts(docs) if quality.get(i) == 1]
+    assert sum(i in kept for i in good) >= 0.9 * len(good)
+
+
+def test_copies_stage(steps):
+    _, docs, result = steps[2]
+    last = {}
+    for i, text in texts(docs).items():
+        key = text.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+        last[key] = max(i, last.get(key, i))
+    assert set(texts(result)) == set(last.values())
+
+
+def test_near_copies_stage(steps):
+    _, docs, result = steps[3]
+    classes = brute_links(list(texts(docs).items()))
+    assert set(texts(result)) == {c for _, _, c in classes.values()}
+
+
+def test_packing_stage(steps):
+    _, docs, result = steps[4]
+    own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=load_ranks(P.path("byte_bpe_50k.tiktoken")), special_tokens={})
+    rows = result.collect()
+    lengths, sequences = Counter(), {}
+    for r in rows:
+        lengths[r.doc_id] += r.length
+        sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    expected = {i: own.encode_ordinary(t) + [1] for i, t in texts(docs).items()}
+    assert lengths == {i: len(ids) for i, ids in expected.items()}
+    for r in rows:
+        assert zlib.crc32(np.array(expected[r.doc_id][r.start : r.start + r.length], "<u4")) == r.ids_crc32
+    for parts in sequences.values():
+        assert sum(n for _, n in parts) <= packing.WINDOW
+
+
+@pytest.mark.parametrize("k", range(5))
+def test_stages_on_edge_cases(spark, sf_dir, edge, empty, k):
+    name, stage = corpus_pipeline.STAGES[k]
+    result = stage(spark, edge, sf_dir)
+    ids = Counter(r.doc_id for r in result.select("doc_id").collect())
+    if k < 4:
+        assert result.columns == edge.columns
+    if k == 0:
+        assert not {3, 4, 5, 8} & set(ids) and {1, 6, 9, -5, None} <= set(ids)
+    if k == 1:
+        assert not {3, 4, 5, 9} & set(ids) and {1, 6, 7} <= set(ids)
+    if k == 2:
+        assert ids[10] == 1 and not {1, 2, -5, 3} & set(ids) and ids[9] == 1 and ids[4] == 1
+    if k == 3:
+        assert ids[-5] == 1 and not {1, 2, 10, 7} & set(ids) and ids[9] == 1
+    assert stage(spark, empty, sf_dir).count() == 0
 
 
 def test_names():

@@ -2,61 +2,23 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import scratch, shared_dir, staged
+
+__all__ = ["ASCII_LOWER", "STEP_BYTES", "chunks", "column", "crc_mod", "partitions", "row_id", "scratch", "shared_dir", "staged"]
+
 #: Input bytes that one numpy step handles at once; temporary arrays are a small multiple of it.
 STEP_BYTES = 2 << 20
 
 #: A-Z to a-z on UTF-8 bytes; every other byte stays.
 ASCII_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
-_made: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir, which driver and executors share; a temporary one only where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="tracelake-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, removed when the driver ends."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-    if not _made:
-        atexit.register(_remove)
-    _made.append((spark, path))
-    return path
-
-
-def _remove() -> None:
-    for spark, path in _made:
-        try:
-            jvm = spark.sparkContext._jvm
-            if jvm is not None:
-                p = jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # the session may be gone already
-            return
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """df, written once to the shared folder and read back: lineage is cut, lost executors cost nothing, row ids are fixed."""
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -89,6 +51,3 @@ def chunks(batches: Iterable[pa.RecordBatch], text: str, limit: int = STEP_BYTES
 
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.names.index(name))
-
-
-import pyarrow.compute  # noqa: E402,F401  (pa.compute)
