@@ -5,8 +5,9 @@ the nodes by a signature of DEPTH minima; a trie node at depth x is a run of
 signatures that share a prefix of length x, and its texts are candidates.
 Matching starts at the full depth. Candidates are verified exactly, and from
 the similarities found (each link of similarity s is found with probability
-1 - (1 - s**x)**TREES) the recall at that depth is estimated; the prefix is
-shortened by one until the estimate reaches the target.
+1 - (1 - s**x)**TREES) the recall of every shorter prefix is estimated; the
+prefix is shortened until the estimate reaches the target, and candidates
+that grew are verified again.
 
 Candidates are linked to the least text of their trie node, never to each
 other, and the connected candidates are verified together in blocks: a large
@@ -85,8 +86,9 @@ def _input(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
 _LEVELS = [f"p{x}" for x in range(LEAST_DEPTH, DEPTH + 1)]
 
 
-def forest(nodes: DataFrame) -> DataFrame:
-    """rep, tree and the prefixes p3 to p6 of every node and tree."""
+def forest(nodes: DataFrame, levels: list[str] = _LEVELS) -> DataFrame:
+    """rep, tree and the prefixes of some lengths (p3 to p6) of every node and tree."""
+    which = [_LEVELS.index(p) for p in levels]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -95,9 +97,9 @@ def forest(nodes: DataFrame) -> DataFrame:
                 k = np.frombuffer(b"".join(column(part, "keys").to_pylist()), np.int64).reshape(-1, TREES, len(_LEVELS))
                 rep = np.repeat(column(part, "rep").to_numpy(), TREES)
                 tree = np.tile(np.arange(TREES, dtype=np.int32), len(k))
-                yield pa.RecordBatch.from_arrays([pa.array(rep), pa.array(tree), *(pa.array(k[:, :, i].ravel()) for i in range(len(_LEVELS)))], ["rep", "tree", *_LEVELS])
+                yield pa.RecordBatch.from_arrays([pa.array(rep), pa.array(tree), *(pa.array(k[:, :, i].ravel()) for i in which)], ["rep", "tree", *levels])
 
-    return nodes.select("rep", "keys").mapInArrow(run, "rep long, tree int, " + ", ".join(f"{p} long" for p in _LEVELS))
+    return nodes.select("rep", "keys").mapInArrow(run, "rep long, tree int, " + ", ".join(f"{p} long" for p in levels))
 
 
 def trie_links(trees: DataFrame, level: str) -> DataFrame:
@@ -135,8 +137,8 @@ def overlaps(found: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def verify(ids: np.ndarray, copies: np.ndarray, side: np.ndarray, found: list[np.ndarray], threshold: float, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, float, float]:
-    """For the texts of a block: links as documents, links as texts, the least linked text reached, and the links' number and number expected.
+def verify(ids: np.ndarray, copies: np.ndarray, side: np.ndarray, found: list[np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, float, list[float]]:
+    """For the texts of a block: links as documents, links as texts, the least linked text reached, the true links that those found at DEPTH stand for, and how many of them each depth finds.
 
     side is 0 and 1 where two chunks meet, of which only pairs across count, else 0.
     """
@@ -156,36 +158,34 @@ def verify(ids: np.ndarray, copies: np.ndarray, side: np.ndarray, found: list[np
         if (step == root).all():
             break
         root = step
-    return linked @ copies, linked.sum(1), root, float(len(a)), float((1 / found_share(similar, depth)).sum())
+    true = 1 / found_share(similar, DEPTH)
+    return linked @ copies, linked.sum(1), root, float(true.sum()), [float((true * found_share(similar, x)).sum()) for x in range(LEAST_DEPTH, DEPTH + 1)]
 
 
-def verified(sets_of: DataFrame, groups: DataFrame, threshold: float, depth: int) -> DataFrame:
-    """rep, root, links, text_links of every candidate, and rows with a null rep that hold the number of links (links) and the number expected (expected) of a block."""
+def verified(sets_of: DataFrame, groups: DataFrame, threshold: float) -> DataFrame:
+    """root (of the candidates), rep, least, links, text_links of every linked candidate, and whether its block had them all (whole); and a row with a null rep for a block's estimates (expected, found)."""
     spark = sets_of.sparkSession
-    members = sets_of.join(groups, F.col("rep") == F.col("node")).select("rep", "root", "copies", "shingles")
     sizes = groups.join(sets_of.select("rep", F.octet_length("shingles").alias("b")), F.col("rep") == F.col("node")).groupBy("root").agg(F.count("*").alias("n"), F.sum("b").alias("b"))
     parts = F.greatest(F.ceil(F.col("n") / CHUNK_TEXTS), F.ceil(F.col("b") / CHUNK_BYTES)).cast("int")
-    sizes = sizes.select("root", parts.alias("parts"))
-    chunk = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")
-    members = members.join(sizes, "root").withColumn("chunk", chunk)
-    # A chunk goes to one block with each chunk of its set, itself included.
-    dealt = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select("rep", "root", F.least("chunk", "other").alias("x"), F.greatest("chunk", "other").alias("y"), (F.col("chunk") > F.col("other")).cast("int").alias("side"), "copies", "shingles")
+    places = groups.join(sizes.select("root", parts.alias("parts")), "root").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    # A chunk goes to one block with each chunk of its candidates, itself included.
+    dealt = sets_of.join(places, F.col("rep") == F.col("node")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.select("rep", "root", F.least("chunk", "other").alias("x"), F.greatest("chunk", "other").alias("y"), (F.col("chunk") > F.col("other")).cast("int").alias("side"), "copies", "shingles", "parts")
     dealt = dealt.repartition(partitions(spark), "root", "x", "y").sortWithinPartitions("root", "x", "y", "rep")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         out: list[tuple] = []
 
-        def block() -> None:
+        def block(root_of: int) -> None:
             if len(held) < 2:
                 return
             ids, copies, side = (np.array([r[k] for r in held], np.int64) for k in (0, 1, 2))
-            links, texts, root, n, expected = verify(ids, copies, side, [np.frombuffer(r[3], np.uint64) for r in held], threshold, depth)
+            links, texts, least, expected, by_depth = verify(ids, copies, side, [np.frombuffer(r[3], np.uint64) for r in held], threshold)
             for i in np.flatnonzero(texts).tolist():
-                out.append((int(ids[i]), int(root[i]), int(links[i]), int(texts[i]), None))
-            if n:
-                out.append((None, None, int(n), None, expected))
+                out.append((root_of, int(ids[i]), int(least[i]), int(links[i]), int(texts[i]), held[0][4] == 1, None, None))
+            if expected:
+                out.append((root_of, None, None, None, None, None, expected, by_depth))
 
         def flush() -> pa.RecordBatch:
             found = pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(_OUT.types)], schema=_OUT)
@@ -194,23 +194,25 @@ def verified(sets_of: DataFrame, groups: DataFrame, threshold: float, depth: int
 
         key = None
         for batch in batches:
-            names = ("root", "x", "y", "rep", "copies", "side")
+            names = ("root", "x", "y", "rep", "copies", "side", "parts")
             rows = zip(*(column(batch, c).to_pylist() for c in names), column(batch, "shingles"), strict=True)
-            for root, x, y, rep, n, side, shingles in rows:
+            for root, x, y, rep, n, side, parts, shingles in rows:
                 if (root, x, y) != key:
-                    block()
+                    if key is not None:
+                        block(key[0])
                     held.clear()
                     key = (root, x, y)
                     if len(out) > 20_000:
                         yield flush()
-                held.append((rep, n, side, shingles.as_py()))
-        block()
+                held.append((rep, n, side, shingles.as_py(), parts))
+        if key is not None:
+            block(key[0])
         yield flush()
 
-    return dealt.mapInArrow(run, "rep long, root long, links long, text_links long, expected double")
+    return dealt.mapInArrow(run, "root long, rep long, least long, links long, text_links long, whole boolean, expected double, found array<double>")
 
 
-_OUT = pa.schema([("rep", pa.int64()), ("root", pa.int64()), ("links", pa.int64()), ("text_links", pa.int64()), ("expected", pa.float64())])
+_OUT = pa.schema([("root", pa.int64()), ("rep", pa.int64()), ("least", pa.int64()), ("links", pa.int64()), ("text_links", pa.int64()), ("whole", pa.bool_()), ("expected", pa.float64()), ("found", pa.list_(pa.float64()))])
 
 
 def _shingles(rows: DataFrame) -> DataFrame:
@@ -224,6 +226,22 @@ def _shingles(rows: DataFrame) -> DataFrame:
     return rows.select("rep", "copies", "t").mapInArrow(run, "rep long, copies long, shingles binary")
 
 
+def shortened(links: DataFrame, threshold: float, target: float) -> int:
+    """The longest prefix length whose recall reaches the target (LEAST_DEPTH if none does).
+
+    Each link found at DEPTH stands for 1 / P(found at DEPTH) true ones of
+    its similarity, of which a prefix of length x finds a share P(found at x).
+    Without a link, all true ones are taken to lie at the threshold.
+    """
+    sums = [F.sum(F.element_at("found", x - LEAST_DEPTH + 1)) for x in range(LEAST_DEPTH, DEPTH + 1)]
+    row = links.filter("rep is null").agg(F.sum("expected"), *sums).first()
+    for x in range(DEPTH, LEAST_DEPTH, -1):
+        recall = row[1 + x - LEAST_DEPTH] / row[0] if row[0] else float(found_share(threshold, x))
+        if recall >= target:
+            return x
+    return LEAST_DEPTH
+
+
 def join(docs: DataFrame, threshold: float = THRESHOLD, target: float = TARGET, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row per document: rid, doc_id, class_id, links, text_links, depth.
 
@@ -235,25 +253,36 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, target: float = TARGET,
     rows = staged(sketched(docs, text, doc_id), "sketches")
     nodes = rows.filter("hi is not null").groupBy("hi", "lo").agg(F.min("rid").alias("rep"), F.min_by("keys", "rid").alias("keys"), F.min("doc_id").alias("least"), F.count("*").alias("copies"))
     nodes = staged(nodes, "nodes")
-    trees = staged(forest(nodes), "forest")
-    wide = trees.join(trees.groupBy("tree", _LEVELS[0]).count().filter("count > 1"), ["tree", _LEVELS[0]], "left_semi")
-    trees = staged(wide.select("rep", "tree", *_LEVELS), "shared-prefixes")
-    wanted = staged(trees.select("rep").distinct().join(nodes.select("rep", "copies"), "rep"), "candidates")
+    first = staged(forest(nodes, _LEVELS[:1]), "first-prefixes")
+    shared = first.groupBy("tree", _LEVELS[0]).count().filter("count > 1").select("tree", _LEVELS[0])
+    wanted = first.join(shared, ["tree", _LEVELS[0]], "left_semi").select("rep").distinct()
+    wanted = staged(nodes.select("rep", "copies", "keys").join(wanted, "rep"), "candidates")
+    trees = staged(forest(wanted), "forest")
+    wanted = wanted.select("rep", "copies")
     texts = _input(docs, text, doc_id).join(wanted, F.col("rid") == F.col("rep")).select("rep", "copies", "t")
     sets_of = staged(_shingles(texts), "shingle-sets")
 
-    depth, links = DEPTH, None
-    for depth in range(DEPTH, LEAST_DEPTH - 1, -1):
-        links = staged(verified(sets_of, components(trie_links(trees, f"p{depth}")), threshold, depth), "links")
-        n, expected = links.filter("rep is null").agg(F.sum("links"), F.sum("expected")).first()
-        if (n / expected if n else float(found_share(threshold, depth))) >= target:
-            break
-    per_text = links.filter("rep is not null").groupBy("rep").agg(F.sum("links").alias("links"), F.sum("text_links").alias("text_links"))
-    classes = components(links.filter("rep is not null").select(F.col("rep").alias("u"), F.col("root").alias("v")))
-    classes = staged(classes.join(nodes.select("rep", "least"), F.col("node") == F.col("rep")).select("rep", "root", "least"), "classes")
+    groups = staged(components(trie_links(trees, f"p{DEPTH}")), "candidate-sets")
+    links = staged(verified(sets_of, groups, threshold), "links")
+    depth = shortened(links, threshold, target)
+    if depth < DEPTH:  # candidates that the shorter prefix doesn't add to keep what is known of them
+        sizes = groups.groupBy("root").agg(F.count("*").alias("n"))
+        groups = staged(components(trie_links(trees, f"p{depth}")), "candidate-sets")
+        same = staged(groups.groupBy("root").agg(F.count("*").alias("n")).join(sizes, ["root", "n"]).select("root"), "same-sets")
+        links = staged(links.join(same, "root", "left_semi").unionByName(verified(sets_of, groups.join(same, "root", "left_anti"), threshold)), "links")
+
+    per_text = links.filter("rep is not null").groupBy("rep").agg(F.sum("links").alias("links"), F.sum("text_links").alias("text_links"), F.min("least").alias("least"), F.min("root").alias("set"), F.max("whole").alias("whole"))
+    per_text = staged(per_text, "linked")
+    # In a block with all of its candidates the least text is the class; where chunks met in several, their links are joined up.
+    ends = per_text.filter("whole").select("rep", F.col("least").alias("root"))
+    if not per_text.filter("not whole").isEmpty():
+        several = links.join(per_text.filter("not whole").select("set").distinct(), F.col("root") == F.col("set"), "left_semi")
+        joined = components(several.filter("rep is not null").select(F.col("rep").alias("u"), F.col("least").alias("v")))
+        ends = ends.unionByName(joined.select(F.col("node").alias("rep"), "root"))
+    classes = staged(ends.join(nodes.select("rep", "least"), "rep"), "classes")
     least = classes.groupBy("root").agg(F.min("least").alias("class_id"))
     classes = classes.join(least, "root").select("rep", "class_id")
-    linked = classes.join(per_text, "rep")
+    linked = classes.join(per_text.select("rep", "links", "text_links"), "rep")
     known = nodes.select("rep", "hi", "lo", "copies", "least").join(linked, "rep", "left")
     known = known.select("hi", "lo", F.coalesce("class_id", "least").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("text_links", F.lit(0)).alias("text_links"))
     known = staged(known, "known")
