@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import random
 import re
-import zlib
 from collections import Counter, defaultdict
 from functools import cache
 

@@ -14,7 +14,7 @@ from ..scratch import scratch, shared_dir, staged
 __all__ = ["ASCII_LOWER", "STEP_BYTES", "chunks", "column", "crc_mod", "partitions", "row_id", "scratch", "shared_dir", "staged"]
 
 #: Input bytes that one numpy step handles at once; temporary arrays are a small multiple of it.
-STEP_BYTES = 2 << 20
+STEP_BYTES = 1 << 20
 
 #: A-Z to a-z on UTF-8 bytes; every other byte stays.
 ASCII_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
