@@ -21,10 +21,6 @@ from pyspark.sql import functions as F
 from tracelake.llm import exact_dedup, langid, near_dup, packing, rules
 from tracelake.llm.common import row_id, staged
 
-#: A text whose best language has a smaller share of the corrected hits than this many even shares is rejected.
-LEAST_LANGUAGE = 1.2
-
-
 def without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
     """docs without the rows whose number (column rid) is rejected."""
     gone = staged(rejected.select(F.col("rid").alias("__rid")), "rejected")
@@ -32,11 +28,9 @@ def without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a letter and those in which no learned language stands out."""
-    known = langid.learn(docs)
-    least = LEAST_LANGUAGE / max(1, len(known.languages)) if len(known.languages) > 1 else 0.0
-    found = langid.identify(docs, known)
-    return without(docs, found.filter((F.col("lang_pred") == langid.UNKNOWN) | (F.col("score") < least)))
+    """Rejects documents of which no language can be told: those without a letter. An unsure choice rejects nothing."""
+    found = langid.identify(docs, langid.learn(docs))
+    return without(docs, found.filter(F.col("lang_pred") == langid.UNKNOWN))
 
 
 def passes_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,7 +5,8 @@ languages, an n-gram is hashed to HASHES slots, and the AND of their masks
 names all languages that contain it. A text's n-grams are looked up once;
 the popcounts for each language are corrected for the filter's false
 positives (fill ** HASHES of the n-grams would hit by chance), and the
-largest corrected count decides.
+largest corrected count decides. N-grams that all languages contain, such as
+those of a line that half the corpus repeats, count for none.
 
 The filter learns from n-gram counts over all training rows. A language
 contains an n-gram if its rate there is at least MIN_RATE, which bounds the
@@ -13,8 +14,8 @@ n-grams of a language by 1 / MIN_RATE, and at least SHARE of the highest
 rate in any language.
 
 Defined results: `und` with score 0 for a null text or one without a letter,
-or if nothing was learned; a text without a known n-gram gets the most
-frequent training language with score 0; on ties the language that sorts
+or if nothing was learned; a text without an n-gram that tells languages apart
+gets the most frequent training language with score 0; on ties the language that sorts
 first wins; rows without text or language teach nothing; repeated rows count
 each; other columns are ignored.
 """
@@ -83,18 +84,20 @@ class Filter:
     chance: np.ndarray  # false positives for each language
     fallback: int
 
-    def counts(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Corrected popcounts (text, language) and the number of n-grams of each text."""
+    def counts(self, texts: list[bytes]) -> np.ndarray:
+        """Corrected popcounts (text, language) of the n-grams that not all languages contain: those tell nothing."""
         key, owner = grams(texts)
         total = np.bincount(owner, minlength=len(texts)).astype(float)
         at = slots(key, len(self.masks))
         hits = np.empty((len(texts), len(self.languages)))
+        common = np.ones(len(key), bool)
         for word in range(self.masks.shape[1]):
             mask = self.masks[at[0], word]
             for more in at[1:]:
                 mask = mask & self.masks[more, word]
             bits = 8 * self.masks.itemsize
             here = range(word * bits, min(len(self.languages), (word + 1) * bits))
+            common &= mask == self.masks.dtype.type((1 << len(here)) - 1)
             if bits == 8:
                 table = np.bincount(owner * 256 + mask, minlength=256 * len(texts)).reshape(len(texts), 256)
                 for k in here:
@@ -103,13 +106,16 @@ class Filter:
                 for k in here:
                     has = (mask >> self.masks.dtype.type(k % bits)) & self.masks.dtype.type(1)
                     hits[:, k] = np.bincount(owner, weights=has, minlength=len(texts))
-        return np.maximum(0, (hits - total[:, None] * self.chance) / (1 - self.chance)), total
+        if len(self.languages) > 1:
+            shared = np.bincount(owner, weights=common, minlength=len(texts))
+            hits, total = hits - shared[:, None], total - shared
+        return np.maximum(0, (hits - total[:, None] * self.chance) / (1 - self.chance))
 
     def predict(self, texts: list[bytes | None]) -> tuple[list[str], list[float]]:
         names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
         told = [i for i, t in enumerate(texts) if t and has_letter(t)]
         if told and self.languages:
-            corrected, _ = self.counts([texts[i] for i in told])
+            corrected = self.counts([texts[i] for i in told])
             best, total = corrected.argmax(1), corrected.sum(1)
             for row, i in enumerate(told):
                 k = int(best[row]) if total[row] > 0 else self.fallback
