@@ -330,6 +330,20 @@ def test_near_duplicates_against_brute_force(spark, monkeypatch, tmp_path, chunk
     assert not wrong, wrong[:5]
 
 
+def test_chunk_without_a_member(spark, monkeypatch, tmp_path):
+    """Pairs of long near copies cut into two chunks, where often both fall into the same."""
+    rng = random.Random(4)
+    rows = []
+    for i in range(24):
+        words = [f"u{i}x{rng.randrange(10**6)}" for _ in range(200)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join([*words, "end"]))]
+    path = str(tmp_path / "d.parquet")
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(path)
+    monkeypatch.setattr(near_dup, "CHUNK_BYTES", 2000)  # a set has 196 or 197 shingles of 8 bytes
+    found = {r.doc_id: (r.links, r.text_links, r.class_id) for r in near_dup.join(spark.read.parquet(path)).collect()}
+    assert found == {i: (1, 1, i - i % 2) for i in range(48)}
+
+
 def test_overlaps():
     rng = np.random.default_rng(0)
     found = [np.unique(rng.integers(0, 300, 60)).astype(np.uint64) for _ in range(70)]

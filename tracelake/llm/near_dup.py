@@ -137,15 +137,15 @@ def overlaps(found: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def verify(ids: np.ndarray, copies: np.ndarray, side: np.ndarray, found: list[np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, float, list[float]]:
+def verify(ids: np.ndarray, copies: np.ndarray, side: np.ndarray, across: bool, found: list[np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, float, list[float]]:
     """For the texts of a block: links as documents, links as texts, the least linked text reached, the true links that those found at DEPTH stand for, and how many of them each depth finds.
 
-    side is 0 and 1 where two chunks meet, of which only pairs across count, else 0.
+    across says that two chunks meet, those of side 0 and 1, of which only pairs across count; one of them may have no text.
     """
     size = np.array([len(s) for s in found], float)
     common = overlaps(found)
     linked = common >= threshold * (size[:, None] + size[None, :] - common) - 1e-6
-    if side.any():
+    if across:
         linked &= side[:, None] != side[None, :]
     np.fill_diagonal(linked, False)
     a, b = np.nonzero(np.triu(linked))
@@ -177,11 +177,11 @@ def verified(sets_of: DataFrame, groups: DataFrame, threshold: float) -> DataFra
         held: list[tuple] = []
         out: list[tuple] = []
 
-        def block(root_of: int) -> None:
+        def block(root_of: int, x: int, y: int) -> None:
             if len(held) < 2:
                 return
             ids, copies, side = (np.array([r[k] for r in held], np.int64) for k in (0, 1, 2))
-            links, texts, least, expected, by_depth = verify(ids, copies, side, [np.frombuffer(r[3], np.uint64) for r in held], threshold)
+            links, texts, least, expected, by_depth = verify(ids, copies, side, x != y, [np.frombuffer(r[3], np.uint64) for r in held], threshold)
             for i in np.flatnonzero(texts).tolist():
                 out.append((root_of, int(ids[i]), int(least[i]), int(links[i]), int(texts[i]), held[0][4] == 1, None, None))
             if expected:
@@ -199,14 +199,14 @@ def verified(sets_of: DataFrame, groups: DataFrame, threshold: float) -> DataFra
             for root, x, y, rep, n, side, parts, shingles in rows:
                 if (root, x, y) != key:
                     if key is not None:
-                        block(key[0])
+                        block(*key)
                     held.clear()
                     key = (root, x, y)
                     if len(out) > 20_000:
                         yield flush()
                 held.append((rep, n, side, shingles.as_py(), parts))
         if key is not None:
-            block(key[0])
+            block(*key)
         yield flush()
 
     return dealt.mapInArrow(run, "root long, rep long, least long, links long, text_links long, whole boolean, expected double, found array<double>")
