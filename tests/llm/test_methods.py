@@ -344,6 +344,18 @@ def test_chunk_without_a_member(spark, monkeypatch, tmp_path):
     assert found == {i: (1, 1, i - i % 2) for i in range(48)}
 
 
+def test_hot_group_leaves_the_depth(spark, tmp_path):
+    """Many links of high similarity don't lower the share found just over the threshold."""
+    rng = random.Random(5)
+    base = [f"v{rng.randrange(10**6)}" for _ in range(200)]
+    rows = [(i, " ".join([*base, f"n{i}"])) for i in range(60)]
+    path = str(tmp_path / "d.parquet")
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(path)
+    found = near_dup.join(spark.read.parquet(path)).collect()
+    assert {r.links for r in found} == {59}
+    assert all(near_dup.found_share(near_dup.THRESHOLD, r.depth) >= near_dup.TARGET for r in found)
+
+
 def test_overlaps():
     rng = np.random.default_rng(0)
     found = [np.unique(rng.integers(0, 300, 60)).astype(np.uint64) for _ in range(70)]

@@ -3,11 +3,11 @@
 Texts with the same set of shingles are one node. Each of TREES trees orders
 the nodes by a signature of DEPTH minima; a trie node at depth x is a run of
 signatures that share a prefix of length x, and its texts are candidates.
-Matching starts at the full depth. Candidates are verified exactly, and from
-the similarities found (each link of similarity s is found with probability
-1 - (1 - s**x)**TREES) the recall of every shorter prefix is estimated; the
-prefix is shortened until the estimate reaches the target, and candidates
-that grew are verified again.
+A link of similarity s is found with probability 1 - (1 - s**x)**TREES, least
+at the threshold. Prefixes are shortened from the full depth until a link at
+the threshold itself is found with the target's probability, so no table's
+mix of similarities, such as one large group of near copies, can make links
+just over the threshold rarer. All candidates are verified exactly.
 
 Candidates are linked to the least text of their trie node, never to each
 other, and the connected candidates are verified together in blocks: a large
@@ -86,7 +86,7 @@ def _input(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
 _LEVELS = [f"p{x}" for x in range(LEAST_DEPTH, DEPTH + 1)]
 
 
-def forest(nodes: DataFrame, levels: list[str] = _LEVELS) -> DataFrame:
+def forest(nodes: DataFrame, levels: list[str]) -> DataFrame:
     """rep, tree and the prefixes of some lengths (p3 to p6) of every node and tree."""
     which = [_LEVELS.index(p) for p in levels]
 
@@ -137,8 +137,8 @@ def overlaps(found: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def verify(ids: np.ndarray, copies: np.ndarray, side: np.ndarray, across: bool, found: list[np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, float, list[float]]:
-    """For the texts of a block: links as documents, links as texts, the least linked text reached, the true links that those found at DEPTH stand for, and how many of them each depth finds.
+def verify(ids: np.ndarray, copies: np.ndarray, side: np.ndarray, across: bool, found: list[np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For the texts of a block: links as documents, links as texts, and the least linked text reached.
 
     across says that two chunks meet, those of side 0 and 1, of which only pairs across count; one of them may have no text.
     """
@@ -149,7 +149,6 @@ def verify(ids: np.ndarray, copies: np.ndarray, side: np.ndarray, across: bool,
         linked &= side[:, None] != side[None, :]
     np.fill_diagonal(linked, False)
     a, b = np.nonzero(np.triu(linked))
-    similar = common[a, b] / (size[a] + size[b] - common[a, b])
     root = ids.copy()
     while True:  # the least id over the links, until nothing moves
         step = root.copy()
@@ -158,12 +157,11 @@ def verify(ids: np.ndarray, copies: np.ndarray, side: np.ndarray, across: bool,
         if (step == root).all():
             break
         root = step
-    true = 1 / found_share(similar, DEPTH)
-    return linked @ copies, linked.sum(1), root, float(true.sum()), [float((true * found_share(similar, x)).sum()) for x in range(LEAST_DEPTH, DEPTH + 1)]
+    return linked @ copies, linked.sum(1), root
 
 
 def verified(sets_of: DataFrame, groups: DataFrame, threshold: float) -> DataFrame:
-    """root (of the candidates), rep, least, links, text_links of every linked candidate, and whether its block had them all (whole); and a row with a null rep for a block's estimates (expected, found)."""
+    """root (of the candidates), rep, least, links, text_links of every linked candidate, and whether its block had them all (whole)."""
     spark = sets_of.sparkSession
     sizes = groups.join(sets_of.select("rep", F.octet_length("shingles").alias("b")), F.col("rep") == F.col("node")).groupBy("root").agg(F.count("*").alias("n"), F.sum("b").alias("b"))
     parts = F.greatest(F.ceil(F.col("n") / CHUNK_TEXTS), F.ceil(F.col("b") / CHUNK_BYTES)).cast("int")
@@ -181,11 +179,9 @@ def verified(sets_of: DataFrame, groups: DataFrame, threshold: float) -> DataFra
             if len(held) < 2:
                 return
             ids, copies, side = (np.array([r[k] for r in held], np.int64) for k in (0, 1, 2))
-            links, texts, least, expected, by_depth = verify(ids, copies, side, x != y, [np.frombuffer(r[3], np.uint64) for r in held], threshold)
+            links, texts, least = verify(ids, copies, side, x != y, [np.frombuffer(r[3], np.uint64) for r in held], threshold)
             for i in np.flatnonzero(texts).tolist():
-                out.append((root_of, int(ids[i]), int(least[i]), int(links[i]), int(texts[i]), held[0][4] == 1, None, None))
-            if expected:
-                out.append((root_of, None, None, None, None, None, expected, by_depth))
+                out.append((root_of, int(ids[i]), int(least[i]), int(links[i]), int(texts[i]), held[0][4] == 1))
 
         def flush() -> pa.RecordBatch:
             found = pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(_OUT.types)], schema=_OUT)
@@ -209,10 +205,10 @@ def verified(sets_of: DataFrame, groups: DataFrame, threshold: float) -> DataFra
             block(*key)
         yield flush()
 
-    return dealt.mapInArrow(run, "root long, rep long, least long, links long, text_links long, whole boolean, expected double, found array<double>")
+    return dealt.mapInArrow(run, "root long, rep long, least long, links long, text_links long, whole boolean")
 
 
-_OUT = pa.schema([("root", pa.int64()), ("rep", pa.int64()), ("least", pa.int64()), ("links", pa.int64()), ("text_links", pa.int64()), ("whole", pa.bool_()), ("expected", pa.float64()), ("found", pa.list_(pa.float64()))])
+_OUT = pa.schema([("root", pa.int64()), ("rep", pa.int64()), ("least", pa.int64()), ("links", pa.int64()), ("text_links", pa.int64()), ("whole", pa.bool_())])
 
 
 def _shingles(rows: DataFrame) -> DataFrame:
@@ -226,18 +222,10 @@ def _shingles(rows: DataFrame) -> DataFrame:
     return rows.select("rep", "copies", "t").mapInArrow(run, "rep long, copies long, shingles binary")
 
 
-def shortened(links: DataFrame, threshold: float, target: float) -> int:
-    """The longest prefix length whose recall reaches the target (LEAST_DEPTH if none does).
-
-    Each link found at DEPTH stands for 1 / P(found at DEPTH) true ones of
-    its similarity, of which a prefix of length x finds a share P(found at x).
-    Without a link, all true ones are taken to lie at the threshold.
-    """
-    sums = [F.sum(F.element_at("found", x - LEAST_DEPTH + 1)) for x in range(LEAST_DEPTH, DEPTH + 1)]
-    row = links.filter("rep is null").agg(F.sum("expected"), *sums).first()
+def shortened(threshold: float, target: float) -> int:
+    """The longest prefix length that finds a link at the threshold with the target's probability (LEAST_DEPTH if none does)."""
     for x in range(DEPTH, LEAST_DEPTH, -1):
-        recall = row[1 + x - LEAST_DEPTH] / row[0] if row[0] else float(found_share(threshold, x))
-        if recall >= target:
+        if found_share(threshold, x) >= target:
             return x
     return LEAST_DEPTH
 
@@ -247,37 +235,31 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, target: float = TARGET,
 
     class_id is the least doc_id that links lead to, links the number of other
     documents of at least that similarity, text_links that of other sets of
-    shingles, depth the prefix length at which matching ended. docs is read
+    shingles, depth the prefix length matched at. docs is read
     twice and has to give the same rows in the same order, as a table does.
     """
     rows = staged(sketched(docs, text, doc_id), "sketches")
     nodes = rows.filter("hi is not null").groupBy("hi", "lo").agg(F.min("rid").alias("rep"), F.min_by("keys", "rid").alias("keys"), F.min("doc_id").alias("least"), F.count("*").alias("copies"))
     nodes = staged(nodes, "nodes")
-    first = staged(forest(nodes, _LEVELS[:1]), "first-prefixes")
-    shared = first.groupBy("tree", _LEVELS[0]).count().filter("count > 1").select("tree", _LEVELS[0])
-    wanted = first.join(shared, ["tree", _LEVELS[0]], "left_semi").select("rep").distinct()
-    wanted = staged(nodes.select("rep", "copies", "keys").join(wanted, "rep"), "candidates")
-    trees = staged(forest(wanted), "forest")
-    wanted = wanted.select("rep", "copies")
+    depth = shortened(threshold, target)
+    level = f"p{depth}"
+    trees = staged(forest(nodes, [level]), "forest")
+    shared = trees.groupBy("tree", level).count().filter("count > 1").select("tree", level)
+    trees = staged(trees.join(shared, ["tree", level], "left_semi"), "shared-prefixes")
+    wanted = staged(nodes.select("rep", "copies").join(trees.select("rep").distinct(), "rep"), "candidates")
     texts = _input(docs, text, doc_id).join(wanted, F.col("rid") == F.col("rep")).select("rep", "copies", "t")
     sets_of = staged(_shingles(texts), "shingle-sets")
 
-    groups = staged(components(trie_links(trees, f"p{DEPTH}")), "candidate-sets")
+    groups = staged(components(trie_links(trees, level)), "candidate-sets")
     links = staged(verified(sets_of, groups, threshold), "links")
-    depth = shortened(links, threshold, target)
-    if depth < DEPTH:  # candidates that the shorter prefix doesn't add to keep what is known of them
-        sizes = groups.groupBy("root").agg(F.count("*").alias("n"))
-        groups = staged(components(trie_links(trees, f"p{depth}")), "candidate-sets")
-        same = staged(groups.groupBy("root").agg(F.count("*").alias("n")).join(sizes, ["root", "n"]).select("root"), "same-sets")
-        links = staged(links.join(same, "root", "left_semi").unionByName(verified(sets_of, groups.join(same, "root", "left_anti"), threshold)), "links")
-
-    per_text = links.filter("rep is not null").groupBy("rep").agg(F.sum("links").alias("links"), F.sum("text_links").alias("text_links"), F.min("least").alias("least"), F.min("root").alias("set"), F.max("whole").alias("whole"))
+
+    per_text = links.groupBy("rep").agg(F.sum("links").alias("links"), F.sum("text_links").alias("text_links"), F.min("least").alias("least"), F.min("root").alias("set"), F.max("whole").alias("whole"))
     per_text = staged(per_text, "linked")
     # In a block with all of its candidates the least text is the class; where chunks met in several, their links are joined up.
     ends = per_text.filter("whole").select("rep", F.col("least").alias("root"))
     if not per_text.filter("not whole").isEmpty():
         several = links.join(per_text.filter("not whole").select("set").distinct(), F.col("root") == F.col("set"), "left_semi")
-        joined = components(several.filter("rep is not null").select(F.col("rep").alias("u"), F.col("least").alias("v")))
+        joined = components(several.select(F.col("rep").alias("u"), F.col("least").alias("v")))
         ends = ends.unionByName(joined.select(F.col("node").alias("rep"), "root"))
     classes = staged(ends.join(nodes.select("rep", "least"), "rep"), "classes")
     least = classes.groupBy("root").agg(F.min("least").alias("class_id"))
