@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 from functools import cache
 
@@ -79,6 +80,17 @@ def test_packing_tokenizer():
         assert own(x) == ref.encode(x, add_special_tokens=False).ids
 
 
+def test_packing_added_tokens(spark):
+    path = P.path("byte_bpe_50k.json")
+    ref = Tokenizer.from_file(path)
+    texts = ["hello <|endoftext|> world", "<|endoftext|>", "a<|endoftext|><|endoftext|>\n b", "<|endoftext", "日本 <|endoftext|>é", "plain  text"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: (r.doc_tokens, r.ids_crc32) for r in packing.pieces(docs, path, P.PATTERN).collect()}
+    ids = [np.array([*ref.encode(x, add_special_tokens=False).ids, 1], "<u4") for x in texts]
+    assert ids[0].tolist() == [31373, 220, 50256, 995, 1]
+    assert found == {i: (len(x), zlib.crc32(x)) for i, x in enumerate(ids)}
+
+
 @given(st.lists(st.integers(1, 2047), max_size=60))
 @settings(max_examples=60, deadline=None)
 def test_karmarkar_karp(sizes):

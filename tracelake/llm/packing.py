@@ -8,6 +8,10 @@ merges the two with the largest difference, the largest sums of one meeting
 the smallest of the other, until one partition is left. If its largest sum
 exceeds the window, the number of windows rises by one and it starts again.
 
+Ids are those of the tokenizers library with its defaults, without special
+tokens put in: an added token of the file, such as an end marker, that stands
+in a text gets its own id.
+
 Defined results: a null text is empty and is its end id alone; repeated rows
 are packed each; an empty table gives an empty result; other columns are
 ignored.
@@ -78,7 +82,7 @@ def cuts(n: int, window: int = WINDOW, piece: int = PIECE) -> list[tuple[int, in
 
 @functools.cache
 def tokenizer(path: str, pattern: str):
-    """text -> ids, as the tokenizer in a json file gives them.
+    """text -> ids, as the tokenizer in a json file gives them to text in which its added tokens mean nothing.
 
     A byte-level BPE whose ids are its ranks runs on tiktoken, which gives
     the same ids in a fraction of the time; any other file on tokenizers.
@@ -104,11 +108,34 @@ def tokenizer(path: str, pattern: str):
     return lambda text: own.encode(text, add_special_tokens=False).ids
 
 
+@functools.cache
+def encoder(path: str, pattern: str):
+    """text -> ids, as Tokenizer.from_file(path).encode(text, add_special_tokens=False) gives them.
+
+    Only texts that hold one of the file's added tokens, which get their own
+    ids, need the library itself; the others run on tokenizer().
+    """
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    added = [x["content"] for x in spec.get("added_tokens", [])]
+    plain = tokenizer(path, pattern)
+
+    @functools.cache
+    def whole():
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(path)
+
+    if spec.get("normalizer"):  # added tokens may be found in the normalised text
+        return lambda text: whole().encode(text, add_special_tokens=False).ids
+    return lambda text: whole().encode(text, add_special_tokens=False).ids if any(x in text for x in added) else plain(text)
+
+
 def pieces(docs: DataFrame, tokenizer_path: str, pattern: str, end_id: int = 1, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The pieces of every document, with the checksum of their ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokenizer(tokenizer_path, pattern)
+        encode = encoder(tokenizer_path, pattern)
         for batch in batches:
             out: list[list[int]] = [[] for _ in range(6)]
             for rid, doc, x in zip(column(batch, "rid").to_pylist(), column(batch, "doc_id").to_pylist(), column(batch, "t"), strict=True):
