@@ -221,6 +221,18 @@ def test_bitmask_filter_has_no_false_negatives():
         assert ((mask >> np.uint64(k % 64)) & np.uint64(1)).all()
 
 
+def test_variety_reads_all_words():
+    at = weak.HEURISTICS.index("variety")
+    rng = random.Random(6)
+    vote = lambda words: weak.votes(" ".join(words).encode())[at]
+    assert vote([f"w{i}" for i in range(401)] * 50) == -1
+    assert vote([f"w{i}" for i in range(400)] + ["w0"] * 19_600) == -1
+    natural = [f"w{int(rng.paretovariate(0.15))}" for _ in range(20_000)]
+    assert vote(natural) == vote(natural[:400]) == 1
+    some = [f"w{rng.randrange(300)}" for _ in range(800)]
+    assert abs(weak.variety([w.encode() for w in some[:799]]) - weak.variety([w.encode() for w in some])) < 0.01
+
+
 def test_label_model_recovers_accuracies():
     rng = np.random.default_rng(0)
     y = rng.random(20_000) < 0.8

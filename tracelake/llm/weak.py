@@ -36,17 +36,37 @@ ROUNDS, STEPS, RATE, DECAY = 200, 300, 0.05, 1e-4
 #: A document is kept if its score is at least this.
 LEAST = 0.5
 
+#: Words in a window of the variety heuristic.
+SPAN = 400
+
 HEURISTICS = ("length", "symbols", "end_marks", "lone_marks", "again", "repeats", "duplicate_lines", "caps", "word_length", "variety", "sentences")
 
 
+def variety(words: list[bytes]) -> float:
+    """How few words repeat, over all words and alike for short and long texts: the lesser of two measures.
+
+    The first is the mean share of distinct words in windows of SPAN words
+    that cover the text (the last one ends with it). It can't see a list of
+    more than SPAN words come back, so the second sets the distinct words of
+    the whole text against the square root of its length (Guiraud's measure,
+    scaled to the share of distinct words at SPAN words). Up to SPAN words
+    both are that share.
+    """
+    n = len(words)
+    if n <= SPAN:
+        return len(set(words)) / n
+    starts = [*range(0, n - SPAN, SPAN), n - SPAN]
+    windows = sum(len(set(words[a : a + SPAN])) for a in starts) / (SPAN * len(starts))
+    return min(windows, len(set(words)) / (n * SPAN) ** 0.5)
+
+
 def votes(text: bytes) -> list[int]:
     """1 good, -1 bad, 0 nothing, for each heuristic."""
     (n, chars, _, dup_lines, repeats), (symbols, end_marks, lone, again, caps) = statistics(text)
     if not n:
         return [-1] + [0] * (len(HEURISTICS) - 1)
     words, lines = text.split(), [x for x in text.split(b"\n") if x.split()]
-    few = words[:: max(1, n // 400)]
-    variety = len(set(few)) / len(few)
+    varied = variety(words)
     ended = sum(x.rstrip().endswith((b".", b"!", b"?", b":")) for x in lines) / len(lines)
 
     def judge(bad: bool, good: bool) -> int:
@@ -62,7 +82,7 @@ def votes(text: bytes) -> list[int]:
         judge(dup_lines > 0.3 * len(lines), len(lines) > 3 and dup_lines == 0),
         judge(caps > 0.3, n >= 20 and caps < 0.1),
         judge(not 2.5 <= chars / n <= 12, 3.5 <= chars / n <= 7),
-        judge(n >= 30 and variety < 0.3, variety > 0.55),
+        judge(n >= 30 and varied < 0.3, varied > 0.55),
         judge(ended < 0.2, ended > 0.7),
     ]
 
