@@ -190,6 +190,23 @@ def test_forest_finds_what_lies_apart():
     assert rules.calibrate(np.ones(4), np.zeros(4, bool)) == float("inf")
 
 
+def test_forest_sees_the_counts():
+    """Repeated lines and very long words lie apart from prose; capitals are counted exactly."""
+    rng = random.Random(7)
+    words = [f"{''.join(rng.choice('abcdeilnorst') for _ in range(rng.randrange(2, 9)))}" for _ in range(3000)]
+    line = lambda: " ".join(rng.choice(words) for _ in range(9)) + "."
+    good = ["\n".join(line() for _ in range(12)) for _ in range(300)]
+    echo = ["\n".join(x for _ in range(12) for x in (line(), "read more")) for _ in range(20)]
+    blobs = ["\n".join(" ".join("".join(rng.choice("abcdef") for _ in range(60)) for _ in range(9)) for _ in range(12)) for _ in range(20)]
+    x = np.array([rules.statistics(t.encode())[1] for t in good + echo + blobs])
+    assert x.shape[1] == len(rules.FEATURES)
+    is_bad = np.arange(340) >= 300
+    score = rules.grow(x[~is_bad], rules.FULL_BOX).score(x)
+    threshold = rules.calibrate(score, is_bad)
+    assert (score[is_bad] >= threshold).mean() > 0.95 and (score[~is_bad] >= threshold).mean() < 0.01
+    assert rules.statistics(b"AB cd ef gh ij kl mn op")[1][rules.FEATURES.index("caps_share")] == 1 / 8
+
+
 def test_labelled_quality(spark, sf_dir):
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     quality = {r.doc_id: r.quality for r in labels.collect()}

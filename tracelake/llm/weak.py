@@ -62,7 +62,7 @@ def variety(words: list[bytes]) -> float:
 
 def votes(text: bytes) -> list[int]:
     """1 good, -1 bad, 0 nothing, for each heuristic."""
-    (n, chars, _, dup_lines, repeats), (symbols, end_marks, lone, again, caps) = statistics(text)
+    (n, chars, _, dup_lines, repeats), (symbols, end_marks, lone, again, caps, *_) = statistics(text)
     if not n:
         return [-1] + [0] * (len(HEURISTICS) - 1)
     words, lines = text.split(), [x for x in text.split(b"\n") if x.split()]
