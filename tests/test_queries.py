@@ -11,6 +11,7 @@ import pytest
 
 import tracelake.plans  # noqa: F401
 from tracelake.registry import ORACLES, QUERIES
+from tracelake.trajectory import transitions
 
 
 def plain(v):
@@ -47,6 +48,24 @@ def test_query(spark, sf_dir, duck, name):
     assert rows == sorted((tuple(plain(r[i]) for i in at) for r in expected.fetchall()), key=repr)
 
 
+@pytest.mark.parametrize("name", ["f25_joint_action", "f27_state_blocks"])
+def test_every_transition(spark, sf_dir, name):
+    key = ["episode_id", "tick"]
+    found = QUERIES[name](spark, sf_dir)
+    assert sorted(map(tuple, found.select(key).collect())) == sorted(map(tuple, transitions(spark, sf_dir).select(key).collect()))
+
+
+def test_all_ten_gates(spark, sf_dir):
+    found = {r.key: r for r in QUERIES["ag32_quality_summary"](spark, sf_dir).collect()}
+    assert sorted(found) == [f"Q{k}" for k in range(10)]
+    assert not [k for k, r in found.items() if r.status == "skipped"]
+    for name, key in (("dp14_q8_quantity", "Q8"), ("dp15_q9_utility", "Q9")):
+        alone = QUERIES[name](spark, sf_dir).first()
+        assert (alone.status, alone.evidence) == (found[key].status, found[key].evidence)
+    seeds = transitions(spark, sf_dir).select("seed").distinct().count()
+    assert seeds > 4 and f"{5 * seeds}/{5 * seeds}" in found["Q3"].evidence, found["Q3"].evidence
+
+
 @pytest.mark.parametrize("partitions", ["1", "13"])
 @pytest.mark.parametrize("name", ["q0_hash_chain_horizon", "ag16_ranking_metrics", "w10_ratio_split", "j9_entity_diff", "dp17_matched_sample"])
 def test_partitioning_changes_nothing(spark, sf_dir, name, partitions):
