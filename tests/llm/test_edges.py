@@ -41,6 +41,46 @@ def test_index_persists(spark, edge, tmp_path):
     assert n.count() == n.select("digest").distinct().count()
 
 
+def test_index_opens_under_other_settings(spark, sf_dir, tmp_path):
+    """Written with 8 buckets, opened with 3 shuffle partitions: everything is known; a stated other number is refused."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    path = str(tmp_path / "index")
+    first = exact_dedup.dedup(docs, exact_dedup.DigestIndex(spark, path, 8)).filter("kept").count()
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    try:
+        again = exact_dedup.DigestIndex(spark, path)
+        assert again.buckets == 8
+        assert exact_dedup.dedup(docs, again).filter("kept").count() == 0 and again.rows().count() == first
+        with pytest.raises(ValueError):
+            exact_dedup.DigestIndex(spark, path, 4)
+        again.close()
+        assert not spark.catalog.tableExists(again.table)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_index_survives_a_death(spark, edge, tmp_path, monkeypatch):
+    """A run that dies after its rows are written, or after they count, gives the same result when it runs again."""
+    path, names = str(tmp_path / "index"), ("doc_id", "keep_id", "group_size", "kept")
+    whole = by_id(exact_dedup.dedup(edge), *names)
+    real = exact_dedup.DigestIndex._publish
+
+    def dies(*args):
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(exact_dedup.DigestIndex, "_publish", dies)
+    with pytest.raises(RuntimeError):
+        exact_dedup.dedup(edge, exact_dedup.DigestIndex(spark, path), batch="day 1")
+    monkeypatch.setattr(exact_dedup.DigestIndex, "_publish", real)
+    index = exact_dedup.DigestIndex(spark, path)
+    assert index.rows().count() == 0
+    for _ in range(2):
+        assert by_id(exact_dedup.dedup(edge, index, batch="day 1"), *names) == whole
+    assert not any(r.kept for r in exact_dedup.dedup(edge, index, batch="day 2").collect())
+    assert index.rows().count() == index.rows().select("digest").distinct().count()
+
+
 def test_bpe(edge, empty, edge_rows):
     found = bpe.encode_documents(edge, P.path("byte_bpe_50k.tiktoken"), P.PATTERN, ids=True)
     assert found.count() == len(edge_rows)

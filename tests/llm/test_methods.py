@@ -397,6 +397,66 @@ def test_hot_group_leaves_the_depth(spark, tmp_path):
     assert all(near_dup.found_share(near_dup.THRESHOLD, r.depth) >= near_dup.TARGET for r in found)
 
 
+@pytest.mark.parametrize("threshold", [0.3, 0.5, 0.8])
+def test_recall_against_an_exact_join(spark, tmp_path, threshold):
+    """Pairs of a similarity at or a little over the threshold; every link has to be found, at the query's and at lower thresholds."""
+    rng = random.Random(11)
+    rows = []
+    for i in range(400):
+        words = [f"p{i}x{k}" for k in range(104)]
+        other = list(words)
+        same = int(np.ceil(200 * threshold / (1 + threshold))) + rng.randrange(3)  # shared shingles of 100 each
+        for k in range(same + 4, 104):
+            other[k] = f"q{i}x{k}"
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+    path = str(tmp_path / "d.parquet")
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(path)
+    expected = brute_links(rows, threshold)
+    assert sum(e[0] for e in expected.values()) >= 600
+    found = near_dup.join(spark.read.parquet(path), threshold).collect()
+    assert {r.doc_id: (r.links, r.text_links, r.class_id) for r in found} == expected
+    assert found[0].recall >= near_dup.TARGET
+
+
+def test_shortened():
+    assert near_dup.shortened(0.8, 0.9995) == (4, near_dup.TREES)
+    for t in (0.05, 0.2, 0.35, 0.5, 0.99):
+        depth, trees = near_dup.shortened(t, 0.9995)
+        assert near_dup.found_share(t, depth, trees) >= 0.9995
+        assert depth == near_dup.DEPTH or near_dup.found_share(t, depth + 1, near_dup.TREES) < 0.9995
+    with pytest.raises(ValueError):
+        near_dup.shortened(0.0, 0.9)
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_trie_runs_across_ranges(spark, monkeypatch, parts):
+    """Runs are joined up over the ranges they are cut into, equal signatures too."""
+    monkeypatch.setattr(near_dup, "partitions", lambda spark: parts)
+    rng = np.random.default_rng(2)
+    keys = rng.integers(0, 3, (300, 2, near_dup.DEPTH)).astype(">u4")
+    keys[100:220] = keys[100]
+    nodes = spark.createDataFrame([(i, bytearray(k.tobytes())) for i, k in enumerate(keys)], "rep long, keys binary")
+    leaves = near_dup.forest(nodes, 2)
+    for depth in (1, 3, 6):
+        links = near_dup.trie_links(leaves, depth).collect()
+        parent = list(range(300))
+
+        def root(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for r in links:
+            parent[root(r.u)] = root(r.v)
+        shared = defaultdict(set)
+        for i, k in enumerate(keys):
+            for t in range(2):
+                shared[t, k[t, :depth].tobytes()].add(i)
+        assert all(len({root(i) for i in s}) == 1 for s in shared.values())
+        assert all(any(keys[r.u, t, :depth].tobytes() == keys[r.v, t, :depth].tobytes() for t in range(2)) for r in links)
+        assert len(links) <= 600
+
+
 def test_overlaps():
     rng = np.random.default_rng(0)
     found = [np.unique(rng.integers(0, 300, 60)).astype(np.uint64) for _ in range(70)]

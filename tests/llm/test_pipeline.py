@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 import re
 import zlib
 from collections import Counter
@@ -10,7 +11,7 @@ import public_tokenizers as P
 import pytest
 import tiktoken
 
-from tracelake.llm import packing, rules
+from tracelake.llm import exact_dedup, langid, near_dup, packing, rules
 from tracelake.llm.bpe import load_ranks
 from tracelake.llm.common import staged
 from tracelake.llm.queries import ORACLE_SQL, QUERIES
@@ -41,9 +42,87 @@ def test_columns(steps):
         assert after <= before and after
 
 
-def test_language_stage(steps):
+def brute_language(rows):
+    """The documents that stay by exact sets of n-grams, for rows (doc_id, text, lang)."""
+    rates = {}
+    for lang in sorted({x for _, _, x in rows if x}):
+        n = Counter(k for _, t, x in rows if x == lang and t is not None for k in langid.grams([t.encode()])[0].tolist())
+        rates[lang] = {k: v / sum(n.values()) for k, v in n.items()}
+    top = Counter()
+    for of in rates.values():
+        for k, v in of.items():
+            top[k] = max(top[k], v)
+    sets = {x: {k for k, v in of.items() if v >= langid.MIN_RATE and v >= langid.SHARE * top[k]} for x, of in rates.items()}
+    for_all = set.intersection(*sets.values()) if len(sets) > 1 else set()
+    measured = {}
+    for i, t, lang in rows:
+        keys = langid.grams([(t or "").encode()])[0].tolist()
+        hits = sorted(((sum(k in s and k not in for_all for k in keys), x) for x, s in sets.items()), key=lambda h: (-h[0], h[1]))
+        if any(c.isalpha() for c in t or ""):
+            (own, best), two = hits[0], hits[0][0] + hits[1][0]
+            measured[i] = (best == lang, sum(k in sets[best] for k in keys) / len(keys), own / two if two else 0, len(keys), two)
+    right = [m for m in measured.values() if m[0] and m[4]]
+    low = [sorted(m[k] for m in right)[int(langid.QUANTILE * len(right))] for k in (1, 2)]
+    low = langid.SLACK * low[0], 0.5 + langid.SLACK * (low[1] - 0.5)
+
+    def upper(p, n):
+        n, z = n / langid.GRAM, langid.WIDTH
+        return (p + z * z / (2 * n) + z * (p * (1 - p) / n + z * z / (4 * n * n)) ** 0.5) / (1 + z * z / n) if n else 1
+
+    return {i for i, (_, known, lead, n, two) in measured.items() if upper(known, n) >= low[0] and upper(lead, two) >= low[1]}
+
+
+def planted(spark, docs):
+    """docs with noise, blobs and texts of two languages, and the ids of these."""
+    rng = random.Random(1)
+    of = {x: [r.text for r in docs.collect() if r.lang == x and len(r.text) > 1500] for x in ("en", "de")}
+    noise = [" ".join("".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(rng.randrange(2, 10))) for _ in range(200)) for _ in range(5)]
+    blobs = ["".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(900)) for _ in range(5)]
+    mixed = [of["en"][k][:1500] + " " + of["de"][k][:1500] for k in range(3)]
+    rows = [(10**6 + k, t, None, "s", len(t)) for k, t in enumerate(noise + blobs + mixed)]
+    names = ["doc_id", "text", "lang", "source", "n_chars"]
+    more = spark.createDataFrame(rows, docs.select(*names).schema)
+    return docs.select(*names).unionByName(more), {r[0] for r in rows}
+
+
+def test_language_stage(spark, sf_dir, steps):
     _, docs, result = steps[0]
     assert set(texts(result)) == {i for i, text in texts(docs).items() if any(c.isalpha() for c in text)}
+    more, bad = planted(spark, docs)
+    more = staged(more, "test-planted")
+    left = set(texts(corpus_pipeline.known_language(spark, more, sf_dir)))
+    assert not left & bad
+    assert left == brute_language([(r.doc_id, r.text, r.lang) for r in more.collect()])
+    good = {r.doc_id for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect() if r.quality == 1}
+    assert good <= left
+
+
+def test_language_stage_without_languages(spark, sf_dir):
+    """Nothing learned: only texts without a letter go."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("doc_id", "if(doc_id = 7, '123 !', text) AS text", "cast(null AS string) AS lang")
+    assert corpus_pipeline.known_language(spark, staged(docs, "test-unlabelled"), sf_dir).count() == docs.count() - 1
+
+
+@pytest.mark.parametrize("k", range(4))
+def test_rows_are_those_decided_on(spark, sf_dir, steps, monkeypatch, k):
+    """Other splits of the table between a stage's scans change nothing."""
+    name, stage = corpus_pipeline.STAGES[k]
+    of, what = [(langid, "identify"), (rules, "judge"), (exact_dedup, "dedup"), (near_dup, "join")][k]
+    real, sizes = getattr(of, what), {"spark.sql.files.maxPartitionBytes": "20000", "spark.sql.leafNodeDefaultParallelism": "16", "spark.sql.files.openCostInBytes": "0"}
+
+    def then_others(*args, **kwargs):
+        found = staged(real(*args, **kwargs), "test-found")
+        for key, value in sizes.items():
+            spark.conf.set(key, value)
+        return found
+
+    monkeypatch.setattr(of, what, then_others)
+    try:
+        found = Counter(r.doc_id for r in stage(spark, steps[k][1], sf_dir).collect())
+    finally:
+        for key in sizes:
+            spark.conf.unset(key)
+    assert found == Counter(r.doc_id for r in steps[k][2].collect())
 
 
 def test_rules_stage(spark, sf_dir, steps):

@@ -6,12 +6,15 @@ from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..scratch import scratch, shared_dir, staged
 
-__all__ = ["ASCII_LOWER", "STEP_BYTES", "chunks", "column", "crc_mod", "partitions", "row_id", "scratch", "shared_dir", "staged"]
+__all__ = ["ASCII_LOWER", "STEP_BYTES", "chunks", "column", "crc_mod", "join_counted", "numbered", "partitions", "row_id", "scratch", "shared_dir", "staged"]
+
+#: A key with more than one in HOT of all rows is hot; at most HOT keys are.
+HOT = 1024
 
 #: Input bytes that one numpy step handles at once; temporary arrays are a small multiple of it.
 STEP_BYTES = 1 << 20
@@ -23,9 +26,36 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def row_id():
-    """A number for each input row; fixed once staged. Documents may repeat doc_id or lack it."""
-    return F.monotonically_increasing_id()
+def row_id(rid: str | None = None) -> Column:
+    """A number for each row, as documents may repeat doc_id or lack it: the column rid if the rows have one.
+
+    Without one it follows from how the table is cut into tasks, so it may
+    leave a single scan only by being written; what scans twice takes a table
+    from numbered().
+    """
+    return F.col(rid) if rid else F.monotonically_increasing_id()
+
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a column of row numbers, and its name. Written once, so every later scan finds the same numbers
+    however many executors there are by then."""
+    taken, name = {c.lower() for c in docs.columns}, "__rid"
+    while name in taken:
+        name += "_"
+    return staged(docs.select("*", F.monotonically_increasing_id().alias(name)), "numbered"), name
+
+
+def join_counted(rows: DataFrame, per_key: DataFrame, keys: list[str], count: str, total: int) -> DataFrame:
+    """rows joined with per_key, which has one row for each key and the number of rows of that key.
+
+    Hot keys, at most HOT of them, meet their rows by broadcast, so none of
+    them gathers in one task. Both inputs are read twice.
+    """
+    heavy = F.col(count) > max(1000, total // HOT)
+    hot = per_key.filter(heavy)
+    here = rows.join(F.broadcast(hot), keys)
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(per_key.filter(~heavy), keys)
+    return here.unionByName(rest)
 
 
 def crc_mod(col: str, by: int):

@@ -5,10 +5,15 @@ normalised text. New data is reduced to one row for each digest, joined
 against the index by a sort-merge anti-join (only the new side moves, the
 index is read bucket by bucket as it lies), and what is new is appended.
 
+The number of buckets is written beside the table and read on opening, so
+the session's settings don't matter. An append counts once its marker is
+written: rows of an attempt that died are never seen, and a batch that runs
+again under its name finds its own rows and gives the same result.
+
 Defined results: a null text counts as empty, empty texts equal each other,
 the row with the largest doc_id stays (a null id is smaller than any other),
 and of rows that repeat that id exactly one stays. Other columns are ignored.
-An empty table gives an empty result and leaves the index as it was.
+An empty table gives an empty result and adds nothing to the index.
 """
 
 from __future__ import annotations
@@ -21,75 +26,102 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, column, partitions, row_id, scratch, staged
-
-#: A digest with more than one row in HOT_SHARE of all is joined by broadcast: at most HOT_SHARE such rows exist.
-HOT_SHARE = 1024
+from ..scratch import mark, marks
+from .common import ASCII_LOWER, column, join_counted, numbered, partitions, row_id, scratch, staged
 
-_INDEX = "digest binary, doc_id long, rid long, batch string, group_size long"
+_INDEX = "digest binary, doc_id long, group_size long, batch string, attempt string"
 
 
-def digests(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def digests(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", rid: str | None = None) -> DataFrame:
     """(rid, doc_id, digest): SHA-256 of each whole text after lower-casing A-Z."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [hashlib.sha256((x or b"").translate(ASCII_LOWER)).digest() for x in column(batch, "t").to_pylist()]
+            out = [hashlib.sha256((x.as_py() or b"").translate(ASCII_LOWER)).digest() for x in column(batch, "t")]
             yield pa.RecordBatch.from_arrays([column(batch, "rid"), column(batch, "doc_id"), pa.array(out, pa.binary())], ["rid", "doc_id", "digest"])
 
-    rows = docs.select(row_id().alias("rid"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("t"))
+    rows = docs.select(row_id(rid).alias("rid"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("t"))
     return rows.mapInArrow(run, "rid long, doc_id long, digest binary")
 
 
 class DigestIndex:
-    """A bucketed digest table at a path; opening the same path again finds what was appended before."""
+    """A bucketed digest table at a path; opening the same path again finds what was appended before.
+
+    path/rows holds the table, path/layout the number of buckets and
+    path/batches the markers of the appends that count (one small file for
+    each batch; their names are listed on the driver).
+    """
 
     def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None):
-        self.spark, self.path = spark, path or scratch(spark, "digest-index")
-        self.buckets = buckets or partitions(spark)
+        self.spark, self.path = spark, (path or scratch(spark, "digest-index")).rstrip("/")
+        laid = [int(x.split("-")[1]) for x in marks(spark, f"{self.path}/layout")]
+        if laid and buckets not in (None, laid[0]):
+            raise ValueError(f"the index at {self.path} has {laid[0]} buckets, not {buckets}")
+        self.buckets = laid[0] if laid else buckets or partitions(spark)
+        if not laid:
+            mark(spark, f"{self.path}/layout/buckets-{self.buckets}")
         self.table = f"digest_index_{uuid.uuid4().hex[:12]}"
-        spark.sql(f"CREATE TABLE {self.table} ({_INDEX}) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{self.path}'")
+        spark.sql(f"CREATE TABLE {self.table} ({_INDEX}) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{self.path}/rows'")
+
+    def close(self) -> None:
+        """Takes the table out of the catalog; its files stay."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+
+    def _published(self) -> dict[str, str]:
+        """batch -> the attempt of it that counts."""
+        return dict(x.split("-") for x in marks(self.spark, f"{self.path}/batches"))
+
+    def _publish(self, batch: str, attempt: str) -> None:
+        mark(self.spark, f"{self.path}/batches/{batch}-{attempt}")
 
     def rows(self) -> DataFrame:
-        return self.spark.table(self.table)
+        """The rows of all appends that count."""
+        return self.spark.table(self.table).filter(F.col("attempt").isin(list(self._published().values())))
 
     def unseen(self, groups: DataFrame) -> DataFrame:
         """The rows of groups whose digest the index lacks."""
         return groups.join(self.rows().select("digest").hint("merge"), "digest", "left_anti")
 
-    def append(self, groups: DataFrame) -> None:
-        names = [x.split()[0] for x in _INDEX.split(", ")]
-        groups.select(*names).repartition(self.buckets, "digest").sortWithinPartitions("digest").write.mode("append").insertInto(self.table)
+    def append(self, groups: DataFrame, batch: str) -> None:
+        """Adds the groups (digest, doc_id, group_size) that the index lacks; nothing if the batch was added before."""
+        if batch in self._published():
+            return
+        attempt = uuid.uuid4().hex
+        new = self.unseen(groups).select("digest", "doc_id", "group_size", F.lit(batch).alias("batch"), F.lit(attempt).alias("attempt"))
+        new.repartition(self.buckets, "digest").sortWithinPartitions("digest").write.mode("append").insertInto(self.table)
+        self._publish(batch, attempt)
 
 
-def dedup(docs: DataFrame, index: DigestIndex | None = None, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def dedup(docs: DataFrame, index: DigestIndex | None = None, text: str = "text", doc_id: str = "doc_id", rid: str | None = None, batch: str | None = None) -> DataFrame:
     """One row per document: rid, doc_id, digest, keep_id, group_size, kept. Appends new digests to the index.
 
     keep_id is the id that stays, from this data or from what the index held
-    before; group_size counts the rows of the digest's first batch.
+    before; group_size counts the rows of the digest's first batch. A batch
+    name makes a run repeatable: the same data under the same name gives the
+    same rows, whether the run before died or not. rid names a column of row
+    numbers, if docs has one.
     """
     spark = docs.sparkSession
+    own = index is None
     index = index or DigestIndex(spark)
-    batch = uuid.uuid4().hex
-    rows = staged(digests(docs, text, doc_id), "digests")
+    batch = hashlib.sha1((batch or uuid.uuid4().hex).encode()).hexdigest()
+    rows = staged(digests(docs, text, doc_id, rid), "digests")
     groups = rows.groupBy("digest").agg(F.max(F.struct("doc_id", "rid")).alias("best"), F.count("*").alias("group_size"))
-    groups = groups.select("digest", "best.doc_id", "best.rid", F.lit(batch).alias("batch"), "group_size")
-    index.append(index.unseen(groups))
+    groups = staged(groups.select("digest", "best.doc_id", "best.rid", "group_size"), "digest-groups")
+    index.append(groups, batch)
 
-    known = index.rows().select("digest", F.col("doc_id").alias("keep_id"), F.col("rid").alias("keep_rid"), "batch", "group_size")
-    n = rows.count()
-    # In this order a digest that holds a large share of the rows never meets in one task.
-    heavy = rows.groupBy("digest").count().filter(F.col("count") > max(1000, n // HOT_SHARE)).select("digest")
-    hot = staged(known.join(heavy, "digest", "left_semi"), "hot-digests")
-    here = rows.join(F.broadcast(hot), "digest")
-    rest = rows.join(F.broadcast(hot.select("digest")), "digest", "left_anti").join(known, "digest")
-    kept = (F.col("batch") == batch) & (F.col("rid") == F.col("keep_rid"))
-    return here.unionByName(rest).select("rid", "doc_id", "digest", "keep_id", "group_size", kept.alias("kept"))
+    known = index.rows().select("digest", F.col("doc_id").alias("keep_id"), F.col("group_size").alias("first_size"), (F.col("batch") == batch).alias("own"))
+    here = groups.select("digest", F.col("rid").alias("best_rid"), F.col("group_size").alias("n"))
+    known = staged(here.join(known.hint("merge"), "digest"), "known-digests")
+    if own:
+        index.close()
+    kept = F.col("own") & (F.col("rid") == F.col("best_rid"))
+    found = join_counted(rows, known, ["digest"], "n", rows.count())
+    return found.select("rid", "doc_id", "digest", "keep_id", F.col("first_size").alias("group_size"), kept.alias("kept"))
 
 
 def keep_first_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The rows of docs that stay, with their columns. docs is read twice and has to give the same rows in the same order, as a table does."""
-    names = docs.columns
-    numbered = docs.select("*", row_id().alias("__rid"))
-    gone = dedup(docs, None, text, doc_id).filter(~F.col("kept")).select(F.col("rid").alias("__rid"))
-    return numbered.join(staged(gone, "dropped"), "__rid", "left_anti").select(*names)
+    """The rows of docs that stay, with their columns."""
+    rows, rid = numbered(docs)
+    gone = dedup(rows, None, text, doc_id, rid).filter(~F.col("kept")).select(F.col("rid").alias(rid))
+    return rows.join(staged(gone, "dropped"), rid, "left_anti").select(*docs.columns)

@@ -11,13 +11,24 @@ those of a line that half the corpus repeats, count for none.
 The filter learns from n-gram counts over all training rows. A language
 contains an n-gram if its rate there is at least MIN_RATE, which bounds the
 n-grams of a language by 1 / MIN_RATE, and at least SHARE of the highest
-rate in any language.
+rate in any language: below that its occurrences there are taken for
+quotations and mislabelled rows, not for the language's own.
+
+How sure a prediction is follows from two shares: known, that of a text's
+n-grams which its best language contains, and lead, that of the best
+language's n-grams among those of the best and the second (only n-grams that
+tell languages apart). A text is rejected if it has no letter, or if one of
+the two surely (by an upper confidence bound, so few n-grams reject nothing)
+lies below SLACK times what all but QUANTILE of the rightly predicted
+labelled rows reach. Noise and languages never learned fail by known, texts
+of two languages by lead.
 
 Defined results: `und` with score 0 for a null text or one without a letter,
 or if nothing was learned; a text without an n-gram that tells languages apart
 gets the most frequent training language with score 0; on ties the language that sorts
-first wins; rows without text or language teach nothing; repeated rows count
-each; other columns are ignored.
+first wins; rows without text or language teach nothing; if nothing was
+learned, only texts without a letter are rejected; repeated rows count each;
+an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -41,6 +52,10 @@ MIN_RATE, SHARE = 2.0**-16, 0.3
 #: Slots for each n-gram.
 SLOTS = 8
 
+#: The share of rightly predicted rows below the calibration point, how far under it a text has to lie, and the width of
+#: the confidence bound in standard deviations.
+QUANTILE, SLACK, WIDTH = 0.001, 0.75, 3.0
+
 UNKNOWN = "und"
 
 #: Lower-cases A-Z; every other ASCII byte that is no letter becomes a space.
@@ -84,8 +99,9 @@ class Filter:
     chance: np.ndarray  # false positives for each language
     fallback: int
 
-    def counts(self, texts: list[bytes]) -> np.ndarray:
-        """Corrected popcounts (text, language) of the n-grams that not all languages contain: those tell nothing."""
+    def counts(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Corrected popcounts (text, language) of the n-grams that not all languages contain, as those tell nothing; of all
+        n-grams; and the number of n-grams of each text."""
         key, owner = grams(texts)
         total = np.bincount(owner, minlength=len(texts)).astype(float)
         at = slots(key, len(self.masks))
@@ -106,21 +122,29 @@ class Filter:
                 for k in here:
                     has = (mask >> self.masks.dtype.type(k % bits)) & self.masks.dtype.type(1)
                     hits[:, k] = np.bincount(owner, weights=has, minlength=len(texts))
-        if len(self.languages) > 1:
-            shared = np.bincount(owner, weights=common, minlength=len(texts))
-            hits, total = hits - shared[:, None], total - shared
-        return np.maximum(0, (hits - total[:, None] * self.chance) / (1 - self.chance))
-
-    def predict(self, texts: list[bytes | None]) -> tuple[list[str], list[float]]:
-        names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
-        told = [i for i, t in enumerate(texts) if t and has_letter(t)]
+
+        def corrected(hits: np.ndarray, total: np.ndarray) -> np.ndarray:
+            return np.maximum(0, (hits - total[:, None] * self.chance) / (1 - self.chance))
+
+        known = corrected(hits, total)
+        if len(self.languages) == 1:
+            return known, known, total
+        shared = np.bincount(owner, weights=common, minlength=len(texts))
+        return corrected(hits - shared[:, None], total - shared), known, total
+
+    def predict(self, texts: list[bytes | None]) -> list[tuple]:
+        """(language, score, has a letter, n-grams, known, n-grams of the two best languages, lead) of each text."""
+        out = [(UNKNOWN, 0.0, bool(t) and has_letter(t), 0.0, 0.0, 0.0, 0.0) for t in texts]
+        told = [i for i, x in enumerate(out) if x[2]]
         if told and self.languages:
-            corrected = self.counts([texts[i] for i in told])
-            best, total = corrected.argmax(1), corrected.sum(1)
+            tell, known, total = self.counts([texts[i] for i in told])
+            best, all_tell = tell.argmax(1), tell.sum(1)
+            second = np.sort(tell, 1)[:, -2] if len(self.languages) > 1 else np.zeros(len(told))
             for row, i in enumerate(told):
-                k = int(best[row]) if total[row] > 0 else self.fallback
-                names[i], scores[i] = self.languages[k], float(corrected[row, k] / total[row]) if total[row] > 0 else 0.0
-        return names, scores
+                k = int(best[row]) if all_tell[row] > 0 else self.fallback
+                own, two = float(tell[row, k]), float(tell[row, k] + second[row])
+                out[i] = (self.languages[k], own / all_tell[row] if all_tell[row] > 0 else 0.0, True, total[row], known[row, k] / total[row] if total[row] else 0.0, two, own / two if two else 0.0)
+        return out
 
 
 def has_letter(text: bytes) -> bool:
@@ -186,13 +210,43 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> Filter:
     return found
 
 
-def identify(docs: DataFrame, known: Filter, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """rid, doc_id, lang_pred, score of every whole text."""
+_SURE = "letters boolean, grams double, known double, both double, lead double"
+
+
+def identify(docs: DataFrame, known: Filter, text: str = "text", doc_id: str = "doc_id", rid: str | None = None, lang: str | None = None) -> DataFrame:
+    """rid, doc_id, lang_pred, score of every whole text, and what rejected() asks for; lang names a column of true languages that is carried along."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "t"):
-            names, scores = known.predict([x.as_py() for x in column(batch, "t")])
-            yield pa.RecordBatch.from_arrays([column(batch, "rid"), column(batch, "doc_id"), pa.array(names), pa.array(scores, pa.float64())], ["rid", "doc_id", "lang_pred", "score"])
-
-    rows = docs.select(row_id().alias("rid"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("t"))
-    return rows.mapInArrow(run, "rid long, doc_id long, lang_pred string, score double")
+            found = list(zip(*known.predict([x.as_py() for x in column(batch, "t")]), strict=True))
+            kinds = [pa.string(), pa.float64(), pa.bool_(), *[pa.float64()] * 4]
+            arrays = [pa.array(x, k) for x, k in zip(found, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([column(batch, "rid"), column(batch, "doc_id"), column(batch, "lang"), *arrays], [f.split()[0] for f in schema.split(", ")])
+
+    schema = "rid long, doc_id long, lang string, lang_pred string, score double, " + _SURE
+    rows = docs.select(row_id(rid).alias("rid"), F.col(doc_id).cast("long").alias("doc_id"), (F.col(lang) if lang else F.lit(None)).cast("string").alias("lang"), F.col(text).cast("binary").alias("t"))
+    return rows.mapInArrow(run, schema)
+
+
+def floors(found: DataFrame) -> tuple[float, float]:
+    """The least known and lead of a text that is not rejected: SLACK times those that all but QUANTILE of the rightly
+    predicted labelled rows reach (of a lead what lies over one half counts, as the best language has that much anyway)."""
+    right = found.filter((F.col("lang") == F.col("lang_pred")) & (F.col("grams") > 0) & (F.col("both") > 0))
+    out = []
+    for name in ("known", "lead"):  # in thousandths, so the driver gets 1001 counts at most
+        bins = sorted((r.b, r.n) for r in right.groupBy(F.floor(F.col(name) * 1000).alias("b")).agg(F.count("*").alias("n")).collect())
+        share = np.cumsum([n for _, n in bins]) / max(1, sum(n for _, n in bins))
+        out.append(bins[int(np.searchsorted(share, QUANTILE, "right"))][0] / 1000 if bins else 0.0)
+    return SLACK * out[0], 0.5 + SLACK * max(0.0, out[1] - 0.5) if out[1] else 0.0
+
+
+def upper(share, n):
+    """The upper confidence bound (Wilson) of a share of n overlapping n-grams, which are worth n / GRAM independent ones."""
+    n = F.nullif(n / GRAM, F.lit(0.0))
+    return F.coalesce((share + WIDTH**2 / (2 * n) + WIDTH * F.sqrt(share * (1 - share) / n + WIDTH**2 / (4 * n * n))) / (1 + WIDTH**2 / n), F.lit(1.0))
+
+
+def rejected(found: DataFrame) -> DataFrame:
+    """The rows of found, as from identify() with true languages, whose text is in no language that was learned, or in two."""
+    known, lead = floors(found)
+    return found.filter(~F.col("letters") | (upper(F.col("known"), F.col("grams")) < known) | (upper(F.col("lead"), F.col("both")) < lead))

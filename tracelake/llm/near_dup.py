@@ -1,26 +1,35 @@
 """Similarity join on word shingles by a MinHash LSH forest, with exact verification.
 
-Texts with the same set of shingles are one node. Each of TREES trees orders
-the nodes by a signature of DEPTH minima; a trie node at depth x is a run of
-signatures that share a prefix of length x, and its texts are candidates.
-A link of similarity s is found with probability 1 - (1 - s**x)**TREES, least
-at the threshold. Prefixes are shortened from the full depth until a link at
-the threshold itself is found with the target's probability, so no table's
-mix of similarities, such as one large group of near copies, can make links
-just over the threshold rarer. All candidates are verified exactly.
-
-Candidates are linked to the least text of their trie node, never to each
-other, and the connected candidates are verified together in blocks: a large
-set is cut into chunks, each pair of chunks is a task's unit, and shingle
-sets are compared by sparse counting there. Only link counts and a spanning
-forest of the links leave a block, so no pair list is ever made, and no
-candidate is dropped.
+Texts with the same set of shingles are one node. A tree of the forest is a
+prefix trie over signatures of DEPTH minima, held as its sorted list of
+leaves: all trees' (tree, signature, node) are range-partitioned and sorted,
+and a trie node at depth x is a run of neighbours that share a prefix of
+length x. Its texts are candidates. Runs are found in one pass over the
+sorted rows; a run that crosses ranges is joined up by its ends, so a run of
+any size is spread over as many tasks as it fills.
+
+A link of similarity s shares a prefix of length x in some of t trees with
+probability 1 - (1 - s**x)**t, least at the threshold. Prefixes are
+shortened, from the whole signature on, until a link at the threshold itself
+is found with the target's probability; where one minimum is still too long,
+trees are added. Candidates of a length are candidates of all shorter ones,
+so only the last length is verified. No table's mix of similarities, such as
+one large group of near copies, makes links just over the threshold rarer.
+All candidates are verified exactly.
+
+Candidates are linked to one text of their run, never to each other, and
+the connected candidates are verified together in blocks: a large set is cut
+into chunks, each pair of chunks is a task's unit, and shingle sets are
+compared by sparse counting there. Only link counts and a spanning forest of
+the links leave a block, so no pair list is ever made, and no candidate is
+dropped.
 
 Defined results: words are split at ASCII white space after lower-casing
 A-Z; a text of fewer words than a shingle is one shingle; a null, empty or
 wordless text is similar to none, not even to another such; equal texts and
 repeated rows are links of similarity 1; a null doc_id never is a class id
-unless all ids of the class are null; other columns are ignored.
+unless all ids of the class are null; an empty table gives an empty result;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,13 +41,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, column, partitions, row_id, staged
+from .common import chunks, column, join_counted, numbered, partitions, row_id, staged
 from .graph import components
 from .shingles import mix, minima, sets, shingle_hashes
 
 THRESHOLD, TARGET = 0.8, 0.9995
 
-TREES, DEPTH, LEAST_DEPTH = 16, 6, 3
+#: Trees of the forest, and minima in a signature.
+TREES, DEPTH = 16, 6
 
 #: A chunk of a candidate set has about so many texts or bytes of shingles.
 CHUNK_TEXTS, CHUNK_BYTES = 512, 16 << 20
@@ -49,20 +59,19 @@ def found_share(s: np.ndarray | float, depth: int, trees: int = TREES):
     return 1 - (1 - np.asarray(s, float) ** depth) ** trees
 
 
-def prefixes(h: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """(text, tree, depth from LEAST_DEPTH to DEPTH) hashes of the signature's prefixes."""
-    least = minima(h, n, TREES * DEPTH).reshape(-1, TREES, DEPTH)
-    out = np.empty((len(n), TREES, DEPTH - LEAST_DEPTH + 1), np.uint64)
-    key = np.zeros((len(n), TREES), np.uint64)
-    for x in range(DEPTH):
-        key = mix(key * np.uint64(0x9E3779B97F4A7C15) + least[:, :, x])
-        if x + 1 >= LEAST_DEPTH:
-            out[:, :, x + 1 - LEAST_DEPTH] = key
-    return out
+def shortened(threshold: float, target: float) -> tuple[int, int]:
+    """(prefix length, trees) that find a link at the threshold with the target's probability: the longest prefix that TREES
+    trees suffice for, or one minimum in as many more trees as it takes."""
+    if not (0 < threshold <= 1 and 0 < target < 1):
+        raise ValueError("threshold and target lie between 0 and 1")
+    for x in range(DEPTH, 0, -1):
+        if found_share(threshold, x) >= target:
+            return x, TREES
+    return 1, int(np.ceil(np.log(1 - target) / np.log(1 - threshold)))
 
 
-def sketched(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
-    """rid, doc_id, hi, lo (hash of the set of shingles, null without words), keys (binary prefixes)."""
+def sketched(docs: DataFrame, trees: int, text: str, doc_id: str, rid: str | None = None) -> DataFrame:
+    """rid, doc_id, t (the text), hi, lo (hash of the set of shingles, null without words), keys (signatures)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "t"):
@@ -70,42 +79,62 @@ def sketched(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
             some = np.flatnonzero(n)
             hi, lo, keys = [None] * len(n), [None] * len(n), [None] * len(n)
             if len(some):
-                found = prefixes(h, n[some])
-                for i, s, k in zip(some.tolist(), sets(h, n[some]), found, strict=True):
+                least = (minima(h, n[some], trees * DEPTH) >> np.uint64(32)).astype(">u4")
+                for i, s, k in zip(some.tolist(), sets(h, n[some]), least, strict=True):
                     m = mix(s)
                     hi[i], lo[i], keys[i] = int(m.sum().view(np.int64)), int(np.bitwise_xor.reduce(mix(m)).view(np.int64)), k.tobytes()
-            yield pa.RecordBatch.from_arrays([column(batch, "rid"), column(batch, "doc_id"), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(keys, pa.binary())], ["rid", "doc_id", "hi", "lo", "keys"])
-
-    return _input(docs, text, doc_id).mapInArrow(run, "rid long, doc_id long, hi long, lo long, keys binary")
-
-
-def _input(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
-    return docs.select(row_id().alias("rid"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("t"))
-
+            yield pa.RecordBatch.from_arrays([column(batch, "rid"), column(batch, "doc_id"), column(batch, "t"), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(keys, pa.binary())], ["rid", "doc_id", "t", "hi", "lo", "keys"])
 
-_LEVELS = [f"p{x}" for x in range(LEAST_DEPTH, DEPTH + 1)]
+    rows = docs.select(row_id(rid).alias("rid"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("t"))
+    return rows.mapInArrow(run, "rid long, doc_id long, t binary, hi long, lo long, keys binary")
 
 
-def forest(nodes: DataFrame, levels: list[str]) -> DataFrame:
-    """rep, tree and the prefixes of some lengths (p3 to p6) of every node and tree."""
-    which = [_LEVELS.index(p) for p in levels]
+def forest(nodes: DataFrame, trees: int) -> DataFrame:
+    """tree, key, rep: the leaves of all tries in order. A key is DEPTH big-endian minima, so its bytes sort as they do."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, 2048):
                 part = batch.slice(a, 2048)
-                k = np.frombuffer(b"".join(column(part, "keys").to_pylist()), np.int64).reshape(-1, TREES, len(_LEVELS))
-                rep = np.repeat(column(part, "rep").to_numpy(), TREES)
-                tree = np.tile(np.arange(TREES, dtype=np.int32), len(k))
-                yield pa.RecordBatch.from_arrays([pa.array(rep), pa.array(tree), *(pa.array(k[:, :, i].ravel()) for i in which)], ["rep", "tree", *levels])
+                keys = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * DEPTH), part.num_rows * trees, [None, pa.py_buffer(b"".join(column(part, "keys").to_pylist()))])
+                rep = np.repeat(column(part, "rep").to_numpy(), trees)
+                tree = np.tile(np.arange(trees, dtype=np.int32), part.num_rows)
+                yield pa.RecordBatch.from_arrays([pa.array(tree), keys.cast(pa.binary()), pa.array(rep)], ["tree", "key", "rep"])
 
-    return nodes.select("rep", "keys").mapInArrow(run, "rep long, tree int, " + ", ".join(f"{p} long" for p in levels))
+    leaves = staged(nodes.select("rep", "keys").mapInArrow(run, "tree int, key binary, rep long"), "forest")
+    # The node is part of the order, so that a run of equal signatures is cut between ranges too.
+    return leaves.repartitionByRange(partitions(nodes.sparkSession), "tree", "key", "rep").sortWithinPartitions("tree", "key", "rep")
 
 
-def trie_links(trees: DataFrame, level: str) -> DataFrame:
-    """(u, v): each text of a trie node with the least one of it."""
-    runs = trees.groupBy("tree", level).agg(F.min("rep").alias("v"), F.count("*").alias("n")).filter("n > 1")
-    return trees.select("rep", "tree", level).join(runs, ["tree", level]).select(F.col("rep").alias("u"), "v").filter("u <> v").distinct()
+def trie_links(leaves: DataFrame, depth: int) -> DataFrame:
+    """(u, v): each text of a trie node at this depth with one text of it. leaves as from forest()."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = last = None  # (tree, prefix, centre) of the range's first and of its current run
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            tree, rep = column(batch, "tree").to_numpy(), column(batch, "rep").to_numpy()
+            minimum = np.frombuffer(b"".join(column(batch, "key").to_pylist()), ">u4").reshape(-1, DEPTH)[:, :depth]
+            new = np.append(True, (tree[1:] != tree[:-1]) | (minimum[1:] != minimum[:-1]).any(1))
+            if last is not None and last[0] == tree[0] and last[1] == minimum[0].tobytes():
+                new[0] = False
+            starts = np.flatnonzero(new)
+            centre = np.append(last[2] if last else 0, rep[starts])[new.cumsum()]
+            if len(starts):
+                last = (int(tree[starts[-1]]), minimum[starts[-1]].tobytes(), int(rep[starts[-1]]))
+            if first is None:
+                first = (int(tree[0]), minimum[0].tobytes(), int(rep[0]))
+            own = np.flatnonzero(rep != centre)
+            none = pa.nulls(len(own))
+            yield pa.RecordBatch.from_arrays([pa.array(rep[own]), pa.array(centre[own]), none.cast(pa.int32()), none.cast(pa.binary())], ["u", "v", "tree", "prefix"])
+        for t, p, c in dict.fromkeys(x for x in (first, last) if x):
+            yield pa.RecordBatch.from_arrays([pa.array([c]), pa.array([c]), pa.array([t], pa.int32()), pa.array([p], pa.binary())], ["u", "v", "tree", "prefix"])
+
+    found = staged(leaves.mapInArrow(run, "u long, v long, tree int, prefix binary"), "runs")
+    ends = found.filter("prefix is not null").select("tree", "prefix", "u")  # two of a range at most
+    joined = ends.join(ends.groupBy("tree", "prefix").agg(F.min("u").alias("v")), ["tree", "prefix"]).filter("u <> v")
+    return found.filter("prefix is null").select("u", "v").unionByName(joined.select("u", "v"))
 
 
 def overlaps(found: list[np.ndarray]) -> np.ndarray:
@@ -165,7 +194,8 @@ def verified(sets_of: DataFrame, groups: DataFrame, threshold: float) -> DataFra
     spark = sets_of.sparkSession
     sizes = groups.join(sets_of.select("rep", F.octet_length("shingles").alias("b")), F.col("rep") == F.col("node")).groupBy("root").agg(F.count("*").alias("n"), F.sum("b").alias("b"))
     parts = F.greatest(F.ceil(F.col("n") / CHUNK_TEXTS), F.ceil(F.col("b") / CHUNK_BYTES)).cast("int")
-    places = groups.join(sizes.select("root", parts.alias("parts")), "root").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    places = join_counted(groups, staged(sizes.select("root", "n", parts.alias("parts")), "set-sizes"), ["root"], "n", groups.count())
+    places = places.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     # A chunk goes to one block with each chunk of its candidates, itself included.
     dealt = sets_of.join(places, F.col("rep") == F.col("node")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     dealt = dealt.select("rep", "root", F.least("chunk", "other").alias("x"), F.greatest("chunk", "other").alias("y"), (F.col("chunk") > F.col("other")).cast("int").alias("side"), "copies", "shingles", "parts")
@@ -222,35 +252,27 @@ def _shingles(rows: DataFrame) -> DataFrame:
     return rows.select("rep", "copies", "t").mapInArrow(run, "rep long, copies long, shingles binary")
 
 
-def shortened(threshold: float, target: float) -> int:
-    """The longest prefix length that finds a link at the threshold with the target's probability (LEAST_DEPTH if none does)."""
-    for x in range(DEPTH, LEAST_DEPTH, -1):
-        if found_share(threshold, x) >= target:
-            return x
-    return LEAST_DEPTH
-
-
-def join(docs: DataFrame, threshold: float = THRESHOLD, target: float = TARGET, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One row per document: rid, doc_id, class_id, links, text_links, depth.
+def join(docs: DataFrame, threshold: float = THRESHOLD, target: float = TARGET, text: str = "text", doc_id: str = "doc_id", rid: str | None = None) -> DataFrame:
+    """One row per document: rid, doc_id, class_id, links, text_links, depth, recall.
 
     class_id is the least doc_id that links lead to, links the number of other
     documents of at least that similarity, text_links that of other sets of
-    shingles, depth the prefix length matched at. docs is read
-    twice and has to give the same rows in the same order, as a table does.
+    shingles, depth the prefix length matched at, recall the probability with
+    which that finds a link at the threshold (more similar ones are surer).
+    rid names a column of row numbers, if docs has one.
     """
-    rows = staged(sketched(docs, text, doc_id), "sketches")
-    nodes = rows.filter("hi is not null").groupBy("hi", "lo").agg(F.min("rid").alias("rep"), F.min_by("keys", "rid").alias("keys"), F.min("doc_id").alias("least"), F.count("*").alias("copies"))
+    depth, trees = shortened(threshold, target)
+    rows = staged(sketched(docs, trees, text, doc_id, rid), "sketches")
+    worded = rows.filter("hi is not null")
+    nodes = worded.groupBy("hi", "lo").agg(F.min("rid").alias("rep"), F.min_by("keys", "rid").alias("keys"), F.min("doc_id").alias("least"), F.count("*").alias("copies"))
     nodes = staged(nodes, "nodes")
-    depth = shortened(threshold, target)
-    level = f"p{depth}"
-    trees = staged(forest(nodes, [level]), "forest")
-    shared = trees.groupBy("tree", level).count().filter("count > 1").select("tree", level)
-    trees = staged(trees.join(shared, ["tree", level], "left_semi"), "shared-prefixes")
-    wanted = staged(nodes.select("rep", "copies").join(trees.select("rep").distinct(), "rep"), "candidates")
-    texts = _input(docs, text, doc_id).join(wanted, F.col("rid") == F.col("rep")).select("rep", "copies", "t")
+    pairs = staged(trie_links(forest(nodes, trees), depth).distinct(), "trie-links")
+    wanted = pairs.select(F.col("u").alias("rep")).unionByName(pairs.select(F.col("v").alias("rep"))).distinct()
+    wanted = staged(nodes.select("rep", "copies").join(wanted, "rep"), "candidates")
+    texts = rows.select("rid", "t").join(wanted, F.col("rid") == F.col("rep")).select("rep", "copies", "t")
     sets_of = staged(_shingles(texts), "shingle-sets")
 
-    groups = staged(components(trie_links(trees, level)), "candidate-sets")
+    groups = staged(components(pairs), "candidate-sets")
     links = staged(verified(sets_of, groups, threshold), "links")
 
     per_text = links.groupBy("rep").agg(F.sum("links").alias("links"), F.sum("text_links").alias("text_links"), F.min("least").alias("least"), F.min("root").alias("set"), F.max("whole").alias("whole"))
@@ -262,21 +284,21 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, target: float = TARGET,
         joined = components(several.select(F.col("rep").alias("u"), F.col("least").alias("v")))
         ends = ends.unionByName(joined.select(F.col("node").alias("rep"), "root"))
     classes = staged(ends.join(nodes.select("rep", "least"), "rep"), "classes")
-    least = classes.groupBy("root").agg(F.min("least").alias("class_id"))
-    classes = classes.join(least, "root").select("rep", "class_id")
+    least = staged(classes.groupBy("root").agg(F.min("least").alias("class_id"), F.count("*").alias("n")), "class-ids")
+    classes = join_counted(classes.select("rep", "root"), least, ["root"], "n", classes.count()).select("rep", "class_id")
     linked = classes.join(per_text.select("rep", "links", "text_links"), "rep")
     known = nodes.select("rep", "hi", "lo", "copies", "least").join(linked, "rep", "left")
-    known = known.select("hi", "lo", F.coalesce("class_id", "least").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("text_links", F.lit(0)).alias("text_links"))
-    known = staged(known, "known")
-    worded = rows.filter("hi is not null").join(known, ["hi", "lo"]).select("rid", "doc_id", "class_id", F.col("links").cast("long").alias("links"), F.col("text_links").cast("long").alias("text_links"))
-    wordless = rows.filter("hi is null").select("rid", "doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("links"), F.lit(0).cast("long").alias("text_links"))
-    return worded.unionByName(wordless).withColumn("depth", F.lit(depth))
+    known = known.select("hi", "lo", "copies", F.coalesce("class_id", "least").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("text_links", F.lit(0)).alias("text_links"))
+    out = ("rid", "doc_id", "class_id", F.col("links").cast("long").alias("links"), F.col("text_links").cast("long").alias("text_links"))
+    linked = join_counted(worded.select("rid", "doc_id", "hi", "lo"), staged(known, "known"), ["hi", "lo"], "copies", rows.count()).select(*out)
+    wordless = rows.filter("hi is null").select("rid", "doc_id", F.col("doc_id").alias("class_id"), F.lit(0).alias("links"), F.lit(0).alias("text_links")).select(*out)
+    return linked.unionByName(wordless).withColumn("depth", F.lit(depth)).withColumn("recall", F.lit(float(found_share(threshold, depth, trees))))
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The rows of docs without those whose class has a lesser doc_id (of rows that repeat it, one stays)."""
-    found = staged(join(docs, threshold, text=text, doc_id=doc_id), "near-duplicates")
-    some = found.filter("links > 0")
-    first = some.filter(F.col("class_id").eqNullSafe(F.col("doc_id"))).groupBy("class_id").agg(F.min("rid").alias("first"))
-    gone = some.join(first, some.class_id.eqNullSafe(first.class_id), "left").filter(~F.col("rid").eqNullSafe(F.col("first"))).select(F.col("rid").alias("__rid"))
-    return docs.select("*", row_id().alias("__rid")).join(staged(gone, "dropped"), "__rid", "left_anti").select(*docs.columns)
+    rows, rid = numbered(docs)
+    some = staged(join(rows, threshold, text=text, doc_id=doc_id, rid=rid).filter("links > 0"), "near-duplicates")
+    first = some.filter(F.col("class_id").eqNullSafe(F.col("doc_id"))).groupBy("class_id").agg(F.min("rid").alias("rid"))
+    gone = staged(some.select("rid").join(first.select("rid"), "rid", "left_anti").select(F.col("rid").alias(rid)), "dropped")
+    return rows.join(gone, rid, "left_anti").select(*docs.columns)
