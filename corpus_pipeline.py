@@ -1,11 +1,12 @@
 """Cleans and packs documents: STAGES in order, each reading what the one before wrote.
 
-A stage takes (spark, docs, sf_dir); docs is a table just read, so a scan of
-it gives the same rows in the same order each time. All but the last return
-the columns of documents, whatever they are called.
+A stage takes (spark, docs, sf_dir). All but the last return the columns of
+documents, whatever they are called. A stage that scans docs more than once
+numbers the rows in a written table first, so its decisions meet the rows
+they were made on whatever becomes of the executors in between.
 
 Defined results: a null, empty or wordless text has no letter and goes in the
-first stage; repeated rows are one document after exact dedup; of ties the
+first stage; without any lang only such go there; repeated rows are one document after exact dedup; of ties the
 stages' own rules decide (largest doc_id for equal texts, least for near
 copies); a null doc_id is the smallest for equal texts and the last choice
 for near copies; an empty table stays empty; missing labels leave only the
@@ -19,24 +20,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelake.llm import exact_dedup, langid, near_dup, packing, rules
-from tracelake.llm.common import row_id, staged
+from tracelake.llm.common import numbered, staged
 
-def without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """docs without the rows whose number (column rid) is rejected."""
-    gone = staged(rejected.select(F.col("rid").alias("__rid")), "rejected")
-    return docs.select("*", row_id().alias("__rid")).join(gone, "__rid", "left_anti").select(*docs.columns)
+
+def without(docs: DataFrame, rid: str, rejected: DataFrame) -> DataFrame:
+    """docs without the rows whose number (column rid) is rejected, and without that column."""
+    gone = staged(rejected.select(F.col("rid").alias(rid)), "rejected")
+    return docs.join(gone, rid, "left_anti").drop(rid)
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents of which no language can be told: those without a letter. An unsure choice rejects nothing."""
-    found = langid.identify(docs, langid.learn(docs))
-    return without(docs, found.filter(F.col("lang_pred") == langid.UNKNOWN))
+    """Rejects texts in no language that the corpus taught, or in two, where that is sure."""
+    rows, rid = numbered(docs)
+    found = staged(langid.identify(rows, langid.learn(rows), rid=rid, lang="lang"), "languages")
+    return without(rows, rid, langid.rejected(found))
 
 
 def passes_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents that fail the base rules or lie over the forest's threshold."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return without(docs, rules.judge(docs, labels).filter(~F.col("kept")))
+    rows, rid = numbered(docs)
+    return without(rows, rid, rules.judge(rows, labels, rid=rid).filter(~F.col("kept")))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
