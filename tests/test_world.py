@@ -43,6 +43,54 @@ def test_each_check_speaks_and_is_silent(number, relief):
             spec.compile_spec(scenarios.FAULTY[number])
 
 
+def test_all_specs_at_once(spark):
+    """Spark and one specification alone give the same issues; shape errors keep the meaning checks off."""
+    specs = scenarios.FAULTY | {"ring": scenarios.RING, "relief": scenarios.RELIEF, "shapeless": {k: v for k, v in scenarios.RING.items() if k != "space"}}
+    found = sorted((r.spec, r.check_id, r.severity, r.message, r.location) for r in spec.issues_frame(spark, specs).collect())
+    expected = sorted((name, i.check_id, i.severity, i.message, i.location) for name, data in specs.items() for i in spec.schema_issues(data) or spec.semantic_issues(data))
+    assert found == expected
+    assert [i.location for i in spec.semantic_issues(scenarios.FAULTY["5"]) if i.check_id == "5"] == ["termination.stop_conditions[0]"] * 2
+
+
+def test_rules_in_detail():
+    """What each rule leaves alone."""
+    def ring(*effects, **more):
+        return scenarios.RING | {"actions": {"actions": [{"action_type": "A", "effects": list(effects)}]}} | more
+
+    ids = lambda data: [i.check_id for i in spec.semantic_issues(data)]
+    energy = {"target": "entity", "field": "energy", "value": 1}
+    assert ids(ring(energy | {"op": "sub"}, energy | {"op": "add"})) == []
+    assert ids(ring({"target": "field", "field": "reward", "op": "set", "value": "$NEXT.energy"})) == []
+    assert ids(ring({"op": "add"})) == ["2"] and ids(ring({"target": "entity"})) == ["2"] and ids(ring({"target": "meta", "op": "add"})) == ["2", "8"]
+    assert ids(ring(energy | {"op": "add"}, time={"max_ticks": 20_000}, termination={"stop_conditions": []})) == ["4"]
+    assert ids(ring(energy | {"op": "add"}, termination={"stop_conditions": [{"kind": "custom"}, {"kind": "threshold", "field": "x", "op": ">", "value": 0}]})) == ["5"]
+    need = {"kind": "registry_unowned", "registry_type": "$kind"}
+    owned = {"actions": {"actions": [{"action_type": "A", "effects": [], "preconditions": [need]}]}}
+    assert ids(scenarios.RELIEF | owned) == []
+    assert ids(scenarios.RELIEF | {"actions": {"actions": [{"action_type": "A", "effects": [{"target": "entity", "op": "remove"}, {"target": "relation", "op": "remove"}]}]}}) == []
+
+
+def test_default_parameters(relief):
+    from tracelake.operators import effects
+
+    world = World(relief)
+    world.reset(1)
+    s = world.state
+    s["entities"]["e0"]["node"] = "south"
+    moment = effects.Moment(s, relief, "e0", {}, world.actions["PUMP"])
+    assert effects.default(moment, "entry_id", None) == "pump1" and effects.default(moment, "target_node", None) == "bridge"
+    s["registries"][0]["state"] = "destroyed"
+    s["entities"]["e1"]["alive"] = False
+    assert effects.default(moment, "entry_id", None) == "pump2" and effects.default(moment, "target_agent", None) == "e2"
+    s["registries"][1]["state"] = "destroyed"
+    assert effects.default(moment, "entry_id", None) == "pump1"
+    assert [effects.default(moment, n, k) for n, k in (("amount", None), ("a", {"dtype": "int"}), ("b", {"dtype": "float"}), ("c", {}))] == [1.0, 1, 1.0, ""]
+    assert effects.Moment(s, relief, "e0", {"a": 3}).read("$param.a") == effects.Moment(s, relief, "e0", {"a": 3}).read("$a") == 3
+    assert moment.read("$entity.id") == "e0" and moment.read("$entity.node") == "south" and moment.read(5) == 5
+    world.step([("e0", "CALL", {"dst": "e1", "src": "e2"}), ("nobody", "REST", {})])
+    assert ["e2", "e1", "radio", 1.0] in world.state["edges"]
+
+
 @pytest.mark.parametrize("change", [{"termination": {"stop_conditions": []}}, {"space": {"type": "discrete"}}, {"time": {"max_ticks": "many"}}, {"extra": {}}, {"entities": {"columns": [{"name": "x"}], "initial_count": 1}}])
 def test_shape_errors(change):
     assert spec.schema_issues(scenarios.RING | change)

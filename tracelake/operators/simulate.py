@@ -18,13 +18,17 @@ TRANSITION = (
 )
 
 
+#: Rows that a task hands over at once.
+BATCH = 5000
+
+
 def _energy(world: World, agent: str) -> float:
     return float(world.state["entities"].get(agent, {}).get("energy") or 0.0)
 
 
-def _row(world: World, episode: str, seed: int, agent: str, action: tuple[str, dict], policy: str, event: Mapping | None) -> dict:
-    """One step of one agent, as a row."""
-    before, energy, tick = world.hash(), _energy(world, agent), world.state["tick"]
+def _row(world: World, episode: str, seed: int, agent: str, action: tuple[str, dict], policy: str, event: Mapping | None, before: str | None = None) -> dict:
+    """One step of one agent, as a row; before is the state's hash, if it is known from the step before."""
+    before, energy, tick = before or world.hash(), _energy(world, agent), world.state["tick"]
     code, delta = world.receipt(agent, *action)
     world.step([(agent, *action)], event)
     return {
@@ -45,7 +49,7 @@ def _episode(spec: Mapping, seed: int, ticks: int, policies: Mapping[str, Callab
         agent, policy = alive[tick % len(alive)], names[tick % len(names)]
         event = world.exogenous()
         action = policies[policy](world, agent, world.legal(agent), rngs[policy], tick) or ("noop", {})
-        rows.append(_row(world, f"seed{seed}_run0", seed, agent, action, policy, event))
+        rows.append(_row(world, f"seed{seed}_run0", seed, agent, action, policy, event, rows[-1]["state_after_hash"] if rows else None))
     return rows
 
 
@@ -53,6 +57,22 @@ def _frame(rows: list[dict], schema: str) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
 
 
+def _per_seed(episode: Callable[[int], list[dict]], schema: str) -> Callable:
+    """A task's function: the rows of all its seeds' episodes, some BATCH of them at a time."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows: list[dict] = []
+        for part in parts:
+            for seed in part["seed"]:
+                rows += episode(int(seed))
+                if len(rows) >= BATCH:
+                    yield _frame(rows, schema)
+                    rows = []
+        yield _frame(rows, schema)
+
+    return run
+
+
 def dealt(seeds: DataFrame) -> DataFrame:
     """Seeds over as many tasks as the session's shuffles have: few bytes, but long work each, so sizes must not decide."""
     return seeds.select("seed").repartition(int(seeds.sparkSession.conf.get("spark.sql.shuffle.partitions")), "seed")
@@ -62,12 +82,7 @@ def rollout(spark: SparkSession, spec: Mapping, seeds: DataFrame, ticks: int, po
     """One episode for each seed of a frame (column seed), a task for a share of them."""
     policies = policies or {k: BUILT_IN[k] for k in ("random", "scripted", "adversarial")}
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for seed in part["seed"]:
-                yield _frame(_episode(spec, int(seed), ticks, policies, strict), TRANSITION)
-
-    return dealt(seeds).mapInPandas(run, TRANSITION)
+    return dealt(seeds).mapInPandas(_per_seed(lambda seed: _episode(spec, seed, ticks, policies, strict), TRANSITION), TRANSITION)
 
 
 def joint_rollout(spark: SparkSession, spec: Mapping, seeds: DataFrame, ticks: int, policy: Callable, missing: str = "noop") -> DataFrame:
@@ -95,12 +110,7 @@ def joint_rollout(spark: SparkSession, spec: Mapping, seeds: DataFrame, ticks: i
                 })
         return rows
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for seed in part["seed"]:
-                yield _frame(episode(int(seed)), TRANSITION)
-
-    return dealt(seeds).mapInPandas(run, TRANSITION)
+    return dealt(seeds).mapInPandas(_per_seed(episode, TRANSITION), TRANSITION)
 
 
 REPLAY = "episode_id string, tick long, anchored boolean, expected string, actual string, ok boolean"
@@ -233,12 +243,7 @@ def matched_utilities(spark: SparkSession, spec: Mapping, seeds: DataFrame, poli
             world.step([(agent, *taken[baseline])], event)
         return rows
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for seed in part["seed"]:
-                yield _frame(episode(int(seed)), UTILITY)
-
-    return dealt(seeds).mapInPandas(run, UTILITY)
+    return dealt(seeds).mapInPandas(_per_seed(episode, UTILITY), UTILITY)
 
 
 def compare_policies(outcomes: DataFrame, baseline: str) -> DataFrame:
