@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 from functools import cache
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers as P
@@ -14,9 +15,11 @@ import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tracelake.llm import bpe, langid, lbl, near_dup, packing, rules, shards, shingles, weak
+from tracelake.llm.common import staged
 
 
 @pytest.fixture(scope="module")
@@ -264,13 +267,69 @@ def test_label_model_recovers_accuracies():
     assert ((model.posterior(patterns)[inverse.ravel()] > 0.5) == y).mean() > 0.93
 
 
+def some_model(seed=0):
+    rng = np.random.default_rng(seed)
+    there = np.arange(lbl.SLOTS) < rng.integers(1, lbl.SLOTS + 1, lbl.CLASSES)[:, None]
+    share = np.where(there.ravel(), rng.random(lbl.WORDS), 0)
+    model = lbl.Model.start(share / share.sum(), seed)
+    model.classes += rng.normal(0, 1, model.classes.shape).astype(np.float32)
+    model.members += rng.normal(0, 1, model.members.shape).astype(np.float32)
+    return model, share / share.sum()
+
+
+def dense_log_prob(model, before, word):
+    """log10 P(word | words before, the nearest first) by loops over plain numbers."""
+    q = [sum(float(model.inp[before[j]][d]) * float(model.scale[j][d]) for j in range(lbl.CONTEXT)) for d in range(lbl.WIDTH)]
+    dot = lambda v, b: sum(x * float(y) for x, y in zip(q, v, strict=True)) + float(b)
+    classes = [np.exp(dot(model.classes[k], model.class_bias[k])) for k in range(lbl.CLASSES)]
+    k = word // lbl.SLOTS
+    members = [np.exp(dot(model.members[i], model.member_bias[i])) for i in range(k * lbl.SLOTS, (k + 1) * lbl.SLOTS)]
+    return np.log10(classes[k] / sum(classes)) + np.log10(members[word % lbl.SLOTS] / sum(members))
+
+
+def test_model_against_dense_evaluation():
+    model, share = some_model()
+    rng = np.random.default_rng(1)
+    rows = [rng.choice(lbl.WORDS, n, p=share).astype(np.uint16) for n in (1, 2, 7, 40)]
+    flat, at = lbl.framed(rows)
+    found = model.log_probs(flat, at)
+    expected = [dense_log_prob(model, [r[i - 1 - j] if i > j else lbl.WORDS for j in range(lbl.CONTEXT)], int(r[i])) for r in rows for i in range(len(r))]
+    assert found == pytest.approx(expected, rel=1e-4)
+
+
 def test_model_is_normalised():
-    model = lbl.Model.start(np.full(lbl.CLASSES, 1 / lbl.CLASSES))
-    rng = np.random.default_rng(0)
-    context = rng.integers(0, lbl.CLASSES + 1, (lbl.CONTEXT, 1))
-    every = np.arange(lbl.CLASSES)
-    p = 10 ** model.log_probs(np.repeat(context, lbl.CLASSES, 1), every)
-    assert p.sum() == pytest.approx(1, abs=1e-5)
+    model, share = some_model(3)
+    flat = np.concatenate([x for w in range(lbl.WORDS) for x in ([5, 9, 300, 4000], [w])]).astype(np.uint16)
+    p = 10 ** model.log_probs(flat, np.arange(4, len(flat), 5))
+    assert p.sum() == pytest.approx(1, abs=1e-4) and p[share == 0].sum() < 1e-6
+
+
+def test_training_shards(spark, sf_dir, monkeypatch, tmp_path):
+    """The same rows in other files give the same scores; more shards lose little."""
+    larger = Path(sf_dir).parent / "sf0.01"
+    docs = spark.read.parquet(f"{larger if larger.exists() else sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = staged(docs.unionByName(docs.limit(20)), "test-docs")  # rows that repeat
+
+    def scores(shards, files):
+        monkeypatch.setattr(lbl, "SHARD_TOKENS", shards)
+        path = str(tmp_path / f"d{shards}-{files}")
+        docs.repartition(files).write.mode("overwrite").parquet(path)
+        found = lbl.fit_and_score(spark.read.parquet(path), F.col("doc_id") % 4 != 0, extra={"doc_id": F.col("doc_id")}, key="doc_id").collect()
+        return sorted((r.doc_id, r.score, r.base_score, r.n_tokens) for r in found)
+
+    a, b, c = scores(80_000, 1), scores(80_000, 8), scores(1 << 30, 3)
+    assert [x[0] for x in a] == [x[0] for x in b]
+    assert [x[1] for x in a] == pytest.approx([x[1] for x in b], rel=1e-6)
+    gain = lambda rows: sum(x[1] - x[2] for x in rows if x[0] % 4 == 0) / sum(x[3] for x in rows if x[0] % 4 == 0)
+    assert gain(a) > 0.4 * gain(c) > 0.04
+
+
+def test_spans_are_tokens(monkeypatch):
+    rng = random.Random(9)
+    monkeypatch.setattr(lbl, "SPAN", 7)
+    for _ in range(300):
+        text = "".join(rng.choice("aB é\n\t  longword") for _ in range(rng.randrange(60))).encode()
+        assert [w for part in lbl.spans(text) for w in part] == lbl.tokens(text)
 
 
 def test_scores_against_counting(spark, sf_dir):
@@ -278,8 +337,6 @@ def test_scores_against_counting(spark, sf_dir):
     rows = docs.collect()
     train = docs.filter("doc_id % 4 <> 0")
     counts, words, model = lbl.fit(train)
-    from pyspark.sql import functions as F
-
     found = {r.doc_id: r for r in lbl.score(docs, counts, words, model, extra={"doc_id": F.col("doc_id")}).collect()}
     c = Counter(t for r in rows if r.doc_id % 4 for t in lbl.tokens(r.text.encode()))
     n, v = sum(c.values()), len(c)
@@ -298,16 +355,21 @@ def test_scores_against_counting(spark, sf_dir):
 
 
 def test_word_probabilities_sum_to_one(spark, sf_dir):
-    counts, words, _ = lbl.fit(spark.read.parquet(f"{sf_dir}/documents.parquet").limit(40))
-    mass = Counter()
+    """Of a class's rare words, and the one share for unseen words; every frequent word has a place of its own."""
+    counts = lbl.word_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    words = lbl.vocabulary(counts)
+    mass, places = Counter(), Counter()
     for r in counts.collect():
-        word = bytes(r.word)
-        i = words.index.get(word, -1)
-        k = int(words.classes[i]) if i >= 0 else lbl.bucket(word)
-        mass[k] += (r.c + 1) / 10 ** words.log_size[k]
+        place = int(words.ids([bytes(r.word)])[1][0])
+        places[place] += r.c
+        if place % lbl.SLOTS == 0:
+            mass[place // lbl.SLOTS] += (r.c + 1) / 10 ** words.log_size[place // lbl.SLOTS]
+    assert len(mass) == lbl.CLASSES
     for k, m in mass.items():
-        unseen = 0 if k < lbl.SINGLES else 1 / 10 ** words.log_size[k]
-        assert m + unseen == pytest.approx(1)
+        assert m + 1 / 10 ** words.log_size[k] == pytest.approx(1)
+    assert sum(p % lbl.SLOTS > 0 for p in places) == lbl.CLASSES * (lbl.SLOTS - 1)
+    n = sum(places.values()) + (words.share > 0).sum()
+    assert all(words.share[p] == pytest.approx((c + 1) / n) for p, c in places.items())
 
 
 def shingle_set(text):

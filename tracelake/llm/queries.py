@@ -15,11 +15,9 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
     held_out = crc_mod("doc_id", 7) == 2
-    counts, words, model = lbl.fit(docs.filter(~held_out))
     extra = {"doc_id": F.col("doc_id"), "held_out": held_out}
-    return lbl.score(docs, counts, words, model, extra=extra).drop("rid")
+    return lbl.fit_and_score(_table(spark, sf_dir, "documents"), ~held_out, extra=extra, key="doc_id").drop("rid")
 
 
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
