@@ -70,4 +70,13 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._staged = path
+    return found
+
+
+def release(*tables: DataFrame) -> None:
+    """Removes the files of tables from staged() that nothing lazy reads any more."""
+    for df in tables:
+        p, fs = _opened(df.sparkSession, df._staged)
+        fs.delete(p, True)
