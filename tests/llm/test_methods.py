@@ -102,6 +102,17 @@ def test_karmarkar_karp(sizes):
     assert all(sum(sizes[i] for i in g) <= packing.WINDOW for g in groups)
 
 
+def test_tiny_pieces_are_bundled():
+    """A batch of pieces of one id packs as tightly, in a bounded number of items."""
+    rng = np.random.default_rng(3)
+    sizes = np.concatenate([np.ones(60_000, int), rng.integers(1, 512, 200)]).tolist()
+    bundles = packing.bundled(sizes)
+    assert sorted(i for b in bundles for i in b) == list(range(len(sizes))) and len(bundles) < 60_000 // 60
+    groups = packing.pack(sizes)
+    assert sorted(i for g in groups for i in g) == list(range(len(sizes)))
+    assert all(sum(sizes[i] for i in g) <= packing.WINDOW for g in groups) and len(groups) <= -(-sum(sizes) // packing.WINDOW) + 1
+
+
 def test_differencing_balances():
     rng = np.random.default_rng(0)
     sizes = rng.integers(100, 512, 400).tolist()
@@ -139,11 +150,15 @@ def test_capacity_is_minimal(sizes, k):
     assert max(sum(sizes[a:b]) for a, b in zip(edges, edges[1:], strict=False)) == found
 
 
-def test_plan_is_that_of_all_groups(spark):
+@pytest.mark.parametrize("fetch", [1 << 16, 4, 0])
+def test_plan_is_that_of_all_groups(spark, monkeypatch, fetch):
+    """However far ranges are split before groups are fetched."""
+    monkeypatch.setattr(shards, "BINS", 1 << 6)
     rng = np.random.default_rng(5)
     rows = [(int(h), int(s)) for h, s in zip(rng.integers(-(2**63), 2**63 - 1, 3000), rng.integers(1, 2000, 3000), strict=True)]
     rows.append((77, 2_000_000))  # a hot group
-    hot, starts, first = shards.plan(spark.createDataFrame(rows, "h long, size long"), 16)
+    rows += [(x, 1500) for x in range(10**15, 10**15 + 300)]  # neighbours that many splits leave together
+    hot, starts, first = shards.plan(spark.createDataFrame(rows, "h long, size long"), 16, fetch)
     total = sum(s for _, s in rows)
     big = sorted(h for h, s in rows if s > total // shards.HOT)
     order = [(h, s) for h, s in sorted(rows) if h in set(big)] + [(h, s) for h, s in sorted(rows) if h not in set(big)]
@@ -181,6 +196,26 @@ def test_rule_counts():
     assert rules.repeat_words(many, 9000) == 20_000
 
 
+def test_rule_features():
+    """The forest's features by plain counting."""
+    rng = random.Random(12)
+    marks = "!?;:#*$%&|<>+=/\\~^_@"
+    for _ in range(200):
+        text = "".join(rng.choice(["ab ", "AB ", "é! ", "# ", "word\n", "A\t", "x x ", "\n", "12 ", "A1;\n", "a b c d e "]) for _ in range(rng.randrange(1, 40)))
+        words = re.findall(r"[^\x20\x09-\x0D]+", text)
+        found = rules.statistics(text.encode())[1]
+        if not words:
+            assert found == [0.0] * len(rules.FEATURES)
+            continue
+        n, lines = len(words), [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        expected = [
+            min(4, sum(text.count(c) for c in rules.SYMBOLS) / n), sum(w[-1] in marks for w in words) / n, sum(len(w) == 1 and 33 <= ord(w) < 127 and not w.isalnum() for w in words) / n,
+            sum(a == b for a, b in zip(words, words[1:], strict=False)) / n, sum(len(w.encode()) > 1 and w.encode().isupper() for w in words) / n, min(rules.LONG, sum(map(len, words)) / n),
+            (len(lines) - len(set(lines))) / len(lines), brute_repeats(words) / n,
+        ]
+        assert found == pytest.approx(expected), text
+
+
 def test_forest_finds_what_lies_apart():
     rng = np.random.default_rng(0)
     good = np.abs(rng.normal(0, 0.02, (500, 5)))
@@ -228,6 +263,37 @@ def test_language_held_out(spark, sf_dir):
     assert sum(found[r.doc_id] == r.lang for r in held) >= 0.95 * len(held)
 
 
+def test_language_against_exact_sets(spark, sf_dir):
+    """Popcounts corrected for false positives are near those of exact sets, and so are choice and score."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = [r for r in docs.collect() if r.text]
+    train = [r for r in rows if r.doc_id % 3]
+    rates = {}
+    for lang in sorted({r.lang for r in train if r.lang}):
+        n = Counter(k for r in train if r.lang == lang for k in langid.grams([r.text.encode()])[0].tolist())
+        rates[lang] = {k: v / sum(n.values()) for k, v in n.items()}
+    top = {k: max(of.get(k, 0) for of in rates.values()) for of in rates.values() for k in of}
+    sets = [{k for k, v in of.items() if v >= langid.MIN_RATE and v >= langid.SHARE * top[k]} for of in rates.values()]
+    for_all = set.intersection(*sets)
+    known = langid.learn(docs.filter("doc_id % 3 <> 0"))
+    assert known.languages == list(rates)
+    tell, every, total = known.counts([r.text.encode() for r in rows])
+    found = {r.doc_id: r for r in langid.identify(docs, known).collect()}
+    same = 0
+    for i, r in enumerate(rows):
+        keys = langid.grams([r.text.encode()])[0].tolist()
+        exact = np.array([sum(k in s and k not in for_all for k in keys) for s in sets], float)
+        assert total[i] == len(keys)
+        assert np.abs(tell[i] - exact).max() <= 0.03 * len(keys) + 3
+        assert np.abs(every[i] - [sum(k in s for k in keys) for s in sets]).max() <= 0.03 * len(keys) + 3
+        if any(c.isalpha() for c in r.text) and exact.sum() > 20:
+            same += found[r.doc_id].lang_pred == list(rates)[int(exact.argmax())]
+            assert abs(found[r.doc_id].score - exact.max() / exact.sum()) < 0.08
+        else:
+            same += 1
+    assert same >= len(rows) - 1
+
+
 def test_bitmask_filter_has_no_false_negatives():
     rng = np.random.default_rng(1)
     key, lang = rng.integers(0, 2**32, 4000).astype(np.uint32), rng.integers(0, 70, 4000)
@@ -267,6 +333,66 @@ def test_label_model_recovers_accuracies():
     assert ((model.posterior(patterns)[inverse.ravel()] > 0.5) == y).mean() > 0.93
 
 
+def test_label_model_against_brute_force():
+    """The posterior by products of probabilities, and EM that never lowers the likelihood of the votes."""
+    rng = np.random.default_rng(4)
+    patterns = np.unique(rng.integers(-1, 2, (60, 4)), axis=0)
+    counts = rng.integers(1, 50, len(patterns)).astype(float)
+    model = weak.estimate(patterns, counts, 5)
+    for row, p in zip(patterns, model.posterior(patterns), strict=True):
+        good, bad = model.good, 1 - model.good
+        for h, v in enumerate(row):
+            bad, good = bad * model.rates[0, h, v + 1], good * model.rates[1, h, v + 1]
+        assert p == pytest.approx(good / (good + bad))
+
+    def likelihood(m):
+        each = [sum((1 - m.good, m.good)[c] * np.prod([m.rates[c, h, v + 1] for h, v in enumerate(row)]) for c in (0, 1)) for row in patterns]
+        smooth = 0.5 * np.log(m.rates).sum()  # the half a count that each rate starts from
+        return float((counts * np.log(each)).sum() + smooth)
+
+    course = [likelihood(weak.estimate(patterns, counts, k)) for k in (1, 2, 4, 8, 32)]
+    assert all(b >= a - 1e-6 for a, b in zip(course, course[1:], strict=False))
+
+
+def test_scorer_against_brute_force(spark, sf_dir):
+    """Every document's votes, posterior and score by plain loops, from the patterns of all documents."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = docs.collect()
+    votes = {r.doc_id: weak.votes((r.text or "").encode()) for r in rows}
+    counted = Counter(tuple(v) for v in votes.values())
+    patterns = sorted(counted)
+    model = weak.estimate(np.array(patterns), np.array([counted[p] for p in patterns], float))
+    posterior = dict(zip(patterns, model.posterior(np.array(patterns)), strict=True))
+
+    def features(text, of_votes):
+        data = text.encode().translate(weak.ASCII_LOWER)
+        places = weak.BUCKETS - 3 * len(weak.HEURISTICS)
+        n = Counter((((data[i] | data[i + 1] << 8 | data[i + 2] << 16) * 2654435761 % 2**32) >> 8) % places for i in range(len(data) - 2))
+        x = np.zeros(weak.BUCKETS, np.float32)
+        for k, c in n.items():
+            x[k] = (c / (len(data) - 2)) ** 0.5
+        for h, v in enumerate(of_votes):
+            x[places + 3 * h + 1 + v] = 0.3
+        return x
+
+    found = {r.doc_id: r for r in weak.classify(docs).collect()}
+    x = {r.doc_id: features(r.text or "", votes[r.doc_id]) for r in rows}
+    order = [r.doc_id for r in sorted(weak.classify(docs).select("rid", "doc_id").collect(), key=lambda r: r.rid)]
+    assert len(rows) <= weak.MAX_TRAIN  # so all rows train
+    w = weak.train(np.stack([x[i].astype("<f2").astype(np.float32) for i in order]), np.array([posterior[tuple(votes[i])] for i in order]))
+    for r in rows:
+        assert found[r.doc_id].posterior == pytest.approx(posterior[tuple(votes[r.doc_id])], abs=1e-9)
+        assert found[r.doc_id].score == pytest.approx(1 / (1 + np.exp(-(float(x[r.doc_id] @ w[:-1]) + w[-1]))), abs=1e-3)
+
+
+def test_hashing_in_steps(monkeypatch):
+    text = [b"some words of a text that is cut", b"ab", b""]
+    of_votes = np.zeros((3, len(weak.HEURISTICS)), int)
+    whole = weak.hashed(text, of_votes)
+    monkeypatch.setattr(weak, "STEP_BYTES", 5)
+    assert np.allclose(weak.hashed(text, of_votes), whole)
+
+
 def some_model(seed=0):
     rng = np.random.default_rng(seed)
     there = np.arange(lbl.SLOTS) < rng.integers(1, lbl.SLOTS + 1, lbl.CLASSES)[:, None]
@@ -498,7 +624,7 @@ def test_trie_runs_across_ranges(spark, monkeypatch, parts):
     keys = rng.integers(0, 3, (300, 2, near_dup.DEPTH)).astype(">u4")
     keys[100:220] = keys[100]
     nodes = spark.createDataFrame([(i, bytearray(k.tobytes())) for i, k in enumerate(keys)], "rep long, keys binary")
-    leaves = near_dup.forest(nodes, 2)
+    leaves = staged(near_dup.forest(nodes, 2), "test-leaves")
     for depth in (1, 3, 6):
         links = near_dup.trie_links(leaves, depth).collect()
         parent = list(range(300))

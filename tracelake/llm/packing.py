@@ -3,7 +3,8 @@
 A document's ids are cut into whole windows as far as they reach, which need
 no packing; what is left is cut into even pieces of at most PIECE ids. The
 pieces are dealt by hash into batches of about BATCH windows. In a batch,
-multiway differencing starts from one partial partition for each piece and
+pieces under BUNDLE ids are joined to bundles, so however short the documents
+are it has a few thousand items at most; multiway differencing starts from one partial partition for each item and
 merges the two with the largest difference, the largest sums of one meeting
 the smallest of the other, until one partition is left. If its largest sum
 exceeds the window, the number of windows rises by one and it starts again.
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import column, partitions, row_id, staged
 
-WINDOW, PIECE, BATCH = 2048, 512, 64
+WINDOW, PIECE, BATCH, BUNDLE = 2048, 512, 64, 96
 
 _PIECES = "rid long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -58,13 +59,30 @@ def karmarkar_karp(sizes: list[int], ways: int) -> list[list[int]]:
     return heap[0][3]
 
 
+def bundled(sizes: list[int], least: int = BUNDLE) -> list[list[int]]:
+    """Items of at least that size (the last one may be less): pieces, and runs of smaller pieces."""
+    out, run, total = [], [], 0
+    for i, size in enumerate(sizes):
+        if size >= least:
+            out.append([i])
+            continue
+        run.append(i)
+        total += size
+        if total >= least:
+            out.append(run)
+            run, total = [], 0
+    return out + [run] if run else out
+
+
 def pack(sizes: list[int], window: int = WINDOW) -> list[list[int]]:
     """The fewest windows, from the sum's bound up, that differencing can fill without exceeding one."""
+    items = bundled(sizes, min(BUNDLE, max(1, window // 8)))
+    weights = [sum(sizes[i] for i in x) for x in items]
     ways = max(1, -(-sum(sizes) // window))
     while True:
-        groups = karmarkar_karp(sizes, ways)
-        if max(sum(sizes[i] for i in g) for g in groups) <= window:
-            return [g for g in groups if g]
+        groups = karmarkar_karp(weights, ways)
+        if max(sum(weights[k] for k in g) for g in groups) <= window:
+            return [[i for k in g for i in items[k]] for g in groups if g]
         ways += 1
 
 

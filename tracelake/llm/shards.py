@@ -7,8 +7,9 @@ cuts keep to it, and are as even as it allows.
 
 The driver never sees all groups. It gets the sums of BINS hash ranges and
 the few hot groups, bounds the answer and hence where each cut can lie, and
-fetches single groups only for the ranges there. The capacity is that of a
-search over all groups.
+has only the ranges there split further, SPLIT-fold each time, until the
+ranges that matter hold FETCH groups or fewer, which it fetches. The capacity
+is that of a search over all groups, however many there are.
 
 Defined results: a row's size is the UTF-8 bytes of its text plus 1, a null
 text has none and forms a group apart; repeated rows are rows of a group as
@@ -26,6 +27,9 @@ from .common import row_id, staged
 #: Hash ranges; groups that hold more than one in HOT of all bytes stand alone (so at most HOT of them).
 BINS, HOT = 1 << 16, 8192
 
+#: Parts of a range that is split, as a power of two, and groups that the driver fetches at most.
+SPLIT, FETCH = 10, 1 << 16
+
 #: Rows of a shard are numbered in up to CELLS parts of about CELL_ROWS rows.
 CELLS, CELL_ROWS = 4096, 20_000
 
@@ -89,38 +93,53 @@ def _ranges(ends: np.ndarray, coarse: np.ndarray, low: int, high: int, shards: i
     return need & coarse
 
 
-def plan(groups: DataFrame, shards: int) -> tuple[list[tuple[int, int]], list[int], int]:
+def _sums(groups: DataFrame, shift: int, inside: list[int] | None = None, of: int = 0) -> list[tuple[int, int, int, int]]:
+    """(first hash, size, shift, groups) of the ranges of 2 ** shift hashes, or of those in some ranges of 2 ** of."""
+    if inside is not None:
+        few = groups.sparkSession.createDataFrame([(x >> of,) for x in inside], "__range long")
+        groups = groups.withColumn("__range", F.shiftright("h", of)).join(F.broadcast(few), "__range")
+    found = groups.groupBy(F.shiftright("h", shift).alias("b")).agg(F.sum("size").alias("s"), F.count("*").alias("n")).collect()
+    return sorted((r.b << shift, r.s, shift if shift else -1, r.n) for r in found)
+
+
+def plan(groups: DataFrame, shards: int, fetch: int = FETCH) -> tuple[list[tuple[int, int]], list[int], int]:
     """groups: h, size. Returns the hot groups' (h, shard), the first h of the shards that start after them, and the shard of the first other group."""
-    by_bin = (F.shiftright("h", 48) + BINS // 2).cast("int")
     total = groups.agg(F.sum("size")).first()[0]
     if not total:
         return [], [], 0
     is_hot = F.col("size") > max(1, total // HOT)
     hot = sorted((r.h, r["size"]) for r in groups.filter(is_hot).collect())
-    sums = sorted((r.b, r.s) for r in groups.filter(~is_hot).groupBy(by_bin.alias("b")).agg(F.sum("size").alias("s")).collect())
-    # Items in order: (first h, size, bin or -1).
-    items = [(h, s, -1) for h, s in hot] + [((b - BINS // 2) << 48, s, b) for b, s in sums]
-    sizes = np.array([s for _, s, _ in items], np.int64)
-    coarse = np.array([b >= 0 for _, _, b in items])
-    ends = sizes.cumsum()
-    least = max(-(-total // shards), max((s for _, s in hot), default=0))
-    high = smallest_capacity(ends, shards, least, total)
-    low = max(least, high - int(sizes[coarse].max(initial=0)))
-    need = _ranges(ends, coarse, low, high, shards)
-    wanted = [items[i][2] for i in np.flatnonzero(need)]
-    inside: dict[int, list[tuple[int, int]]] = {}
-    if wanted:
-        spark = groups.sparkSession
-        few = spark.createDataFrame([(b,) for b in wanted], "b int")
-        for r in groups.filter(~is_hot).withColumn("b", by_bin).join(F.broadcast(few), "b").select("b", "h", F.col("size").alias("s")).collect():
-            inside.setdefault(r.b, []).append((r.h, r.s))
-    fine = [x for h, s, b in items for x in (sorted(inside[b]) if b in inside else [(h, s)])]
-    ends = np.array([s for _, s in fine], np.int64).cumsum()
-    cuts = cut(ends, smallest_capacity(ends, shards, low, high), shards)
+    rest = groups.filter(~is_hot)
+    top = 64 - (BINS - 1).bit_length()
+    # Items in order: (first h, size, shift of a range or -1 for a single group, groups).
+    items = [(h, s, -1, 1) for h, s in hot] + _sums(rest, top)
+    low, high = max(-(-total // shards), max((s for _, s in hot), default=0)), total
+    need = np.ones(len(items), bool)
+    while True:
+        sizes = np.array([s for _, s, _, _ in items], np.int64)
+        coarse = np.array([x >= 0 for _, _, x, _ in items])
+        ends = sizes.cumsum()
+        # Cuts fall into needed ranges only, so rounding them up costs no more than the largest of these.
+        high = smallest_capacity(ends, shards, low, high)
+        low = max(low, high - int(sizes[coarse & need].max(initial=0)))
+        need = _ranges(ends, coarse, low, high, shards)
+        wanted = [items[i] for i in np.flatnonzero(need)]
+        if not wanted:
+            break
+        # Ranges of one size at a time; those that stay as they are keep their place.
+        shift = max(x for _, _, x, _ in wanted)
+        split = {h for h, _, x, _ in wanted if x == shift}
+        finer = 0 if sum(n for _, _, x, n in wanted if x == shift) <= fetch else max(0, shift - SPLIT)
+        parts = _sums(rest, finer, sorted(split), shift)
+        after = sorted([x for x in items[len(hot) :] if not (x[2] == shift and x[0] in split)] + parts)
+        needed = {x[0] for x in parts} | {x[0] for x in wanted}
+        items = items[: len(hot)] + after
+        need = np.array([False] * len(hot) + [x[0] in needed for x in after])
+    cuts = cut(ends, high, shards)
     starts = [0, *cuts[:-1]]
     shard_of = lambda i: int(np.searchsorted(starts, i, "right")) - 1
     hot_shard = [(h, shard_of(i)) for i, (h, _) in enumerate(hot)]
-    return hot_shard, [fine[i][0] for i in starts if len(hot) < i < len(fine)], shard_of(len(hot)) if len(fine) > len(hot) else 0
+    return hot_shard, [items[i][0] for i in starts if len(hot) < i < len(items)], shard_of(len(hot)) if len(items) > len(hot) else 0
 
 
 def _placed(rows: DataFrame, plan_: tuple, out: str) -> DataFrame:
