@@ -109,15 +109,17 @@ class ShuffledAction(WithoutAction):
 
 
 def permuted(rows: DataFrame, column: str, key: Sequence[str], seed: int) -> DataFrame:
-    """rows with a column's values dealt anew by a hash of the key; the old ones are in __action. Dealt within 1024 parts, so no task sees all rows."""
-    from pyspark.sql import Window
-
-    part = F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(1024))
-    marked = rows.withColumn("__part", part)
-    number = lambda s: F.row_number().over(Window.partitionBy("__part").orderBy(F.xxhash64(F.lit(s), *key), *key))
-    a = marked.withColumn("__n", number(seed + 1)).withColumnRenamed(column, "__action")
-    b = marked.select("__part", number(seed + 2).alias("__n"), column)
-    return a.join(b, ["__part", "__n"]).drop("__part", "__n")
+    """rows with a column's values dealt anew; the old ones are in __action. Rows are numbered in two orders by hash of the
+    key, over ranges, and a row gets the value of the row that has its number in the other order."""
+    from .ordering import numbered
+
+    def order(part: DataFrame, n: int, name: str) -> DataFrame:
+        hashed = part.withColumn("__h", F.xxhash64(F.lit(seed + n), *key))
+        return numbered(hashed, ["__h", *key], name).drop("__h")
+
+    a = order(rows, 1, "__n").withColumnRenamed(column, "__action")
+    b = order(rows.select(*key, F.col(column).alias("__value")), 2, "__n").select("__n", F.col("__value").alias(column))
+    return a.join(b, "__n").drop("__n")
 
 
 class Oracle:

@@ -17,24 +17,33 @@ def states(steps: DataFrame, initial: DataFrame, changes: DataFrame) -> DataFram
     """steps (episode_id, tick) with before and after: map<key, text> of the state around each tick.
 
     initial: episode_id, key, value; changes: episode_id, tick, key, value
-    (null removes the key). A key's rows meet once for each of its changes,
-    not once for each tick: each change holds until the next one.
+    (null removes the key). Each change is placed among the steps once, and
+    holds from its step to that of the key's next change, so the rows made
+    are the entries of the maps that come out.
     """
     missing = steps.select("episode_id").distinct().join(initial.select("episode_id").distinct(), "episode_id", "left_anti")
     checked = steps.join(missing.withColumn("__missing", F.lit(True)), "episode_id", "left")
     failed = F.raise_error(F.concat(F.lit("no initial state: "), F.col("episode_id"))).cast("string")
     steps = checked.withColumn("episode_id", F.when(F.col("__missing"), failed).otherwise(F.col("episode_id"))).drop("__missing")
     log = initial.select("episode_id", F.lit(-1).cast("long").alias("tick"), "key", "value").unionByName(changes.select("episode_id", F.col("tick").cast("long").alias("tick"), "key", "value"))
-    w = Window.partitionBy("episode_id", "key").orderBy("tick")
-    spans = log.withColumn("until", F.coalesce(F.lead("tick").over(w), F.lit(1 << 60))).filter("value is not null")
-
-    def at(offset: int, name: str) -> DataFrame:
-        t = F.col("s.tick") + offset
-        hit = steps.alias("s").join(spans.alias("l"), (F.col("s.episode_id") == F.col("l.episode_id")) & (F.col("l.tick") <= t) & (F.col("l.until") > t), "left")
-        entries = F.collect_list(F.when(F.col("l.key").isNotNull(), F.struct(F.col("l.key").alias("key"), F.col("l.value").alias("value"))))
-        return hit.groupBy(F.col("s.episode_id").alias("episode_id"), F.col("s.tick").alias("tick")).agg(F.map_from_entries(F.array_sort(entries)).alias(name))
-
-    return at(-1, "before").join(at(0, "after"), ["episode_id", "tick"])
+    none = F.lit(None).cast("string")
+    marks = steps.select("episode_id", F.col("tick").cast("long").alias("tick"), none.alias("key"), none.alias("value"), F.lit(1).alias("step"))
+    marks = marks.unionByName(log.select("*", F.lit(0).alias("step")))
+    by_tick = Window.partitionBy("episode_id").orderBy("tick")
+    count = lambda until: F.coalesce(F.sum("step").over(by_tick.rangeBetween(Window.unboundedPreceding, until)), F.lit(0))
+    # A change shows in the state after the first step at its tick or later, and in the state before the first step later than it.
+    marks = marks.select("*", count(-1).alias("after"), count(0).alias("before"), F.sum("step").over(Window.partitionBy("episode_id")).alias("steps"))
+    places = marks.filter("step = 1").select("episode_id", "tick", F.col("after").alias("place"))
+    per_key = Window.partitionBy("episode_id", "key").orderBy("tick")
+    spans = marks.filter("step = 0").select("*", *[F.coalesce(F.lead(name).over(per_key), F.col("steps")).alias(f"{name}_end") for name in ("before", "after")]).filter("value is not null")
+
+    def at(name: str) -> DataFrame:
+        held = spans.filter(F.col(name) < F.col(f"{name}_end")).withColumn("place", F.explode(F.sequence(F.col(name), F.col(f"{name}_end") - 1)))
+        return held.groupBy("episode_id", "place").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias(name))
+
+    empty = F.create_map().cast("map<string,string>")
+    found = places.join(at("before"), ["episode_id", "place"], "left").join(at("after"), ["episode_id", "place"], "left")
+    return found.select("episode_id", "tick", F.coalesce("before", empty).alias("before"), F.coalesce("after", empty).alias("after"))
 
 
 def training_rows(steps: DataFrame, initial: DataFrame, changes: DataFrame, agents: tuple[str, ...], actions: tuple[str, ...], width: int = 32, buckets: int = 8) -> DataFrame:

@@ -212,11 +212,11 @@ def receipts(spark, sf_dir):
 
 @query(
     "pf13_legal_actions",
-    f"""WITH {TR}, a(action_type, precondition, threshold) AS (VALUES ('rest', NULL, 0), ('walk', 'energy_above', 2000), ('lift', 'energy_above', 50000)) SELECT episode_id, tick, a.action_type FROM tr, a WHERE tick < 20 AND (precondition IS NULL OR energy_before >= threshold)""",
+    f"""WITH {TR}, a(action_type, precondition, threshold) AS (VALUES ('rest', NULL, 0), ('walk', 'energy_above', 2000), ('lift', 'energy_above', 50000)) SELECT episode_id, tick, a.action_type FROM tr, a WHERE precondition IS NULL OR energy_before >= threshold""",
 )
 def legal_actions(spark, sf_dir):
     actions = spark.createDataFrame([("rest", None, 0), ("walk", "energy_above", 2000), ("lift", "energy_above", 50000)], "action_type string, precondition string, threshold int")
-    agents = transitions(spark, sf_dir).filter("tick < 20").select("episode_id", "tick", "energy_before")
+    agents = transitions(spark, sf_dir).select("episode_id", "tick", "energy_before")
     return P.legal_actions(agents, actions, {"energy_above": P.energy_above(F.col("energy_before"), F.col("threshold"))}).select("episode_id", "tick", "action_type")
 
 
@@ -320,14 +320,14 @@ def dataset(spark, sf_dir):
 
 @query(
     "dp22_decisions",
-    f"""WITH {TR} SELECT concat(episode_id, '/', tick) AS decision_id, CASE WHEN tick % 3 = 2 THEN 'view' ELSE 'click' END AS action_type, CASE WHEN tick % 3 = 2 THEN 'fallback' ELSE 'llm' END AS final_origin, CASE WHEN tick % 3 = 2 THEN 2 ELSE 1 END AS attempts FROM tr WHERE tick < 6""",
+    f"""WITH {TR} SELECT concat(episode_id, '/', tick) AS decision_id, CASE WHEN tick % 3 = 2 THEN 'view' ELSE 'click' END AS action_type, CASE WHEN tick % 3 = 2 THEN 'fallback' ELSE 'llm' END AS final_origin, CASE WHEN tick % 3 = 2 THEN 2 ELSE 1 END AS attempts FROM tr""",
 )
 def decisions(spark, sf_dir):
     """A constant client: where its action isn't legal, a retry and then the fallback."""
     from ..operators import decide as DE
 
     legal = F.when(F.col("tick") % 3 == 2, F.array(F.lit("view"))).otherwise(F.array(F.lit("view"), F.lit("click")))
-    asked = transitions(spark, sf_dir).filter("tick < 6").select(F.concat_ws("/", "episode_id", F.col("tick").cast("string")).alias("decision_id"), F.lit("{}").alias("prompt"), legal.alias("legal"))
+    asked = transitions(spark, sf_dir).select(F.concat_ws("/", "episode_id", F.col("tick").cast("string")).alias("decision_id"), F.lit("{}").alias("prompt"), legal.alias("legal"))
     tries = DE.decide(asked, DE.constant("click"), retries=1, wait=_no_wait)
     counts = tries.groupBy("decision_id").agg(F.count("*").cast("int").alias("attempts"))
     return DE.chosen(tries).join(counts, "decision_id")
@@ -340,8 +340,9 @@ def _no_wait(seconds: float) -> None:
 @query(
     "dp25_states",
     f"""WITH {TR}, e AS (SELECT DISTINCT episode_id FROM tr), l AS (SELECT episode_id, -1 AS tick, 'energy' AS key, '0' AS value FROM e UNION ALL SELECT episode_id, tick, 'energy', CAST(energy_after AS VARCHAR) FROM tr WHERE tick % 2 = 0 UNION ALL SELECT episode_id, tick, 'last', CASE WHEN action_type <> 'error' THEN action_type END FROM tr WHERE tick % 3 = 0),
-a AS (SELECT tr.episode_id, tr.tick, l.key, arg_max(struct_pack(v := l.value), l.tick).v AS value FROM tr JOIN l ON l.episode_id = tr.episode_id AND l.tick <= tr.tick GROUP BY ALL)
-SELECT episode_id, tick, max(value) FILTER (key = 'energy') AS energy, max(value) FILTER (key = 'last') AS last FROM a WHERE tick < 10 GROUP BY ALL""",
+k AS (SELECT episode_id, tick, max(struct_pack(t := tick, v := value)) FILTER (key = 'energy') AS e, max(struct_pack(t := tick, v := value)) FILTER (key = 'last') AS a FROM l GROUP BY ALL),
+c AS (SELECT episode_id, tick, last_value(e IGNORE NULLS) OVER w AS e, last_value(a IGNORE NULLS) OVER w AS a FROM (SELECT episode_id, tick FROM tr UNION SELECT episode_id, -1 FROM e) LEFT JOIN k USING (episode_id, tick) WINDOW w AS (PARTITION BY episode_id ORDER BY tick))
+SELECT episode_id, tick, e.v AS energy, a.v AS last FROM c WHERE tick >= 0""",
 )
 def states(spark, sf_dir):
     """The state after each tick, from an initial table and a change log with removals."""
@@ -351,7 +352,7 @@ def states(spark, sf_dir):
     initial = rows.select("episode_id").distinct().select("episode_id", F.lit("energy").alias("key"), F.lit("0").alias("value"))
     changes = rows.filter("tick % 2 = 0").select("episode_id", "tick", F.lit("energy").alias("key"), F.col("energy_after").cast("string").alias("value"))
     changes = changes.unionByName(rows.filter("tick % 3 = 0").select("episode_id", "tick", F.lit("last").alias("key"), F.when(F.col("action_type") != "error", F.col("action_type")).alias("value")))
-    found = folded(rows.filter("tick < 10").select("episode_id", "tick"), initial, changes)
+    found = folded(rows.select("episode_id", "tick"), initial, changes)
     return found.select("episode_id", "tick", F.element_at("after", "energy").alias("energy"), F.try_element_at("after", F.lit("last")).alias("last"))
 
 

@@ -217,11 +217,11 @@ def bootstrap(spark, sf_dir):
 
 @query(
     "ag19_seed_diffs",
-    f"""WITH {TR}, x AS (SELECT seed % 13 AS data_seed, d / 100.0 - 200 AS diff FROM tr WHERE event_id % 3 = 0)
+    f"""WITH {TR}, x AS (SELECT seed % 13 AS data_seed, d / 100.0 - 200 AS diff FROM tr)
 SELECT data_seed, count(*) AS n_model_seeds, avg(diff) AS mean, coalesce(stddev_samp(diff), 0.0) AS std, min(diff) AS min, max(diff) AS max FROM x GROUP BY data_seed""",
 )
 def seed_diffs(spark, sf_dir):
-    return G.seed_diffs(transitions(spark, sf_dir).filter("event_id % 3 = 0").select((F.col("seed") % 13).alias("data_seed"), (F.col("d") / 100.0 - 200).alias("diff")))
+    return G.seed_diffs(transitions(spark, sf_dir).select((F.col("seed") % 13).alias("data_seed"), (F.col("d") / 100.0 - 200).alias("diff")))
 
 
 @query(

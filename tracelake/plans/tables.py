@@ -18,11 +18,11 @@ from ..trajectory import CF, EP, TR, branches, episodes, split_of, transitions,
 
 
 # -- joins ------------------------------------------------------------------
-@query("j1_records_splits", f"WITH {EP} SELECT tr.episode_id, tick, split FROM tr JOIN ep USING (episode_id) WHERE split IN ('train', 'val', 'test') AND tick < 3")
+@query("j1_records_splits", f"WITH {EP} SELECT tr.episode_id, tick, split FROM tr JOIN ep USING (episode_id) WHERE split IN ('train', 'val', 'test')")
 def records_splits(spark, sf_dir):
     rows = transitions(spark, sf_dir)
     splits = episodes(rows).select("episode_id", split_of(F.col("seed")).alias("split"))
-    return J.with_split(rows.filter("tick < 3"), splits).select("episode_id", "tick", "split")
+    return J.with_split(rows, splits).select("episode_id", "tick", "split")
 
 
 @query(
@@ -74,14 +74,14 @@ def matched_utilities(spark, sf_dir):
 @query(
     "j16_oracle_lookup",
     f"""WITH {CF}, k AS (SELECT state_before_hash, action_type, agent_id, arg_max(d, episode_id) AS known FROM both_rows WHERE event_id % 2 = 0 GROUP BY ALL), g AS (SELECT action_type, avg(d) AS m FROM both_rows WHERE event_id % 2 = 0 GROUP BY 1)
-SELECT b.episode_id, b.tick, coalesce(CAST(known AS DOUBLE), m) AS prediction FROM both_rows b LEFT JOIN k USING (state_before_hash, action_type, agent_id) JOIN g ON g.action_type = b.action_type WHERE b.tick % 10 = 5""",
+SELECT b.episode_id, b.tick, coalesce(CAST(known AS DOUBLE), m) AS prediction FROM both_rows b LEFT JOIN k USING (state_before_hash, action_type, agent_id) JOIN g ON g.action_type = b.action_type""",
 )
 def oracle_lookup(spark, sf_dir):
     from ..operators.baselines import MeanDelta, Oracle
 
     rows = with_branches(transitions(spark, sf_dir))
     model = Oracle(MeanDelta(["action_type"], ["d"]), ["state_before_hash", "action_type", "agent_id"], ["d"], "episode_id").fit(rows.filter("event_id % 2 = 0"))
-    return model.predict(rows.filter("tick % 10 = 5")).select("episode_id", "tick", F.col("pred_d").alias("prediction"))
+    return model.predict(rows).select("episode_id", "tick", F.col("pred_d").alias("prediction"))
 
 
 @query(
@@ -293,10 +293,10 @@ def action_sequence_hash(spark, sf_dir):
 
 @query(
     "f4_checkpoint_checksum",
-    f"""WITH {TR} SELECT episode_id, tick, concat('sha256:', sha256(concat('0.1.0', chr(0), 'world', chr(0), '1', chr(0), tick, chr(0), state_before_hash, chr(0), action_type, chr(0), 'text', chr(0), 'main', chr(1), 'v', seed))) AS checksum FROM tr WHERE tick % 10 = 0""",
+    f"""WITH {TR} SELECT episode_id, tick, concat('sha256:', sha256(concat('0.1.0', chr(0), 'world', chr(0), '1', chr(0), tick, chr(0), state_before_hash, chr(0), action_type, chr(0), 'text', chr(0), 'main', chr(1), 'v', seed))) AS checksum FROM tr""",
 )
 def checkpoint_checksum(spark, sf_dir):
-    rows = transitions(spark, sf_dir).filter("tick % 10 = 0")
+    rows = transitions(spark, sf_dir)
     rng = F.create_map(F.lit("main"), F.concat(F.lit("v"), F.col("seed").cast("string")))
     checksum = CFO.checkpoint_checksum(F.lit("0.1.0"), F.lit("world"), F.lit("1"), F.col("tick"), F.col("state_before_hash"), F.col("action_type").cast("binary"), F.lit("text"), rng)
     return rows.select("episode_id", "tick", checksum.alias("checksum"))
@@ -316,9 +316,9 @@ def derived_seeds(spark, sf_dir):
     )
 
 
-@query("f6_fingerprints", f"WITH {TR} SELECT episode_id, tick, CASE WHEN tick % 2 = 0 THEN '' ELSE concat('sha256:', sha256(concat('exo', chr(0), 's', seed, chr(0), 'main', chr(0), 't', tick, chr(0)))) END AS fingerprint FROM tr WHERE tick < 4")
+@query("f6_fingerprints", f"WITH {TR} SELECT episode_id, tick, CASE WHEN tick % 2 = 0 THEN '' ELSE concat('sha256:', sha256(concat('exo', chr(0), 's', seed, chr(0), 'main', chr(0), 't', tick, chr(0)))) END AS fingerprint FROM tr")
 def fingerprints(spark, sf_dir):
-    rows = transitions(spark, sf_dir).filter("tick < 4")
+    rows = transitions(spark, sf_dir)
     text = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
     bundle = F.when(F.col("tick") % 2 == 1, F.create_map(F.lit("main"), text("t", "tick"), F.lit("exo"), text("s", "seed")))
     return rows.select("episode_id", "tick", CFO.fingerprint(bundle).alias("fingerprint"))
@@ -338,10 +338,10 @@ def prompt_hashes(spark, sf_dir):
 @query(
     "f8_config_hash",
     f"""WITH {TR} SELECT episode_id, tick, concat('sha256:', sha256(concat('{{"fallback_mode": "noop", "max_retries": ', tick % 3, ', "max_tokens": 256, "model": "', action_type, '", "temperature": 0.0}}'))) AS config_hash,
-concat('sha256:', sha256(concat('[{{"action_type": "', action_type, '", "params": {{"a": "', tick, '", "b": "x"}}}}, {{"action_type": "rest", "params": {{}}}}]'))) AS space_hash FROM tr WHERE tick < 6""",
+concat('sha256:', sha256(concat('[{{"action_type": "', action_type, '", "params": {{"a": "', tick, '", "b": "x"}}}}, {{"action_type": "rest", "params": {{}}}}]'))) AS space_hash FROM tr""",
 )
 def config_hash(spark, sf_dir):
-    rows = transitions(spark, sf_dir).filter("tick < 6")
+    rows = transitions(spark, sf_dir)
     config = M.inference_config_hash(F.col("action_type"), F.lit("0.0"), F.lit(256), F.col("tick") % 3, F.lit("noop"))
     kind = "struct<action_type:string,params:map<string,string>>"
     actions = F.array(F.struct("action_type", F.create_map(F.lit("b"), F.lit("x"), F.lit("a"), F.col("tick").cast("string")).alias("params")).cast(kind), F.struct(F.lit("rest").alias("action_type"), F.create_map().cast("map<string,string>").alias("params")).cast(kind))
@@ -372,10 +372,10 @@ def forbidden_scan(spark, sf_dir):
 
 @query(
     "f13_parse_status",
-    f"""WITH {TR}, s AS (SELECT episode_id, tick, tick % 5 AS k FROM tr WHERE tick < 10) SELECT episode_id, tick, CASE k WHEN 0 THEN 'ok' WHEN 1 THEN 'ok' WHEN 2 THEN 'not_dict' WHEN 3 THEN 'json_decode_error' ELSE 'no_content' END AS status FROM s""",
+    f"""WITH {TR}, s AS (SELECT episode_id, tick, tick % 5 AS k FROM tr) SELECT episode_id, tick, CASE k WHEN 0 THEN 'ok' WHEN 1 THEN 'ok' WHEN 2 THEN 'not_dict' WHEN 3 THEN 'json_decode_error' ELSE 'no_content' END AS status FROM s""",
 )
 def parse_status(spark, sf_dir):
-    rows = transitions(spark, sf_dir).filter("tick < 10")
+    rows = transitions(spark, sf_dir)
     k = F.col("tick") % 5
     text = F.when(k == 0, '{"action_type": "rest"}').when(k == 1, '```json\n{"action_type": "rest"}\n```').when(k == 2, "[1, 2]").when(k == 3, "I would rest {").otherwise(None)
     return rows.select("episode_id", "tick", R.parse_status(text).alias("status"))
@@ -440,21 +440,21 @@ def state_blocks(spark, sf_dir):
     )
 
 
-@query("f30_numeric_fields", "SELECT event_id, CAST(json_extract(props, '$.k') AS DOUBLE) AS k FROM events WHERE event_id % 10 = 0")
+@query("f30_numeric_fields", "SELECT event_id, CAST(json_extract(props, '$.k') AS DOUBLE) AS k FROM events")
 def numeric_fields(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").filter("event_id % 10 = 0")
+    rows = table(spark, sf_dir, "events")
     fields = X.numeric_fields(F.map_concat(F.from_json("props", "map<string,string>"), F.create_map(F.lit("type"), F.col("event_type"))))
     return rows.select("event_id", F.element_at(fields, "k").alias("k"))
 
 
 @query(
     "f31_param_types",
-    f"""WITH {TR} SELECT episode_id, tick, CASE tick % 5 WHEN 0 THEN 'integer' WHEN 1 THEN 'number' WHEN 2 THEN 'boolean' WHEN 3 THEN 'null' ELSE 'string' END AS kind FROM tr WHERE tick < 10""",
+    f"""WITH {TR} SELECT episode_id, tick, CASE tick % 5 WHEN 0 THEN 'integer' WHEN 1 THEN 'number' WHEN 2 THEN 'boolean' WHEN 3 THEN 'null' ELSE 'string' END AS kind FROM tr""",
 )
 def param_types(spark, sf_dir):
     k = F.col("tick") % 5
     value = F.when(k == 0, F.col("tick").cast("string")).when(k == 1, "1.5").when(k == 2, "true").when(k == 3, "null").otherwise('"node"')
-    return transitions(spark, sf_dir).filter("tick < 10").select("episode_id", "tick", R.type_name(value).alias("kind"))
+    return transitions(spark, sf_dir).select("episode_id", "tick", R.type_name(value).alias("kind"))
 
 
 @query("f39_exogenous_hash", f"WITH {TR} SELECT episode_id, tick, CASE WHEN action_type = 'signup' THEN concat('sha256:', sha256(concat('(2:i', tick, 's6:signup'))) ELSE 'none' END AS exogenous_hash FROM tr")

@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.simulate import dealt
+
 STEPS = "seed long, tick long, agent_id string, action long, reward double, terminated boolean, truncated boolean, observation string"
 
 
@@ -68,7 +70,7 @@ def run_single(seeds: DataFrame, make: Callable, choose: Callable, most: int = 1
                         break
                 yield pd.DataFrame(rows, columns=[c.split()[0] for c in STEPS.split(", ")])
 
-    return seeds.select("seed").repartition("seed").mapInPandas(run, STEPS)
+    return dealt(seeds).mapInPandas(run, STEPS)
 
 
 def run_parallel(seeds: DataFrame, make: Callable, choose: Callable, most: int = 1000) -> DataFrame:
@@ -90,7 +92,7 @@ def run_parallel(seeds: DataFrame, make: Callable, choose: Callable, most: int =
                     observations = {a: o for a, o in observations.items() if not terminated.get(a) and not truncated.get(a)}
                 yield pd.DataFrame(rows, columns=[c.split()[0] for c in STEPS.split(", ")])
 
-    return seeds.select("seed").repartition("seed").mapInPandas(run, STEPS)
+    return dealt(seeds).mapInPandas(run, STEPS)
 
 
 def restores_exactly(make: Callable, actions: list[int], seed: int = 0) -> bool:
