@@ -27,6 +27,41 @@ def test_malformed_lines(spark, tmp_path):
         files.json_lines(spark, path, bad="guess")
 
 
+def test_lines_are_numbered_over_blocks(spark, tmp_path):
+    """Blank and malformed lines count, in however many blocks a file is read."""
+    lines = [json.dumps({"tick": i}) if i % 7 else ("" if i % 2 else "{broken") for i in range(500)]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.jsonl").write_text("\n".join(lines) + "\n")
+    (tmp_path / "in/b.jsonl").write_text('{"tick": 5}\n')
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for size in ("700", before):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            found = files.numbered_lines(spark, str(tmp_path / "in")).select("source_file", "source_line", "tick").collect()
+            kept = files.numbered_lines(spark, str(tmp_path / "in"), bad="keep").filter("_corrupt_record is not null").select("source_line").collect()
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        assert sorted(map(tuple, found)) == sorted([("a.jsonl", i + 1, i) for i in range(500) if i % 7] + [("b.jsonl", 1, 5)])
+        assert sorted(r.source_line for r in kept) == [i + 1 for i in range(0, 500, 14)]
+
+
+def test_splits_in_several_objects(spark, tmp_path):
+    rows = [(f"e{i:03}", ("train", "val", "test")[i % 3]) for i in range(50)]
+    frame = spark.createDataFrame(rows, "episode_id string, split string")
+    objects = [json.loads(r.value) for r in sinks.splits_json(frame, 20).collect()]
+    assert [len(o) for o in objects] == [20, 20, 10] and [k for o in objects for k in o] == [r[0] for r in rows]
+    sinks.write_splits(frame, str(tmp_path / "s"), 20)
+    assert {tuple(r) for r in files.splits(spark, str(tmp_path / "s")).collect()} == set(rows)
+
+
+def test_large_files_are_read_in_steps(spark, tmp_path):
+    data = bytes(range(256)) * 5000
+    (tmp_path / "a b.bin").write_bytes(data)
+    (tmp_path / "empty").write_bytes(b"")
+    found = {r.path.rsplit("/", 1)[1]: (r.sha256, r.length) for r in sinks.checksums(spark, str(tmp_path), step=1000).collect()}
+    assert set(found.values()) == {(hashlib.sha256(data).hexdigest(), len(data))}  # Spark lists no empty files
+
+
 def test_tick_files_skip_the_quarantine(spark, tmp_path):
     for folder in ("train/e1", "train/_quarantine", "test/e2"):
         (tmp_path / folder).mkdir(parents=True)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
@@ -35,6 +36,7 @@ class Dataset:
     leakage: DataFrame
     gates: DataFrame
     manifest: DataFrame
+    spec: Mapping
 
 
 def nested(steps: DataFrame, caps: Mapping) -> DataFrame:
@@ -75,15 +77,24 @@ def build(spark: SparkSession, data: Mapping, seeds: DataFrame, config: Config =
         quality.q6_coverage(grouping.coverage_gaps(counts, counts)), quality.q7_counterfactual(counterfactual.held_fixed_counts(groups)), quality.q8_quantity(grouping.quantity_identity(total)),
         quality.q9_utility(simulate.compare_policies(outcomes, config.baseline)),
     )
-    return Dataset(steps, cf, split, found, gates, sinks.dataset_manifest(steps, data["scenario"]["scenario_id"], params))
+    return Dataset(steps, cf, split, found, gates, sinks.dataset_manifest(steps, data["scenario"]["scenario_id"], params), compiled)
 
 
 def write(dataset: Dataset, path: str) -> None:
-    """Steps by split, branches, episodes, gates, leakage and the manifest, each in its folder."""
+    """Steps by split with a manifest of each split, branches, episodes, the split of every episode, gates, leakage, the
+    manifest, the documents that describe a dataset (schema, capabilities, world parameters) and its card."""
+    spark = dataset.steps.sparkSession
     dataset.steps.write.mode("overwrite").partitionBy("split").parquet(f"{path}/transitions")
     dataset.branches.write.mode("overwrite").parquet(f"{path}/branches")
     for name in ("episodes", "leakage", "gates", "manifest"):
         getattr(dataset, name).write.mode("overwrite").json(f"{path}/{name}")
+    sinks.write_splits(dataset.episodes, f"{path}/splits")
+    sinks.split_manifest(dataset.steps).write.mode("overwrite").partitionBy("split").json(f"{path}/split_manifests")
+    documents = {"schema": json.loads(sinks.schema_snapshot(dataset.steps)), "capabilities": specs.capabilities(dataset.spec), "world_parameters": specs.parameters(dataset.spec)}
+    sinks.write_documents(spark, documents, f"{path}/documents")
+    manifest = {k: v for k, v in dataset.manifest.first().asDict(True).items()}
+    card = sinks.dataset_card(manifest, [r.asDict() for r in dataset.gates.collect()])
+    spark.createDataFrame([(card,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/card")
 
 
 def undeclared_policies(steps: DataFrame, declared: DataFrame) -> DataFrame:

@@ -1,7 +1,8 @@
 """Decisions of a language model: requests, retries, matching, fallback, and their telemetry.
 
-The client is injected (text -> answer), so tests and replays need no
-network; it is made once for a task. Rows are requests; each gives one
+The client is injected (prompt -> text, or a transport.Reply with the tokens
+that the provider counted), so tests and replays need no network; it is made
+once for a task. Rows are requests; each gives one
 attempt row per try, and decisions are grouped from those.
 """
 
@@ -16,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .transport import Reply
+
 #: Seconds that a retry waits for each earlier try.
 BACKOFF = 0.5
 
@@ -39,7 +42,7 @@ def answer(text: str) -> tuple[dict | None, str]:
     return (found, "ok") if isinstance(found, dict) else (None, "not_dict")
 
 
-def one(prompt: str, legal: Sequence[str], complete: Callable[[str], str], retries: int, wait: Callable[[float], None] = time.sleep, clock: Callable[[], float] = time.time) -> list[dict]:
+def one(prompt: str, legal: Sequence[str], complete: Callable[[str], str | Reply], retries: int, wait: Callable[[float], None] = time.sleep, clock: Callable[[], float] = time.time) -> list[dict]:
     """The attempts of one decision; the last has the outcome."""
     if not legal:
         return []
@@ -47,13 +50,14 @@ def one(prompt: str, legal: Sequence[str], complete: Callable[[str], str], retri
     for i in range(1, retries + 2):
         row = {"attempt_index": i, "retry_backoff_ms": backoff * 1000, "started_at": clock(), "response_hash": "", "parse_status": "no_response", "error_category": None, "input_tokens": 0, "output_tokens": 0, "action_type": None}
         try:
-            text = complete(prompt)
+            said = complete(prompt)
+            said = said if isinstance(said, Reply) else Reply(said, len(prompt) // 4, len(said) // 4)
         except Exception as e:  # any failure of a client is an attempt that failed
             row["error_category"] = type(e).__name__
         else:
-            body, row["parse_status"] = answer(text)
-            row["response_hash"] = "sha256:" + hashlib.sha256(text.encode()).hexdigest()
-            row["input_tokens"], row["output_tokens"] = len(prompt) // 4, len(text) // 4
+            body, row["parse_status"] = answer(said.text)
+            row["response_hash"] = "sha256:" + hashlib.sha256(said.text.encode()).hexdigest()
+            row["input_tokens"], row["output_tokens"] = said.input_tokens, said.output_tokens
             if body is not None and body.get("action_type") in legal:
                 row["action_type"] = body["action_type"]
         row["finished_at"] = clock()
@@ -102,6 +106,11 @@ def constant(action_type: str) -> Callable[[], Callable[[str], str]]:
     return lambda: lambda prompt: json.dumps({"action_type": action_type, "params": {}})
 
 
+def echo() -> Callable[[], Callable[[str], Reply]]:
+    """A client for tests that gives the prompt back, for 20 tokens."""
+    return lambda: lambda prompt: Reply(prompt, len(prompt) // 4, 20)
+
+
 def first_legal() -> Callable[[str], str]:
     """A client for tests that gives the prompt's first legal action."""
     return lambda prompt: json.dumps({"action_type": json.loads(prompt)["legal_actions"][0]["action_type"]})

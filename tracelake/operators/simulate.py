@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
@@ -138,14 +139,25 @@ def replay(records: DataFrame, spec: Mapping, first: int = 5, strict: bool = Fal
     return records.groupBy("episode_id").applyInPandas(run, REPLAY)
 
 
-BRANCH = TRANSITION + ", fork_tick long, error string"
+BRANCH = TRANSITION + ", fork_tick long, error string, fingerprint_before string, fingerprint_after string"
+
+
+def fingerprint(world: World) -> str:
+    """Of the world's generators, as counterfactual.fingerprint() gives it for a bundle of one entry."""
+    return "sha256:" + hashlib.sha256(f"exogenous\0{json.dumps(world.snapshot()['exo'])}\0".encode()).hexdigest()
+
+
+def no_branches(records: DataFrame, spec: Mapping | None = None) -> DataFrame:
+    """The brancher that makes none."""
+    return records.sparkSession.createDataFrame([], BRANCH)
 
 
 def branch(records: DataFrame, spec: Mapping, every: int = 5, most: int = 2, steps: int = 1) -> DataFrame:
     """At every so many ticks, up to most legal alternatives of other action types than the recorded one, each from the same state.
 
-    The fork's event is held fixed in the alternative's first step. An
-    alternative that fails gives a row with its error; the parent goes on
+    The fork's event is held fixed in the alternative's first step, and the
+    generators are those of the fork: their fingerprints before and after the
+    step say so. An alternative that fails gives a row with its error; the parent goes on
     from its own snapshot.
     """
 
@@ -164,8 +176,9 @@ def branch(records: DataFrame, spec: Mapping, every: int = 5, most: int = 2, ste
                     seen.add(kind)
                     try:
                         for k in range(steps):
+                            before = fingerprint(world)
                             row = _row(world, name, int(r.seed), r.agent_id, (kind, params), "counterfactual_branch", event if k == 0 else None)
-                            rows.append(row | {"fork_tick": r.tick, "error": None})
+                            rows.append(row | {"fork_tick": r.tick, "error": None, "fingerprint_before": before, "fingerprint_after": fingerprint(world)})
                     except Exception as e:  # an alternative must not end the parent
                         rows.append({"episode_id": name, "seed": int(r.seed), "tick": r.tick, "agent_id": r.agent_id, "action_type": kind, "fork_tick": r.tick, "error": repr(e)})
                     world.restore(fork)
@@ -194,13 +207,13 @@ def joint_branch(records: DataFrame, spec: Mapping, every: int = 5, most: int =
                     if key in seen or n == most:
                         continue
                     seen.add(key)
-                    before, energy = world.hash(), _energy(world, focal)
+                    before, energy, at_fork = world.hash(), _energy(world, focal), fingerprint(world)
                     code, delta = world.receipt(focal, kind, params)
                     world.step([(focal, kind, params), *actions[1:]], event)
                     rows.append({
                         "episode_id": f"{step['episode_id'].iloc[0]}_cf_t{tick}_b{n}", "seed": int(step["seed"].iloc[0]), "tick": tick, "agent_id": focal, "action_type": kind, "params": json.dumps(params, sort_keys=True),
                         "policy_id": "counterfactual_branch", "outcome_code": code, "receipt_delta": delta, "realized_delta": _energy(world, focal) - energy, "died": focal in world.state["died"],
-                        "exogenous": json.dumps(event, sort_keys=True) if event else None, "state_before_hash": before, "state_after_hash": world.hash(), "fork_tick": tick, "error": None,
+                        "exogenous": json.dumps(event, sort_keys=True) if event else None, "state_before_hash": before, "state_after_hash": world.hash(), "fork_tick": tick, "error": None, "fingerprint_before": at_fork, "fingerprint_after": fingerprint(world),
                     })
                     n += 1
                     world.restore(fork)

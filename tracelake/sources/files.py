@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.records import RECORD
+from ..scratch import staged
 
 BAD = "_corrupt_record"
 
@@ -32,7 +33,7 @@ def tick_files(spark: SparkSession, path: str, schema: T.StructType = RECORD) ->
 
 
 def splits(spark: SparkSession, path: str) -> DataFrame:
-    """episode_id, split of a JSON object {episode: split}."""
+    """episode_id, split of JSON objects {episode: split}, one in each file."""
     text = spark.read.option("wholetext", True).text(path)
     return text.select(F.explode(F.from_json("value", "map<string,string>"))).select(F.col("key").alias("episode_id"), F.col("value").alias("split"))
 
@@ -59,9 +60,21 @@ def vocabularies(rows: DataFrame, first: int = 100) -> dict[str, list[str]]:
     return {"actions": found.actions, "agents": found.agents}
 
 
-def with_provenance(rows: DataFrame) -> DataFrame:
-    """rows with the file and the line number in it (by position in the file)."""
-    from pyspark.sql import Window
-
-    rows = rows.select("*", F.col("_metadata.file_name").alias("source_file"), F.monotonically_increasing_id().alias("__id"))
-    return rows.withColumn("source_line", F.row_number().over(Window.partitionBy("source_file").orderBy("__id"))).drop("__id")
+def numbered_lines(spark: SparkSession, path: str, schema: T.StructType = RECORD, bad: str = "drop") -> DataFrame:
+    """Records of JSON-lines files with source_file and source_line, counted over all lines of the file, blank and malformed ones too.
+
+    A file is read in blocks. Lines are numbered within their block, and a
+    block goes on where the lines of the blocks before it end, so no task
+    sees a whole file.
+    """
+    if bad not in ("drop", "keep"):
+        raise ValueError(f"bad is drop or keep, not {bad!r}")
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("__path"), F.col("_metadata.file_name").alias("source_file"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__id"))
+    lines = staged(lines, "lines")
+    block = Window.partitionBy("__path", "__block").orderBy("__id")
+    before = lines.groupBy("__path", "__block").agg(F.count("*").alias("__n")).select("__path", "__block", (F.sum("__n").over(Window.partitionBy("__path").orderBy("__block")) - F.col("__n")).alias("__before"))
+    rows = lines.withColumn("__i", F.row_number().over(block)).join(before, ["__path", "__block"]).withColumn("source_line", F.col("__i") + F.col("__before"))
+    with_bad = T.StructType([*schema.fields, T.StructField(BAD, T.StringType())])
+    read = F.from_json("value", with_bad, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD})
+    rows = rows.filter(F.trim("value") != "").select(read.alias("r"), "source_file", "source_line").select("r.*", "source_file", "source_line")
+    return rows if bad == "keep" else rows.filter(F.col(BAD).isNull()).drop(BAD)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Mapping
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators import records as R
 from ..operators.grouping import manifest
+from ..operators.ordering import numbered
 from .files import split_rank
 
 
@@ -58,21 +60,72 @@ def dataset_manifest(flat: DataFrame, scenario: str, params_hash: str) -> DataFr
     )
 
 
-def splits_json(splits: DataFrame) -> DataFrame:
-    """One row: {episode: split}, episodes in order. For the small episode table."""
-    return splits.agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("episode_id", "split"))))).alias("value"))
+def splits_json(splits: DataFrame, each: int = 100_000) -> DataFrame:
+    """{episode: split} with episodes in order, so many of them in one row; rows are in order too, and files.splits() reads them all."""
+    rows = numbered(splits.select("episode_id", "split"), ["episode_id", "split"], "__n").withColumn("__part", F.floor(F.col("__n") / each))
+    objects = rows.groupBy("__part").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("episode_id", "split"))))).alias("value"))
+    return objects.orderBy("__part").select("value")
 
 
-def checksums(spark: SparkSession, path: str) -> DataFrame:
-    """path, sha256 and length of every file below a path."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return files.select("path", F.sha2("content", 256).alias("sha256"), "length")
+def write_splits(splits: DataFrame, path: str, each: int = 100_000) -> None:
+    """One file for each object of splits_json()."""
+    objects = splits_json(splits, each)
+    objects.repartitionByRange(max(1, objects.count()), "value").write.mode("overwrite").text(path)
+
+
+def split_manifest(flat: DataFrame) -> DataFrame:
+    """One row for each split: counts, and its episodes' first and last ticks. flat has a split."""
+    per = flat.groupBy("split", "episode_id").agg(F.count("*").alias("n"), F.min("tick").alias("first"), F.max("tick").alias("last"))
+    return per.groupBy("split").agg(F.count("*").alias("episode_count"), F.sum("n").alias("record_count"), F.min("first").alias("first_tick"), F.max("last").alias("last_tick"))
+
+
+def checksums(spark: SparkSession, path: str, step: int = 8 << 20) -> DataFrame:
+    """path, sha256 and length of every file below a path that is not empty, read in steps, so a file of any size takes no more memory."""
+    from collections.abc import Iterator
+    from urllib.parse import quote
+
+    import pyarrow as pa
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        for batch in batches:
+            found = []
+            for name in batch.column(0).to_pylist():
+                if name.startswith("file:"):
+                    system, inner = fs.LocalFileSystem(), "/" + name.removeprefix("file:").lstrip("/")
+                else:
+                    system, inner = fs.FileSystem.from_uri(quote(name, safe=":/@%"))
+                digest = hashlib.sha256()
+                with system.open_input_stream(inner) as f:
+                    while part := f.read(step):
+                        digest.update(part)
+                found.append(digest.hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string()), batch.column(1)], ["path", "sha256", "length"])
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length")
+    return files.mapInArrow(run, "path string, sha256 string, length long")
 
 
 def schema_snapshot(rows: DataFrame) -> str:
     return json.dumps(json.loads(rows.schema.json()), sort_keys=True)
 
 
+def write_documents(spark: SparkSession, documents: Mapping[str, object], path: str) -> None:
+    """Small JSON documents by name, each a row of one table of text (name, value): schemas, capabilities, parameters."""
+    rows = [(name, json.dumps(value, sort_keys=True, default=plain)) for name, value in sorted(documents.items())]
+    spark.createDataFrame(rows, "name string, value string").coalesce(1).write.mode("overwrite").json(path)
+
+
+def plain(value: object) -> object:
+    """Sets and tuples as sorted and plain lists, for JSON."""
+    if isinstance(value, (set, frozenset)):
+        return sorted(value, key=repr)
+    if isinstance(value, tuple):
+        return list(value)
+    raise TypeError(f"{type(value).__name__} has no JSON form")
+
+
 def dataset_card(manifest_row: Mapping, gates: list[Mapping]) -> str:
     """A Markdown card of a dataset: sizes, splits and gate results."""
     lines = [f"# Dataset {manifest_row['scenario_id']}", "", f"World parameters: `{manifest_row['world_parameters_hash']}`", "", f"Records: {manifest_row['total_records']}", "", "| split | records | episodes |", "|-|-|-|"]

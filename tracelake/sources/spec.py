@@ -6,6 +6,7 @@ import hashlib
 import json
 from collections.abc import Mapping
 from dataclasses import dataclass
+from importlib import resources
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +23,11 @@ SECTIONS = {
 IDENTITY = ("time", "space", "fields", "entities", "relations", "registries", "actions", "exogenous", "termination")
 
 OPS = ("set", "add", "sub", "mul", "div", "remove", "append")
+DTYPES = ("int", "float", "bool", "str")
+
+#: What a space of each type has to state.
+SPACES = {"discrete": "shape", "continuous": "bounds", "graph": "node_ids"}
+
 STOPS = ("max_ticks", "no_alive", "threshold", "custom")
 
 
@@ -81,17 +87,16 @@ def schema_issues(data: Mapping) -> list[Issue]:
         out.append(Issue("schema", "error", "time.max_ticks is missing", "time"))
     else:
         _kind(data["time"]["max_ticks"], int, "time.max_ticks", out, 1)
-    needs = {"discrete": "shape", "continuous": "bounds", "graph": "node_ids"}
     kind = data["space"].get("type")
-    if kind not in needs:
-        out.append(Issue("schema", "error", f"space.type is one of {sorted(needs)}", "space.type"))
-    elif needs[kind] not in data["space"]:
-        out.append(Issue("schema", "error", f"a {kind} space needs {needs[kind]}", "space"))
+    if kind not in SPACES:
+        out.append(Issue("schema", "error", f"space.type is one of {sorted(SPACES)}", "space.type"))
+    elif SPACES[kind] not in data["space"]:
+        out.append(Issue("schema", "error", f"a {kind} space needs {SPACES[kind]}", "space"))
     if not isinstance(data["entities"].get("columns"), list):
         out.append(Issue("schema", "error", "entities.columns must be a list", "entities.columns"))
     else:
         for i, c in enumerate(data["entities"]["columns"]):
-            if not isinstance(c, Mapping) or "name" not in c or c.get("dtype") not in ("int", "float", "bool", "str"):
+            if not isinstance(c, Mapping) or "name" not in c or c.get("dtype") not in DTYPES:
                 out.append(Issue("schema", "error", "a column has a name and a dtype", f"entities.columns[{i}]"))
     if "initial_count" in data["entities"]:
         _kind(data["entities"]["initial_count"], int, "entities.initial_count", out, 0)
@@ -135,12 +140,47 @@ def compile_spec(data: Mapping) -> dict:
     return full
 
 
+def parameters(spec: Mapping) -> dict:
+    """The sections that make up the world's identity."""
+    return {k: spec.get(k, {}) for k in IDENTITY}
+
+
+def _plain(value: object) -> object:
+    """JSON's form of what JSON lacks: sets as sorted lists, other things as text."""
+    return sorted(value, key=repr) if isinstance(value, (set, frozenset)) else str(value)
+
+
 def params_hash(spec: Mapping) -> str:
     """SHA-256 of the identity sections as JSON with sorted keys."""
-    text = json.dumps({k: spec.get(k, {}) for k in IDENTITY}, sort_keys=True)
+    text = json.dumps(parameters(spec), sort_keys=True, default=_plain)
     return "sha256:" + hashlib.sha256(text.encode()).hexdigest()
 
 
+def json_schema() -> dict:
+    """The shape of a specification as a JSON Schema document; spec.schema.json beside this module holds it."""
+    name = {"type": "string", "minLength": 1}
+    listed = lambda item: {"type": "array", "items": item}
+    known = lambda needs, **properties: {"type": "object", "required": list(needs), "properties": properties}
+    effect = known(("target", "op"), target={}, op={"enum": list(OPS)})
+    parts = {
+        "scenario": known(("scenario_id", "scenario_version"), scenario_id=name, scenario_version=name),
+        "time": known(("max_ticks",), max_ticks={"type": "integer", "minimum": 1}),
+        "space": known(("type",), type={"enum": sorted(SPACES)}) | {"allOf": [{"if": {"properties": {"type": {"const": k}}}, "then": {"required": [need]}} for k, need in sorted(SPACES.items())]},
+        "entities": known(("columns", "initial_count"), columns=listed(known(("name", "dtype"), dtype={"enum": list(DTYPES)})), initial_count={"type": "integer", "minimum": 0}),
+        "actions": known(("actions",), actions=listed(known(("action_type", "effects"), action_type=name, effects=listed(effect)))),
+        "termination": known(("stop_conditions",), stop_conditions=listed(known(("kind",), kind={"enum": list(STOPS)})) | {"minItems": 1}),
+    }
+    return {
+        "$schema": "https://json-schema.org/draft/2020-12/schema", "type": "object", "additionalProperties": False, "required": [k for k, needed in SECTIONS.items() if needed],
+        "properties": {k: parts.get(k, {"type": "object"}) for k in SECTIONS},
+    }
+
+
+def packaged_schema() -> dict:
+    """The schema document that the package ships."""
+    return json.loads(resources.files(__package__).joinpath("spec.schema.json").read_text(encoding="utf-8"))
+
+
 def capabilities(spec: Mapping) -> dict[str, object]:
     """Which slots a world has, by what its specification uses."""
     events = spec.get("exogenous", {}).get("events", ())
