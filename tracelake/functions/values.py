@@ -50,4 +50,4 @@ def change_order(kind: Column) -> Column:
 
 def selected(keys: Column, wanted: Column) -> Column:
     """Those of the keys that a comma-separated text names."""
-    return F.array_intersect(F.transform(F.split(wanted, ","), F.trim), keys)
+    return F.array_intersect(F.transform(F.split(wanted, ","), lambda x: F.trim(x)), keys)

@@ -1,3 +1,3 @@
 """All queries; importing this fills the registry."""
 
-from . import engine, grouping, more, tables, windows  # noqa: F401
+from . import engine, grouping, io, more, tables, windows  # noqa: F401

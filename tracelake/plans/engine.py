@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators import counterfactual as CFO
 from ..operators import grouping as G
@@ -22,6 +23,12 @@ from ..trajectory import EP, TR, episodes, split_of, transitions, with_branches
 
 
 # -- records and gates ------------------------------------------------------
+def moved(rows):
+    """Rows with branches of which some start from another state."""
+    other = (F.col("policy_id") == "counterfactual_branch") & (F.col("event_id") % 31 == 0)
+    return rows.withColumn("state_before_hash", F.when(other, "sha256:moved").otherwise(F.col("state_before_hash")))
+
+
 def flawed(rows):
     """Records with planted flaws, by event number: the negative controls of the gates."""
     rows = rows.withColumn("state_after_hash", F.when(F.col("event_id") % 101 == 7, "sha256:broken").otherwise(F.col("state_after_hash")))
@@ -43,9 +50,14 @@ def q1(spark, sf_dir):
     return Q.traceability(flawed(transitions(spark, sf_dir)))
 
 
-@query("dp8_q2_structure", f"WITH {TR} SELECT 'Q2' AS key, 'pass' AS status, concat(count(*), '/', count(*), ' delta-capability consistent, ', count(*), '/', count(*), ' ticks after valid') AS evidence FROM tr")
+@query("dp8_q2_structure", f"WITH {TR} SELECT 'Q2' AS key, CASE WHEN bool_and(tick % 11 <> 4 AND tick % 13 <> 2) THEN 'pass' ELSE 'fail' END AS status, concat(count(*) FILTER (tick % 11 <> 4), '/', count(*), ' delta-capability consistent, ', count(*) FILTER (tick % 13 <> 2), '/', count(*), ' ticks after valid') AS evidence FROM tr")
 def q2(spark, sf_dir):
-    return Q.q2_structure(R.records(transitions(spark, sf_dir))).select("key", "status", "evidence")
+    """Planted: changes of a slot that the world lacks, and states that stay at their tick."""
+    tick, delta = F.col("tick"), F.col("state_delta")
+    changes = F.when(tick % 11 == 4, F.struct(F.array().cast(T.ArrayType(R.CHANGE)).alias("changes")))
+    after = F.when(tick % 13 == 2, tick).otherwise(delta["meta_after"]["tick"])
+    rows = R.records(transitions(spark, sf_dir)).withColumn("state_delta", delta.withField("population_changes", changes).withField("meta_after.tick", after))
+    return Q.q2_structure(rows).select("key", "status", "evidence")
 
 
 @query(
@@ -64,9 +76,16 @@ def _leakage(spark, sf_dir):
     return found, splits
 
 
-@query("dp11_q5_leakage", f"WITH {EP} SELECT 'Q5' AS key, 'pass' AS status, '0 violations reported, 0 found again from the records' AS evidence")
+@query(
+    "dp11_q5_leakage",
+    f"""WITH {EP}, a AS (SELECT episode_id, seed, split FROM ep UNION ALL SELECT concat(episode_id, '_again'), seed, 'val' FROM ep WHERE seed % 17 = 0), v AS (SELECT seed FROM a GROUP BY seed HAVING count(DISTINCT split) > 1)
+SELECT 'Q5' AS key, CASE WHEN count(*) = 0 THEN 'pass' ELSE 'fail' END AS status, concat(count(*), ' violations reported, ', count(*), ' found again from the records') AS evidence FROM v""",
+)
 def q5(spark, sf_dir):
+    """Planted: a second episode of some seeds, in the validation split."""
     found, splits = _leakage(spark, sf_dir)
+    again = found.filter("seed % 17 = 0").withColumn("episode_id", F.concat("episode_id", F.lit("_again")))
+    found, splits = found.unionByName(again), splits.unionByName(again.select("episode_id", F.lit("val").alias("split")))
     report = S.leakage_report(S.leakage(splits, found, ("seed",)), ("seed",))
     return Q.q5_leakage(report, splits.join(found.select("episode_id", "seed"), "episode_id")).select("key", "status", "evidence")
 
@@ -81,9 +100,10 @@ def q6(spark, sf_dir):
     return Q.q6_coverage(_coverage(spark, sf_dir)).select("key", "status", "evidence")
 
 
-@query("dp13_q7_counterfactual", f"WITH {TR}, g AS (SELECT seed, tick FROM tr WHERE tick > 0 AND tick % 5 = 0) SELECT 'Q7' AS key, 'pass' AS status, concat(count(*), '/', count(*), ' fork points held fixed, ', 4 * count(*), ' branches') AS evidence FROM g")
+@query("dp13_q7_counterfactual", f"WITH {TR}, g AS (SELECT event_id % 31 <> 0 AS held FROM tr WHERE tick > 0 AND tick % 5 = 0) SELECT 'Q7' AS key, CASE WHEN bool_and(held) THEN 'pass' ELSE 'fail' END AS status, concat(count(*) FILTER (held), '/', count(*), ' fork points held fixed, ', 4 * count(*), ' branches') AS evidence FROM g")
 def q7(spark, sf_dir):
-    groups = CFO.held_fixed_counts(with_branches(transitions(spark, sf_dir)).filter("tick > 0 and tick % 5 = 0"))
+    """Planted: branches that start from another state than their parent."""
+    groups = CFO.held_fixed_counts(moved(with_branches(transitions(spark, sf_dir))).filter("tick > 0 and tick % 5 = 0"))
     return Q.q7_counterfactual(groups).select("key", "status", "evidence")
 
 
@@ -141,12 +161,22 @@ def invariants(spark, sf_dir):
 
 @query(
     "pf1_samples",
-    f"""WITH {TR} SELECT episode_id, CAST(seed AS VARCHAR) AS seed, tick, agent_id, action_type, true AS has_params, d / 100.0 AS energy_delta, energy_after / 100.0 - energy_before / 100.0 AS realized_first, energy_after / 100.0 - energy_before / 100.0 AS realized_total,
-false AS position_changed, CAST(0 AS INTEGER) AS edge_change_count, CAST(0 AS BIGINT) AS executed_candidate_rank FROM tr""",
+    f"""WITH {TR} SELECT episode_id, CAST(seed AS VARCHAR) AS seed, tick, agent_id, action_type, tick % 3 <> 1 AS has_params, d / 100.0 AS energy_delta, energy_after / 100.0 - energy_before / 100.0 AS realized_first, energy_after / 100.0 - energy_before / 100.0 AS realized_total,
+tick % 4 = 2 AS position_changed, CAST(tick % 3 AS INTEGER) AS edge_change_count, CAST(CASE WHEN tick % 2 = 0 THEN 2 WHEN tick % 6 = 1 THEN 1 ELSE 0 END AS BIGINT) AS executed_candidate_rank FROM tr""",
 )
 def samples(spark, sf_dir):
-    """First agent, receipt, ranks and realised changes of each record."""
-    return R.samples(R.records(transitions(spark, sf_dir))).drop("policy_id", "state_before_hash", "state_after_hash")
+    """First agent, receipt, ranks and realised changes of each record; some have moves, edge changes, other candidates or no parameters."""
+    rows, tick, delta = R.records(transitions(spark, sf_dir)), F.col("tick"), F.col("state_delta")
+    agent, first = F.map_keys("executed_actions")[0], F.map_values("candidate_actions")[0]
+    move = F.struct(F.lit("update").alias("kind"), agent.alias("entity_id"), F.lit("node").alias("column"), F.lit(None).alias("before"), F.lit(None).alias("after")).cast(R.CHANGE)
+    own = delta["entity_changes"]["changes"]
+    delta = delta.withField("entity_changes.changes", F.when(tick % 4 == 2, F.concat(own, F.array(move))).otherwise(own))
+    delta = delta.withField("relation_changes", F.struct(F.lit("r").alias("schema_id"), F.array_repeat(move, (tick % 3).cast("int")).alias("changes")))
+    none = F.create_map().cast("map<string,string>")
+    executed = F.transform_values("executed_actions", lambda k, v: v.withField("params", F.when(tick % 3 == 1, none).otherwise(v["params"])))
+    other = F.when(tick % 2 == 0, F.create_map(F.lit("a0"), first)).when(tick % 6 == 1, F.create_map(F.lit("e9"), first)).otherwise(F.map_filter("candidate_actions", lambda k, v: F.lit(False)))
+    rows = rows.withColumn("state_delta", delta).withColumn("candidate_actions", F.map_concat("candidate_actions", other)).withColumn("executed_actions", executed)
+    return R.samples(rows).drop("policy_id", "state_before_hash", "state_after_hash")
 
 
 @query("sk2_quarantine", f"WITH {TR} SELECT CASE WHEN event_id % 89 = 5 THEN 'validation_failed: outcome_codes' END AS reason, count(*) AS n FROM tr GROUP BY 1")

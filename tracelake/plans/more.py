@@ -17,7 +17,7 @@ from ..operators import telemetry as M
 from ..registry import query, table
 from ..sources import environments as ENV
 from ..trajectory import CF, EP, TR, branches, episodes, split_of, transitions, with_branches
-from .engine import flawed
+from .engine import flawed, moved
 from .tables import ATTEMPTS, PARTS, _parts, attempts
 
 STEPS = f"{TR}, g AS (SELECT episode_id, tick // 4 AS step, list_sort(list(DISTINCT agent_id)) AS agents, min(agent_id) AS first_agent, arg_max(agent_id, tick) AS last_agent FROM tr GROUP BY ALL)"
@@ -147,10 +147,10 @@ def rule_counts(spark, sf_dir):
     return flawed(transitions(spark, sf_dir)).agg(*[F.count_if(rule).alias(name) for name, rule in REC.schema_rules().items()])
 
 
-@query("st20_held_fixed", f"WITH {CF} SELECT c.seed, c.tick, c.episode_id, true AS state_before_hash_fixed, c.agent_id = t.agent_id AS agent_id_fixed, c.agent_id = t.agent_id AS held_fixed FROM cf c JOIN tr t ON c.seed = t.seed AND c.tick = t.tick")
+@query("st20_held_fixed", f"WITH {CF} SELECT c.seed, c.tick, c.episode_id, c.event_id % 31 <> 0 AS state_before_hash_fixed, c.agent_id = t.agent_id AS agent_id_fixed, c.event_id % 31 <> 0 AND c.agent_id = t.agent_id AS held_fixed FROM cf c JOIN tr t ON c.seed = t.seed AND c.tick = t.tick")
 def held_fixed(spark, sf_dir):
     rows = transitions(spark, sf_dir)
-    return CFO.verify_held_fixed(rows, branches(rows), ["state_before_hash", "agent_id"])
+    return CFO.verify_held_fixed(rows, moved(branches(rows)), ["state_before_hash", "agent_id"])
 
 
 @query("st24_joint_validation", f"WITH {STEPS} SELECT episode_id, step, CASE WHEN list_contains(agents, 'e0') THEN 'act' ELSE 'stay' END AS e0, CASE WHEN list_contains(agents, 'e3') THEN CASE WHEN step % 2 = 0 THEN 'act' ELSE 'noop' END ELSE 'noop' END AS e3 FROM g")

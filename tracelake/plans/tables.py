@@ -419,25 +419,57 @@ def action_vector(spark, sf_dir):
     return rows.select("episode_id", "tick", *[F.element_at("v", i + 1).alias(f"x{i}") for i in range(5)], F.size("v").cast("long").alias("width"))
 
 
-@query("f25_joint_action")
+def _hex(h, at):
+    """16 hexadecimal digits of a hash as a number, in SQL."""
+    return f"CAST(concat('0x', substr({h}, {at}, 16)) AS UBIGINT) % 1000"
+
+
+#: A SHA-256 modulo 1000, by its four 64-bit parts; 616 is 2 ** 64 modulo 1000.
+MOD_1000 = f"(((({_hex('h', 1)}) * 616 + {_hex('h', 17)}) % 1000 * 616 + {_hex('h', 33)}) % 1000 * 616 + {_hex('h', 49)}) % 1000"
+
+
+def _low(text, buckets):
+    """A text's bucket, for a power of two up to 256, in SQL."""
+    return f"(CAST(concat('0x', substr(sha256({text}), 63, 2)) AS INTEGER) % {buckets})"
+
+
+@query(
+    "f25_joint_action",
+    f"""WITH {TR}, s AS (SELECT *, sha256(concat('n', tick)) AS h FROM tr), n AS (SELECT *, ({MOD_1000}) / 1000.0 AS share FROM s)
+SELECT episode_id, tick, """
+    + ", ".join(
+        f"CAST(CASE WHEN agent_id = '{a}' THEN {v} ELSE 0 END AS DOUBLE) AS x{5 * i + j}"
+        for i, a in enumerate(("e0", "e1"))
+        for j, v in enumerate(("CAST(action_type = 'click' AS INTEGER)", "CAST(action_type = 'view' AS INTEGER)", "share", "1", "1"))
+    )
+    + " FROM n",
+)
 def joint_action(spark, sf_dir):
-    """Rows only: node shares are SHA-256 remainders that SQL can't take."""
     rows = transitions(spark, sf_dir)
     executed = F.create_map(F.col("agent_id"), F.struct(F.col("action_type"), F.create_map(F.lit("target_node"), F.concat(F.lit("n"), F.col("tick").cast("string")), F.lit("target_agent"), F.lit("e1")).alias("params")))
-    return rows.select("episode_id", "tick", X.joint_action(executed, ("e0", "e1"), ("click", "view")).alias("x"))
+    rows = rows.withColumn("x", X.joint_action(executed, ("e0", "e1"), ("click", "view")))
+    return rows.select("episode_id", "tick", *[F.element_at("x", i + 1).alias(f"x{i}") for i in range(10)])
 
 
-@query("f27_state_blocks")
+@query(
+    "f27_state_blocks",
+    f"""WITH {TR}, b AS (SELECT *, {_low("CAST(energy_after AS VARCHAR)", 8)} AS f0, 8 + {_low("action_type", 8)} % 4 AS f1, ({_low("agent_id", 4)} + {_low("action_type", 4)} + {_low("'did'", 4)}) % 4 AS g, {_low("outcome_code", 8)} % 4 AS r FROM tr)
+SELECT episode_id, tick, concat(f0, ',', f1) AS fields, CAST(d AS DOUBLE) AS e0, CAST({_low("agent_id", 8)} AS DOUBLE) AS e1, CAST(0 AS DOUBLE) AS e2, CAST(tick AS DOUBLE) AS e3, CAST({_low("action_type", 8)} AS DOUBLE) AS e4, CAST(0 AS DOUBLE) AS e5,
+{", ".join(f"CASE WHEN g = {i} THEN 1.5 ELSE 0.0 END::DOUBLE AS g{i}" for i in range(4))}, CAST(r AS VARCHAR) AS registries, CAST(1 AS DOUBLE) AS p0, CAST(0 AS DOUBLE) AS p2 FROM b""",
+)
 def state_blocks(spark, sf_dir):
-    """Rows only, for the same reason: all five blocks of a state."""
+    """All five blocks of a state; blocks of marks as the places of their ones."""
+    marks = lambda block: F.array_join(F.filter(F.transform(block, lambda x, i: F.when(x == 1.0, i)), lambda i: i.isNotNull()), ",")
     rows = transitions(spark, sf_dir)
     text = lambda c: F.col(c).cast("string")
     edges = F.array(F.struct(F.col("agent_id").alias("src"), F.col("action_type").alias("dst"), F.lit("did").alias("edge_type"), F.lit(1.5).alias("weight")))
-    return rows.select(
+    rows = rows.select(
         "episode_id", "tick", X.field_block(F.create_map(F.lit("energy"), text("energy_after"), F.lit("kind"), F.col("action_type")), 12, 8).alias("fields"),
-        X.entity_block(F.array(F.array(text("d"), F.col("agent_id")), F.array(text("tick"), F.col("action_type"))), 6, 8).alias("entities"), X.graph_block(edges, 4).alias("relations"),
-        X.registry_block(F.array("outcome_code"), 4, 8).alias("registries"), X.population_block(F.array("agent_id"), 3).alias("population"),
+        X.entity_block(F.array(F.array(text("d"), F.col("agent_id")), F.array(text("tick"), F.col("action_type"))), 6, 8).alias("e"), X.graph_block(edges, 4).alias("g"),
+        X.registry_block(F.array("outcome_code"), 4, 8).alias("registries"), X.population_block(F.array("agent_id"), 3).alias("p"),
     )
+    places = [F.element_at(b, i + 1).alias(f"{b}{i}") for b, n in (("e", range(6)), ("g", range(4)), ("p", (0, 2))) for i in n]
+    return rows.select("episode_id", "tick", marks("fields").alias("fields"), marks("registries").alias("registries"), *places)
 
 
 @query("f30_numeric_fields", "SELECT event_id, CAST(json_extract(props, '$.k') AS DOUBLE) AS k FROM events")

@@ -259,6 +259,22 @@ class CounterClient(Counter):
         return self._said()
 
 
+class Counters:
+    """Tick counters in the manner of a parallel environment, each agent with an end of its own."""
+
+    n_actions = 2
+
+    def __init__(self, ends: Mapping[str, int]):
+        self.each = {a: Counter(end) for a, end in ends.items()}
+
+    def reset(self, seed: int = 0):
+        return {a: c.reset(seed) for a, c in self.each.items()}, {}
+
+    def step(self, actions: Mapping[str, int]):
+        done = {a: self.each[a].step(x) for a, x in actions.items()}
+        return tuple({a: parts[k] for a, parts in done.items()} for k in range(5))
+
+
 STEPS = (
     "seed long, tick long, agent_id string, action long, outcome_code string, reward double, terminated boolean, truncated boolean, alive boolean, state_before_hash string, state_after_hash string, "
     "rewards_by_agent string, terminations_by_agent string, truncations_by_agent string, infos_digest_by_agent string, active_agents_after string, fingerprint_before string, fingerprint_after string, error string"

@@ -38,9 +38,9 @@ def splits(spark: SparkSession, path: str) -> DataFrame:
     return text.select(F.explode(F.from_json("value", "map<string,string>"))).select(F.col("key").alias("episode_id"), F.col("value").alias("split"))
 
 
-def manifest_totals(spark: SparkSession, path: str) -> DataFrame:
-    """Sums of record_count and quarantine_count over manifest files."""
-    rows = spark.read.schema("record_count long, quarantine_count long").option("multiLine", True).json(path)
+def manifest_totals(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Sums of record_count and quarantine_count over manifest files, each one document or, with lines, a document in each line."""
+    rows = spark.read.schema("record_count long, quarantine_count long").option("multiLine", not lines).json(path)
     return rows.agg(F.coalesce(F.sum("record_count"), F.lit(0)).alias("record_count"), F.coalesce(F.sum("quarantine_count"), F.lit(0)).alias("quarantine_count"))
 
 

@@ -117,7 +117,11 @@ def check_all(spark: SparkSession, specs: Mapping[str, Mapping]) -> DataFrame:
     for name, data in specs.items():
         for table, more in facts(name, data).items():
             rows[table] += more
-    tables = {t: spark.createDataFrame(rows[t], f"spec string, {columns}") for t, columns in TABLES.items()}
+    return check_tables(spark, {t: spark.createDataFrame(rows[t], f"spec string, {columns}") for t, columns in TABLES.items()})
+
+
+def check_tables(spark: SparkSession, tables: Mapping[str, DataFrame]) -> DataFrame:
+    """The same for specifications that are tables already, of any number."""
     out = None
     for r in RULES:
         text = F.concat(F.lit(r.message), F.when(F.col("subject") != "", F.concat(F.lit(": "), "subject")).otherwise(""))
