@@ -86,6 +86,36 @@ def rollout(spark: SparkSession, spec: Mapping, seeds: DataFrame, ticks: int, po
     return dealt(seeds).mapInPandas(_per_seed(lambda seed: _episode(spec, seed, ticks, policies, strict), TRANSITION), TRANSITION)
 
 
+def spawned(seeds: DataFrame, spec: Mapping) -> DataFrame:
+    """The entities of each seed's world before its first step, a column for each of theirs."""
+    kinds = {"int": "long", "float": "double", "bool": "boolean", "str": "string"}
+    schema = "seed long, entity_id string, " + ", ".join(f"`{c['name']}` {kinds[c['dtype']]}" for c in spec["entities"]["columns"])
+    fit = {c["name"]: float if c["dtype"] == "float" else lambda v: v for c in spec["entities"]["columns"]}
+
+    def episode(seed: int) -> list[dict]:
+        world = World(spec)
+        world.reset(seed)
+        return [{"seed": seed, "entity_id": e, **{k: fit[k](v) for k, v in row.items()}} for e, row in world.state["entities"].items()]
+
+    return dealt(seeds).mapInPandas(_per_seed(episode, schema.replace("`", "")), schema)
+
+
+def after_step(seeds: DataFrame, spec: Mapping, actions: Sequence[tuple[str, str, dict | None]]) -> DataFrame:
+    """What one step of the given actions (agent, type, parameters, or None for the default ones) does in each seed's world without an event:
+    energies and nodes, the first registry entry's owner, the first field and the number of edges."""
+    schema = "seed long, entity_id string, energy double, node string, owner string, water_level double, edges int"
+
+    def episode(seed: int) -> list[dict]:
+        world = World(spec)
+        world.reset(seed)
+        world.step([(agent, kind, dict(world.legal(agent))[kind] if params is None else params) for agent, kind, params in actions])
+        s = world.state
+        rest = {"owner": s["registries"][0]["owner_id"], "water_level": s["fields"]["water_level"], "edges": len(s["edges"])}
+        return [{"seed": seed, "entity_id": e, "energy": round(row["energy"], 9), "node": row["node"]} | rest for e, row in s["entities"].items()]
+
+    return dealt(seeds).mapInPandas(_per_seed(episode, schema), schema)
+
+
 def joint_rollout(spark: SparkSession, spec: Mapping, seeds: DataFrame, ticks: int, policy: Callable, missing: str = "noop") -> DataFrame:
     """All agents act at each tick; a row for each agent, all with the tick's state hashes."""
 
