@@ -430,7 +430,12 @@ def stream_chain(spark, sf_dir):
 
 @query("sm6_live_manifest", f"WITH {TR} SELECT episode_id, count(*) AS record_count, min(tick) AS first_tick, max(tick) AS last_tick FROM tr GROUP BY 1")
 def live_manifest(spark, sf_dir):
-    return log.drain(log.live_manifest(_logged(spark, sf_dir)), "manifest", "complete")
+    return log.drain(log.live_manifest(_logged(spark, sf_dir)), "manifest", ["episode_id"])
+
+
+@query("sm2_observed_counters", f"WITH {TR} SELECT episode_id, count(*) AS record_count, min(tick) AS first_tick, max(tick) AS last_tick, {', '.join(f"count(*) FILTER (action_type = '{k}') AS {k}_count" for k in ('view', 'click', 'purchase', 'signup', 'error'))} FROM tr GROUP BY 1")
+def observed_counters(spark, sf_dir):
+    return log.drain(log.live_manifest(_logged(spark, sf_dir), streaming_only=False), "counters", ["episode_id"])
 
 
 @query("sm4_stream_repeats", f"WITH {TR} SELECT episode_id, tick FROM tr")
@@ -444,5 +449,5 @@ def stream_repeats(spark, sf_dir):
 
 @query("sm5_windowed_counts", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type AS action_type, count(*) AS n FROM events GROUP BY ALL")
 def windowed_counts(spark, sf_dir):
-    return log.drain(log.windowed(_logged(spark, sf_dir), "1 hour", "400 days"), "windows", "complete").withColumn("start", F.col("start").cast("timestamp_ntz"))
+    return log.drain(log.windowed(_logged(spark, sf_dir), "1 hour", "400 days"), "windows", ["start", "action_type"]).withColumn("start", F.col("start").cast("timestamp_ntz"))
 

@@ -27,17 +27,23 @@ def tail(spark: SparkSession, path: str, schema: T.StructType, files_per_batch:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """What the stream gives for all that is there now, written to the shared folder: appended rows, or the last complete result."""
+def drain(stream: DataFrame, name: str, key: list[str] | None = None) -> DataFrame:
+    """What the stream gives for all that is there now, written to the shared folder.
+
+    Without a key, the rows that it appends. With the key of a grouped
+    stream, the last row of each key: a batch writes only the keys it
+    changed, under its number, so one that runs again replaces itself.
+    """
     spark = stream.sparkSession
     out, at = scratch(spark, name), scratch(spark, f"{name}-progress")
-    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", at).trigger(availableNow=True)
-    if mode == "append":
-        query = writer.format("parquet").option("path", out).start()
-    else:
-        query = writer.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(out)).start()
-    query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    writer = stream.writeStream.outputMode("update" if key else "append").option("checkpointLocation", at).trigger(availableNow=True)
+    if key is None:
+        writer.format("parquet").option("path", out).start().awaitTermination()
+        return spark.read.schema(stream.schema).parquet(out)
+    writer.foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{out}/batch={n}")).start().awaitTermination()
+    rows = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])).parquet(out)
+    last = rows.groupBy(*key).agg(F.max_by(F.struct(*stream.columns), "batch").alias("__last"))
+    return last.select("__last.*")
 
 
 CHAIN = "episode_id string, tick long, link_ok boolean, late boolean"
@@ -48,7 +54,7 @@ def chain(stream: DataFrame, patience_ms: int | None = None) -> DataFrame:
     """Links of each episode's hash chain, whatever order records come in.
 
     A record ahead of its turn waits in the state until the ticks before it
-    have come; one that comes again is reported late and not linked. With a
+    have come (so the state is as large as the disorder, not as the episode); one that comes again is reported late and not linked. With a
     patience (in processing time, so only for streams that go on), records
     still waiting when it ends are given out without a link.
     """
@@ -79,9 +85,12 @@ def chain(stream: DataFrame, patience_ms: int | None = None) -> DataFrame:
     return stream.groupBy("episode_id").applyInPandasWithState(step, CHAIN, _STATE, "append", "NoTimeout" if patience_ms is None else "ProcessingTimeTimeout")
 
 
-def live_manifest(stream: DataFrame) -> DataFrame:
-    """Counts and tick range of each episode so far (complete mode)."""
-    return stream.groupBy("episode_id").agg(F.count("*").alias("record_count"), F.min("tick").alias("first_tick"), F.max("tick").alias("last_tick"))
+def live_manifest(stream: DataFrame, streaming_only: bool = True) -> DataFrame:
+    """Counts and tick range of each episode so far; counters of what was observed as well, unless streaming_only."""
+    counts = [F.count("*").alias("record_count"), F.min("tick").alias("first_tick"), F.max("tick").alias("last_tick")]
+    if not streaming_only:
+        counts += [F.count_if(F.col("action_type") == k).alias(f"{k}_count") for k in ("view", "click", "purchase", "signup", "error")]
+    return stream.groupBy("episode_id").agg(*counts)
 
 
 def without_repeats(stream: DataFrame, watermark: str = "10 minutes") -> DataFrame:
