@@ -71,12 +71,23 @@ def is_counterfactual(policy: Column, episode: Column) -> Column:
     return (policy == "counterfactual_branch") | is_branch(episode)
 
 
+#: Rows of a list of definitions at most.
+DEFINITIONS = 10_000
+
+
+def small(definitions: DataFrame, most: int = DEFINITIONS) -> DataFrame:
+    """A list of definitions, to be broadcast; its rows are counted first, and a longer list is refused."""
+    if definitions.limit(most + 1).count() > most:
+        raise ValueError(f"a list of definitions has {most} rows at most")
+    return F.broadcast(definitions)
+
+
 def receipts_for(proposals: DataFrame, actions: DataFrame, closed: bool = True) -> DataFrame:
     """Outcome of each proposal: unknown actions of a closed space are unrecognized, unmet preconditions illegal, else ok at the action's cost.
 
     actions: action_type, cost, one row each; proposals have action_type and legal (their preconditions hold).
     """
-    known = proposals.join(F.broadcast(actions.select("action_type", F.col("cost").alias("__cost"))), "action_type", "left")
+    known = proposals.join(small(actions.select("action_type", F.col("cost").alias("__cost"))), "action_type", "left")
     missing = F.col("__cost").isNull()
     code = F.when(missing, "unrecognized_intent" if closed else "ok").when(~F.col("legal"), "illegal_action").otherwise("ok")
     known = known.withColumn("outcome_code", code).withColumn("success", F.col("outcome_code") == "ok")
@@ -85,7 +96,7 @@ def receipts_for(proposals: DataFrame, actions: DataFrame, closed: bool = True)
 
 def legal_actions(agents: DataFrame, actions: DataFrame, conditions: dict[str, Column]) -> DataFrame:
     """Every action of the (small, fixed) definition list that an agent's row allows; conditions by the name of a precondition."""
-    defs = F.broadcast(actions)
+    defs = small(actions)
     kind = F.lit(None).cast("boolean")
     for name, holds in conditions.items():
         kind = F.when(F.col("precondition") == name, holds).otherwise(kind)
