@@ -73,8 +73,9 @@ def ridge(rows: DataFrame, features: list[Column], target: Column, alpha: float
 def paired_stats(rows: DataFrame, diff: str, boots: int = 2000, seed: int = 0, ci: float = 0.95) -> DataFrame:
     """mean_diff, ci_low, ci_high, direction_consistency, n_pairs of paired differences; nan ones are dropped.
 
-    The bootstrap draws by hash, so it is the same on any cluster: draw j of
-    resample b is the pair whose number is hash(seed, b, j) mod n.
+    The bootstrap draws by hash, so it is the same on any cluster and in any
+    engine: draw k of all is the pair whose number is the first 60 bits of
+    MD5("seed|k"), modulo n; n draws make a resample.
     """
     pairs = rows.filter(F.col(diff).isNotNull() & ~F.isnan(diff)).select(F.col(diff).cast("double").alias("x"))
     pairs = numbered(pairs, ["x"], "i")
@@ -86,7 +87,7 @@ def paired_stats(rows: DataFrame, diff: str, boots: int = 2000, seed: int = 0, c
     agree = pairs.filter(F.signum("x") == float(np.sign(mean))).count() / n
     low = high = mean
     if n > 1:
-        draws = spark.range(boots * n).select(F.floor(F.col("id") / n).alias("b"), F.pmod(F.xxhash64(F.lit(seed), F.col("id")), F.lit(n)).alias("i"))
+        draws = spark.range(boots * n).select(F.floor(F.col("id") / n).alias("b"), (F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), F.col("id").cast("string")).cast("binary")), 1, 15), 16, 10).cast("long") % n).alias("i"))
         means = draws.join(pairs, "i").groupBy("b").agg(F.avg("x").alias("m"))
         tail = (1 - ci) / 2
         low, high = means.agg(F.percentile("m", F.lit(tail)), F.percentile("m", F.lit(1 - tail))).first()

@@ -208,9 +208,16 @@ def _diffs(spark, sf_dir):
     return rows.groupBy("seed").agg((F.avg(F.when(branch, F.col("d"))) - F.avg(F.when(~branch, F.col("d")))).alias("diff"))
 
 
-@query("ag18_bootstrap")
+@query(
+    "ag18_bootstrap",
+    f"""WITH {CF}, m AS (SELECT seed, avg(CASE WHEN policy_id = 'counterfactual_branch' THEN d END) - avg(CASE WHEN policy_id <> 'counterfactual_branch' THEN d END) AS x FROM both_rows GROUP BY seed),
+p AS (SELECT x, row_number() OVER (ORDER BY x) - 1 AS i FROM m WHERE x IS NOT NULL), k AS (SELECT avg(x) AS mean_diff, count(*) AS n FROM p),
+r AS (SELECT id // n AS b, CAST(concat('0x', substr(md5(concat('0|', id)), 1, 15)) AS BIGINT) % n AS i FROM (SELECT n, unnest(range(1000 * n)) AS id FROM k)),
+c AS (SELECT quantile_cont(m, 0.025) AS ci_low, quantile_cont(m, 0.975) AS ci_high FROM (SELECT avg(x) AS m FROM r JOIN p USING (i) GROUP BY b))
+SELECT mean_diff, ci_low, ci_high, (SELECT avg(CASE WHEN sign(x) = sign(mean_diff) THEN 1.0 ELSE 0.0 END) FROM p) AS direction_consistency, n AS n_pairs,
+CASE WHEN ci_low > 0 THEN 'PASS' WHEN ci_high < 0 THEN 'NEGATIVE' WHEN abs(mean_diff) < 0.005 THEN 'NULL' ELSE 'INCONCLUSIVE' END AS verdict FROM k, c""",
+)
 def bootstrap(spark, sf_dir):
-    """No SQL: the draws come from Spark's hash."""
     stats = G.paired_stats(_diffs(spark, sf_dir), "diff", boots=1000)
     return stats.withColumn("verdict", G.verdict(F.col("mean_diff"), F.col("ci_low"), F.col("ci_high"), F.col("n_pairs")))
 
