@@ -41,6 +41,17 @@ def test_index_persists(spark, edge, tmp_path):
     assert n.count() == n.select("digest").distinct().count()
 
 
+def test_deliveries_in_turn(edge, edge_rows):
+    """Cut at any id, larger ids first, the rows are those of one delivery; within each, one row of a digest at most is kept."""
+    names = ("doc_id", "keep_id", "group_size", "kept")
+    whole = by_id(exact_dedup.dedup(edge), *names)
+    for at in (0, 3, 8):
+        later = F.coalesce(F.col("doc_id") > at, F.lit(False))
+        assert by_id(exact_dedup.dedup_in_turn([edge.filter(later), edge.filter(~later)]), *names) == whole
+    twice = exact_dedup.dedup_in_turn([edge, edge]).collect()
+    assert sum(r.kept for r in twice) == sum(w[3] for w in whole) and len(twice) == 2 * len(whole)
+
+
 def test_index_opens_under_other_settings(spark, sf_dir, tmp_path):
     """Written with 8 buckets, opened with 3 shuffle partitions: everything is known; a stated other number is refused."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -180,6 +191,32 @@ def test_near(edge, empty, edge_rows):
     assert near_dup.join(empty).count() == 0
 
 
+@pytest.mark.parametrize("limit", [0, 1 << 19])
+def test_warc_by_either_join(spark, tmp_path, monkeypatch, limit):
+    """Many repeated payloads meet their pages in a merge join, the hot ones apart."""
+    monkeypatch.setattr(warc, "BROADCAST", limit)
+    rows = [(i, "u", "h" * 1500) for i in range(1500)] + [(2000 + i, "u", f"{i % 40:04}" * 400) for i in range(120)] + [(9000, "u", "alone" * 500)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    found = {r.page_id: (r.record_type, r.refers_to) for r in warc.round_trip(pages, str(tmp_path / "w")).collect()}
+    last = {}
+    for i, _, html in rows:
+        last[html] = max(i, last.get(html, -1))
+    assert found == {i: ("response", None) if last[html] == i else ("revisit", last[html]) for i, _, html in rows}
+
+
+@pytest.mark.parametrize("limit", [0, 1 << 19])
+def test_copies_by_either_join(edge, monkeypatch, limit):
+    from tracelake.llm import common
+
+    monkeypatch.setattr(common, "BROADCAST", limit)
+    assert Counter(r.doc_id for r in exact_dedup.keep_first_copies(edge).collect()) == {10: 1, 4: 1, 5: 1, None: 1, 6: 1, 7: 1, 8: 1, 9: 1, 11: 1, 12: 1}
+
+
+def test_bpe_without_the_space_rule(edge):
+    path = P.path("byte_bpe_50k.tiktoken")
+    assert by_id(bpe.encode_documents(edge, path, P.PATTERN, at_spaces=False), "doc_id", "n_tokens", "ids_sha256") == by_id(bpe.encode_documents(edge, path, P.PATTERN), "doc_id", "n_tokens", "ids_sha256")
+
+
 def test_warc(spark, tmp_path):
     big = "x" * 1500
     rows = [(1, "u1", big, 9), (2, None, big, 9), (3, "u 3\r\nInjected: y", "small", 9), (4, "u", "small", 9), (5, "u", None, 9), (6, "u", "", 9), (None, "u", big, 9), (7, "u", "é" * 700, 9), (2, "u", big, 9)]

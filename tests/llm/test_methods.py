@@ -450,9 +450,36 @@ def test_training_shards(spark, sf_dir, monkeypatch, tmp_path):
     assert gain(a) > 0.4 * gain(c) > 0.04
 
 
+def test_long_texts_in_steps(monkeypatch):
+    """Rules, votes and language counts of a text don't depend on the steps in which it is read."""
+    rng = random.Random(10)
+    texts = ["".join(rng.choice(["ab ", "a b c d e ", "é! ", "word\n", "AB CD ", "\t\n", "x", "日本 "]) for _ in range(rng.randrange(1, 200))).encode() for _ in range(60)]
+    texts += [b" " * 50, b"x" * 50, b"a"]
+    known = langid.build(["de", "en"], np.unique(langid.grams(texts[:20])[0]), np.arange(len(np.unique(langid.grams(texts[:20])[0]))) % 2)
+    whole = [(rules.statistics(t), weak.votes(t)) for t in texts]
+    counted, keys = known.counts(texts), langid.grams(texts)
+    for module in (rules, langid, "tracelake.llm.common"):
+        monkeypatch.setattr(*((f"{module}.STEP_BYTES", 16) if isinstance(module, str) else (module, "STEP_BYTES", 16)))
+    for t, (of_rules, of_votes) in zip(texts, whole, strict=True):
+        found = rules.statistics(t)
+        assert found[0] == of_rules[0] and found[1] == pytest.approx(of_rules[1]) and weak.votes(t) == of_votes
+    assert all((a == b).all() for a, b in zip(langid.grams(texts), keys, strict=True))
+    assert all(np.allclose(a, b) for a, b in zip(known.counts(texts), counted, strict=True))
+
+
+def test_variety_by_windows():
+    rng = random.Random(13)
+    for n in (1, 399, 400, 401, 800, 801, 1234):
+        words = [f"w{rng.randrange(500)}" for _ in range(n)]
+        starts = [*range(0, n - weak.SPAN, weak.SPAN), n - weak.SPAN] if n > weak.SPAN else [0]
+        mean = sum(len(set(words[a : a + weak.SPAN])) / min(n, weak.SPAN) for a in starts) / len(starts)
+        assert weak.variety(words) == pytest.approx(min(mean, len(set(words)) / (n * weak.SPAN) ** 0.5) if n > weak.SPAN else mean)
+
+
 def test_spans_are_tokens(monkeypatch):
     rng = random.Random(9)
     monkeypatch.setattr(lbl, "SPAN", 7)
+    assert [w for part in lbl.spans(None) for w in part] == lbl.tokens(None)
     for _ in range(300):
         text = "".join(rng.choice("aB é\n\t  longword") for _ in range(rng.randrange(60))).encode()
         assert [w for part in lbl.spans(text) for w in part] == lbl.tokens(text)

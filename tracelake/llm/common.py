@@ -9,13 +9,16 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..scratch import scratch, shared_dir, staged
+from ..scratch import release, scratch, shared_dir, staged
 
-__all__ = ["ASCII_LOWER", "STEP_BYTES", "chunks", "column", "crc_mod", "join_counted", "numbered", "partitions", "row_id", "scratch", "shared_dir", "staged"]
+__all__ = ["ASCII_LOWER", "STEP_BYTES", "chunks", "column", "crc_mod", "join_counted", "keyed", "numbered", "partitions", "release", "row_id", "scratch", "shared_dir", "staged", "without", "word_parts"]
 
 #: A key with more than one in HOT of all rows is hot; at most HOT keys are.
 HOT = 1024
 
+#: Keys of at most 16 bytes that are broadcast at most; they are counted first.
+BROADCAST = 1 << 19
+
 #: Input bytes that one numpy step handles at once; temporary arrays are a small multiple of it.
 STEP_BYTES = 1 << 20
 
@@ -27,11 +30,11 @@ def partitions(spark: SparkSession) -> int:
 
 
 def row_id(rid: str | None = None) -> Column:
-    """A number for each row, as documents may repeat doc_id or lack it: the column rid if the rows have one.
+    """What names a row, as documents may repeat doc_id or lack it: the column rid, of any type, or else a number.
 
-    Without one it follows from how the table is cut into tasks, so it may
-    leave a single scan only by being written; what scans twice takes a table
-    from numbered().
+    The number follows from how the table is cut into tasks, so it may leave
+    a single scan only by being written; what scans twice takes a table from
+    numbered(), or keyed() rows.
     """
     return F.col(rid) if rid else F.monotonically_increasing_id()
 
@@ -45,6 +48,26 @@ def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
     return staged(docs.select("*", F.monotonically_increasing_id().alias(name)), "numbered"), name
 
 
+def keyed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> tuple[DataFrame, str]:
+    """docs with a column that identifies a row by its content, 128 bits of SHA-256 over text and doc_id, and its name.
+
+    What is decided by text and id is the same for all rows of a key, so it
+    can be carried to another scan by it. A null text counts as empty. The id
+    keeps copies of a text apart, so no key gathers many rows but of one id.
+    """
+    taken, name = {c.lower() for c in docs.columns}, "__key"
+    while name in taken:
+        name += "_"
+    content = F.concat(F.coalesce(F.col(text), F.lit("")), F.lit("\0"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")))
+    return docs.withColumn(name, F.unhex(F.substring(F.sha2(content.cast("binary"), 256), 1, 32))), name
+
+
+def without(docs: DataFrame, key: str, gone: DataFrame) -> DataFrame:
+    """docs without the rows whose key is in gone (a staged table with that column alone). Up to BROADCAST keys go to the
+    rows, more of them meet in a merge join."""
+    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST else gone.hint("merge"), key, "left_anti")
+
+
 def join_counted(rows: DataFrame, per_key: DataFrame, keys: list[str], count: str, total: int) -> DataFrame:
     """rows joined with per_key, which has one row for each key and the number of rows of that key.
 
@@ -79,5 +102,22 @@ def chunks(batches: Iterable[pa.RecordBatch], text: str, limit: int = STEP_BYTES
         yield batch.slice(start)
 
 
+def word_parts(text: bytes, step: int | None = None) -> Iterator[list[bytes]]:
+    """text.split() in parts of about step bytes, so that the words of a very long text are never held at once."""
+    step = step or STEP_BYTES
+    if len(text) <= step:
+        yield text.split()
+        return
+    rest = b""
+    for at in range(0, len(text), step):
+        part = rest + text[at : at + step]
+        words = part.split()
+        # The last word may go on in the next part.
+        rest = words.pop() if words and not part[-1:].isspace() else b""
+        yield words
+    if rest:
+        yield [rest]
+
+
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.names.index(name))

@@ -20,14 +20,14 @@ from __future__ import annotations
 
 import hashlib
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..scratch import mark, marks
-from .common import ASCII_LOWER, column, join_counted, numbered, partitions, row_id, scratch, staged
+from .common import ASCII_LOWER, column, join_counted, keyed, partitions, row_id, scratch, staged, without
 
 _INDEX = "digest binary, doc_id long, group_size long, batch string, attempt string"
 
@@ -41,7 +41,7 @@ def digests(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", rid: st
             yield pa.RecordBatch.from_arrays([column(batch, "rid"), column(batch, "doc_id"), pa.array(out, pa.binary())], ["rid", "doc_id", "digest"])
 
     rows = docs.select(row_id(rid).alias("rid"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("t"))
-    return rows.mapInArrow(run, "rid long, doc_id long, digest binary")
+    return rows.mapInArrow(run, f"rid {dict(rows.dtypes)['rid']}, doc_id long, digest binary")
 
 
 class DigestIndex:
@@ -96,32 +96,50 @@ def dedup(docs: DataFrame, index: DigestIndex | None = None, text: str = "text",
     """One row per document: rid, doc_id, digest, keep_id, group_size, kept. Appends new digests to the index.
 
     keep_id is the id that stays, from this data or from what the index held
-    before; group_size counts the rows of the digest's first batch. A batch
-    name makes a run repeatable: the same data under the same name gives the
-    same rows, whether the run before died or not. rid names a column of row
-    numbers, if docs has one.
+    before; group_size counts the rows of this data. A batch name makes a run
+    repeatable: the same data under the same name gives the same rows,
+    whether the run before died or not. rid names a column that tells rows
+    apart and can be ordered, if docs has one.
     """
-    spark = docs.sparkSession
-    own = index is None
+    return dedup_in_turn([docs], index, text, doc_id, rid, [batch or uuid.uuid4().hex])
+
+
+def dedup_in_turn(deliveries: Sequence[DataFrame], index: DigestIndex | None = None, text: str = "text", doc_id: str = "doc_id", rid: str | None = None, batches: Sequence[str] | None = None) -> DataFrame:
+    """dedup() of several deliveries, each against what the index holds after those before it; group_size counts the rows of all of them."""
+    spark, own = deliveries[0].sparkSession, index is None
     index = index or DigestIndex(spark)
-    batch = hashlib.sha1((batch or uuid.uuid4().hex).encode()).hexdigest()
-    rows = staged(digests(docs, text, doc_id, rid), "digests")
-    groups = rows.groupBy("digest").agg(F.max(F.struct("doc_id", "rid")).alias("best"), F.count("*").alias("group_size"))
-    groups = staged(groups.select("digest", "best.doc_id", "best.rid", "group_size"), "digest-groups")
-    index.append(groups, batch)
-
-    known = index.rows().select("digest", F.col("doc_id").alias("keep_id"), F.col("group_size").alias("first_size"), (F.col("batch") == batch).alias("own"))
-    here = groups.select("digest", F.col("rid").alias("best_rid"), F.col("group_size").alias("n"))
-    known = staged(here.join(known.hint("merge"), "digest"), "known-digests")
+    names = [hashlib.sha1(b.encode()).hexdigest() for b in batches or [uuid.uuid4().hex for _ in deliveries]]
+    rows = groups = None
+    part_of = F.lit(-1)
+    for part, (docs, batch) in enumerate(zip(deliveries, names, strict=True)):
+        here = staged(digests(docs, text, doc_id, rid), "digests")
+        best = here.groupBy("digest").agg(F.max(F.struct("doc_id", "rid")).alias("best"), F.count("*").alias("group_size"))
+        best = staged(best.select("digest", "best.doc_id", "best.rid", "group_size"), "digest-groups")
+        index.append(best, batch)
+        here, best = (x.withColumn("part", F.lit(part)) for x in (here, best))
+        rows, groups = (here, best) if rows is None else (rows.unionByName(here), groups.unionByName(best))
+        part_of = F.when(F.col("batch") == batch, part).otherwise(part_of)
+
+    known = index.rows().select("digest", F.col("doc_id").alias("keep_id"), part_of.alias("keeper"))
+    met = groups.select("digest", "rid", "part", "group_size").join(known.hint("merge"), "digest")
+    met = met.groupBy("digest").agg(F.first("keep_id").alias("keep_id"), F.first("keeper").alias("keeper"), F.sum("group_size").alias("group_size"), F.max(F.when(F.col("part") == F.col("keeper"), F.col("rid"))).alias("best_rid"))
+    met = staged(met, "known-digests")
     if own:
         index.close()
-    kept = F.col("own") & (F.col("rid") == F.col("best_rid"))
-    found = join_counted(rows, known, ["digest"], "n", rows.count())
-    return found.select("rid", "doc_id", "digest", "keep_id", F.col("first_size").alias("group_size"), kept.alias("kept"))
+    kept = F.coalesce((F.col("part") == F.col("keeper")) & (F.col("rid") == F.col("best_rid")), F.lit(False))
+    found = join_counted(rows, met, ["digest"], "group_size", rows.count())
+    return found.select("rid", "doc_id", "digest", "keep_id", "group_size", kept.alias("kept"))
 
 
 def keep_first_copies(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The rows of docs that stay, with their columns."""
-    rows, rid = numbered(docs)
-    gone = dedup(rows, None, text, doc_id, rid).filter(~F.col("kept")).select(F.col("rid").alias(rid))
-    return rows.join(staged(gone, "dropped"), rid, "left_anti").select(*docs.columns)
+    rows, key = keyed(docs, text, doc_id)
+    named = rows.select(F.struct(F.col(key), row_id().alias("n")).alias("rid"), F.col(text).alias("text"), F.col(doc_id).alias("doc_id"))
+    found = staged(dedup(named, rid="rid").select(F.col("rid").getField(key).alias(key), "kept"), "decided")
+    gone = staged(found.filter("not kept").select(key).distinct(), "dropped")
+    stay = without(rows, key, gone)
+    # Rows that agree in text and id: one of them stays, whichever a scan finds, so the choice is made in the scan that keeps it.
+    repeated = staged(found.filter("kept").select(key).join(gone, key, "left_semi"), "repeated")
+    if not repeated.isEmpty():
+        stay = stay.unionByName(rows.join(repeated, key, "left_semi").dropDuplicates([key]))
+    return stay.select(*docs.columns)

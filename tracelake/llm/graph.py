@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_counted, staged
+from .common import join_counted, release, staged
 
 
 def _least(edges: DataFrame) -> DataFrame:
@@ -31,11 +31,14 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         back = now.select(F.col("v").alias("u"), F.col("u").alias("v"))
         least = _least(now.unionByName(back)).select("u", F.least("u", "m").alias("m"), "n")
         # Of the two directions of an edge only that to the larger node is moved.
-        large = join_counted(back, staged(least, "least"), ["u"], "n", 2 * n).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = staged(least, "least")
+        large = join_counted(back, least, ["u"], "n", 2 * n).select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = staged(large, "large-star")
+        release(now, least)
         least = staged(_least(large), "least")
         small = join_counted(large, least, ["u"], "n", n).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = staged(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "small-star")
+        release(large, least)
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -34,15 +34,15 @@ an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, chunks, column, row_id, staged
+from .common import ASCII_LOWER, STEP_BYTES, chunks, column, row_id, staged
 
 GRAM, HASHES = 4, 3
 
@@ -64,9 +64,31 @@ _FOLD = bytes(c if c >= 128 or 97 <= c <= 122 else 32 for c in ASCII_LOWER)
 _LETTER = re.compile(r"[^\W\d_]")
 
 
-def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, text number) of all windows of GRAM bytes in the folded texts, each between two spaces."""
-    data = [b" " + t.translate(_FOLD) + b"  " for t in texts]
+def pieces(texts: list[bytes], step: int | None = None) -> tuple[list[bytes], np.ndarray]:
+    """The folded texts, each between two spaces, in pieces of about step bytes that overlap so that each window lies in one, and the text of each piece."""
+    step, out, owner = step or STEP_BYTES, [], []
+    for i, t in enumerate(texts):
+        data = b" " + t.translate(_FOLD) + b"  "
+        cut = [data] if len(data) <= step else [data[a : a + step + GRAM - 1] for a in range(0, len(data) - GRAM + 1, step)]
+        out += cut
+        owner += [i] * len(cut)
+    return out, np.array(owner, np.int64)
+
+
+def stepped(data: list[bytes]) -> Iterator[list[bytes]]:
+    """The pieces, as many at a time as two steps hold."""
+    first, size = 0, 0
+    for i, d in enumerate(data):
+        if i > first and size + len(d) > 2 * STEP_BYTES:
+            yield data[first:i]
+            first, size = i, 0
+        size += len(d)
+    if data:
+        yield data[first:]
+
+
+def windows(data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, number of the piece) of all windows of GRAM bytes in the pieces."""
     flat = np.frombuffer(b"".join(data), np.uint8).astype(np.uint32)
     n = np.array([len(d) for d in data])
     owner = np.repeat(np.arange(len(data)), n)[: len(flat) - GRAM + 1]
@@ -81,6 +103,13 @@ def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return key[good], owner[good]
 
 
+def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, text number) of all windows of GRAM bytes in the folded texts."""
+    data, owner = pieces(texts)
+    key, of = windows(data)
+    return key, owner[of]
+
+
 def slots(key: np.ndarray, size: int) -> list[np.ndarray]:
     """HASHES slots below size, a power of two, for each key."""
     h = key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -102,11 +131,27 @@ class Filter:
     def counts(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Corrected popcounts (text, language) of the n-grams that not all languages contain, as those tell nothing; of all
         n-grams; and the number of n-grams of each text."""
-        key, owner = grams(texts)
-        total = np.bincount(owner, minlength=len(texts)).astype(float)
-        at = slots(key, len(self.masks))
-        hits = np.empty((len(texts), len(self.languages)))
-        common = np.ones(len(key), bool)
+        data, of_piece = pieces(texts)
+        total, shared, hits = np.zeros(len(texts)), np.zeros(len(texts)), np.zeros((len(texts), len(self.languages)))
+        at = 0
+        for run in stepped(data):
+            for out, found in zip((total, shared, hits), self._hits(run), strict=True):
+                np.add.at(out, of_piece[at : at + len(run)], found)
+            at += len(run)
+
+        def corrected(hits: np.ndarray, total: np.ndarray) -> np.ndarray:
+            return np.maximum(0, (hits - total[:, None] * self.chance) / (1 - self.chance))
+
+        known = corrected(hits, total)
+        if len(self.languages) == 1:
+            return known, known, total
+        return corrected(hits - shared[:, None], total - shared), known, total
+
+    def _hits(self, data: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each piece: its n-grams, those of them in all languages, and those in each language."""
+        key, owner = windows(data)
+        at, n = slots(key, len(self.masks)), len(data)
+        hits, common = np.empty((n, len(self.languages))), np.ones(len(key), bool)
         for word in range(self.masks.shape[1]):
             mask = self.masks[at[0], word]
             for more in at[1:]:
@@ -115,22 +160,14 @@ class Filter:
             here = range(word * bits, min(len(self.languages), (word + 1) * bits))
             common &= mask == self.masks.dtype.type((1 << len(here)) - 1)
             if bits == 8:
-                table = np.bincount(owner * 256 + mask, minlength=256 * len(texts)).reshape(len(texts), 256)
+                table = np.bincount(owner * 256 + mask, minlength=256 * n).reshape(n, 256)
                 for k in here:
                     hits[:, k] = table[:, (np.arange(256) >> (k % bits)) & 1 == 1].sum(1)
             else:
                 for k in here:
                     has = (mask >> self.masks.dtype.type(k % bits)) & self.masks.dtype.type(1)
-                    hits[:, k] = np.bincount(owner, weights=has, minlength=len(texts))
-
-        def corrected(hits: np.ndarray, total: np.ndarray) -> np.ndarray:
-            return np.maximum(0, (hits - total[:, None] * self.chance) / (1 - self.chance))
-
-        known = corrected(hits, total)
-        if len(self.languages) == 1:
-            return known, known, total
-        shared = np.bincount(owner, weights=common, minlength=len(texts))
-        return corrected(hits - shared[:, None], total - shared), known, total
+                    hits[:, k] = np.bincount(owner, weights=has, minlength=n)
+        return np.bincount(owner, minlength=n), np.bincount(owner, weights=common, minlength=n), hits
 
     def predict(self, texts: list[bytes | None]) -> list[tuple]:
         """(language, score, has a letter, n-grams, known, n-grams of the two best languages, lead) of each text."""
@@ -185,11 +222,12 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> Filter:
             names = column(batch, "lang").to_pylist()
             texts = [x.as_py() for x in column(batch, "t")]
             for name in dict.fromkeys(names):
-                key, n = np.unique(grams([t for t, x in zip(texts, names, strict=True) if x == name])[0], return_counts=True)
+                own = pieces([t for t, x in zip(texts, names, strict=True) if x == name])[0]
                 parts = held.setdefault(name, [])
-                parts.append((key, n))
-                if len(parts) >= 16:
-                    held[name] = [merged(parts)]
+                for run in stepped(own):
+                    parts.append(np.unique(windows(run)[0], return_counts=True))
+                    if len(parts) >= 16:
+                        parts[:] = [merged(parts)]
             if sum(len(k) for parts in held.values() for k, _ in parts) > 4_000_000:
                 yield from out()
         yield from out()
@@ -213,8 +251,8 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> Filter:
 _SURE = "letters boolean, grams double, known double, both double, lead double"
 
 
-def identify(docs: DataFrame, known: Filter, text: str = "text", doc_id: str = "doc_id", rid: str | None = None, lang: str | None = None) -> DataFrame:
-    """rid, doc_id, lang_pred, score of every whole text, and what rejected() asks for; lang names a column of true languages that is carried along."""
+def identify(docs: DataFrame, known: Filter, text: str = "text", doc_id: str = "doc_id", lang: str | None = None) -> DataFrame:
+    """rid, doc_id, lang_pred, score of every whole text, and how sure that is; lang names a column of true languages that is carried along."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "t"):
@@ -224,7 +262,7 @@ def identify(docs: DataFrame, known: Filter, text: str = "text", doc_id: str = "
             yield pa.RecordBatch.from_arrays([column(batch, "rid"), column(batch, "doc_id"), column(batch, "lang"), *arrays], [f.split()[0] for f in schema.split(", ")])
 
     schema = "rid long, doc_id long, lang string, lang_pred string, score double, " + _SURE
-    rows = docs.select(row_id(rid).alias("rid"), F.col(doc_id).cast("long").alias("doc_id"), (F.col(lang) if lang else F.lit(None)).cast("string").alias("lang"), F.col(text).cast("binary").alias("t"))
+    rows = docs.select(row_id().alias("rid"), F.col(doc_id).cast("long").alias("doc_id"), (F.col(lang) if lang else F.lit(None)).cast("string").alias("lang"), F.col(text).cast("binary").alias("t"))
     return rows.mapInArrow(run, schema)
 
 
@@ -232,21 +270,34 @@ def floors(found: DataFrame) -> tuple[float, float]:
     """The least known and lead of a text that is not rejected: SLACK times those that all but QUANTILE of the rightly
     predicted labelled rows reach (of a lead what lies over one half counts, as the best language has that much anyway)."""
     right = found.filter((F.col("lang") == F.col("lang_pred")) & (F.col("grams") > 0) & (F.col("both") > 0))
+    bins = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), F.floor(F.col(name) * 1000).alias("bin")) for name in ("known", "lead")]))
+    counts = right.select(bins.alias("x")).groupBy("x.name", "x.bin").agg(F.count("*").alias("n")).collect()  # 2002 rows at most
     out = []
-    for name in ("known", "lead"):  # in thousandths, so the driver gets 1001 counts at most
-        bins = sorted((r.b, r.n) for r in right.groupBy(F.floor(F.col(name) * 1000).alias("b")).agg(F.count("*").alias("n")).collect())
-        share = np.cumsum([n for _, n in bins]) / max(1, sum(n for _, n in bins))
-        out.append(bins[int(np.searchsorted(share, QUANTILE, "right"))][0] / 1000 if bins else 0.0)
+    for name in ("known", "lead"):
+        own = sorted((r.bin, r.n) for r in counts if r.name == name)
+        share = np.cumsum([n for _, n in own]) / max(1, sum(n for _, n in own))
+        out.append(own[int(np.searchsorted(share, QUANTILE, "right"))][0] / 1000 if own else 0.0)
     return SLACK * out[0], 0.5 + SLACK * max(0.0, out[1] - 0.5) if out[1] else 0.0
 
 
-def upper(share, n):
-    """The upper confidence bound (Wilson) of a share of n overlapping n-grams, which are worth n / GRAM independent ones."""
-    n = F.nullif(n / GRAM, F.lit(0.0))
-    return F.coalesce((share + WIDTH**2 / (2 * n) + WIDTH * F.sqrt(share * (1 - share) / n + WIDTH**2 / (4 * n * n))) / (1 + WIDTH**2 / n), F.lit(1.0))
+def upper(share: float, grams: float) -> float:
+    """The upper confidence bound (Wilson) of a share of overlapping n-grams, GRAM of which are worth an independent one."""
+    n = grams / GRAM
+    if not n:
+        return 1.0
+    return (share + WIDTH**2 / (2 * n) + WIDTH * (share * (1 - share) / n + WIDTH**2 / (4 * n * n)) ** 0.5) / (1 + WIDTH**2 / n)
+
+
+def keeper(known: Filter, least: tuple[float, float]) -> Callable[[Column], Column]:
+    """A function of a text column (binary): whether its text has a letter and is, for all that is sure, in one language that
+    was learned. least as from floors(). It decides in the scan that keeps the rows, so they need no names and no shuffle."""
 
+    @F.arrow_udf("boolean")
+    def keep(texts: pa.Array) -> pa.Array:
+        out = []
+        for part in chunks([pa.RecordBatch.from_arrays([texts], ["t"])], "t"):
+            for _, _, letters, n, share, both, lead in known.predict([x.as_py() for x in column(part, "t")]):
+                out.append(bool(letters and upper(min(share, 1.0), n) >= least[0] and upper(lead, both) >= least[1]))
+        return pa.array(out, pa.bool_())
 
-def rejected(found: DataFrame) -> DataFrame:
-    """The rows of found, as from identify() with true languages, whose text is in no language that was learned, or in two."""
-    known, lead = floors(found)
-    return found.filter(~F.col("letters") | (upper(F.col("known"), F.col("grams")) < known) | (upper(F.col("lead"), F.col("both")) < lead))
+    return keep

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, column, join_counted, numbered, partitions, row_id, staged
+from .common import chunks, column, join_counted, numbered, partitions, release, staged, without
 from .graph import components
 from .shingles import mix, minima, sets, shingle_hashes
 
@@ -70,8 +70,8 @@ def shortened(threshold: float, target: float) -> tuple[int, int]:
     return 1, int(np.ceil(np.log(1 - target) / np.log(1 - threshold)))
 
 
-def sketched(docs: DataFrame, trees: int, text: str, doc_id: str, rid: str | None = None) -> DataFrame:
-    """rid, doc_id, t (the text), hi, lo (hash of the set of shingles, null without words), keys (signatures)."""
+def sketched(docs: DataFrame, rid: str, trees: int, text: str, doc_id: str) -> DataFrame:
+    """rid, doc_id, hi, lo (hash of the set of shingles, null without words), keys (signatures)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "t"):
@@ -83,14 +83,14 @@ def sketched(docs: DataFrame, trees: int, text: str, doc_id: str, rid: str | Non
                 for i, s, k in zip(some.tolist(), sets(h, n[some]), least, strict=True):
                     m = mix(s)
                     hi[i], lo[i], keys[i] = int(m.sum().view(np.int64)), int(np.bitwise_xor.reduce(mix(m)).view(np.int64)), k.tobytes()
-            yield pa.RecordBatch.from_arrays([column(batch, "rid"), column(batch, "doc_id"), column(batch, "t"), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(keys, pa.binary())], ["rid", "doc_id", "t", "hi", "lo", "keys"])
+            yield pa.RecordBatch.from_arrays([column(batch, "rid"), column(batch, "doc_id"), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(keys, pa.binary())], ["rid", "doc_id", "hi", "lo", "keys"])
 
-    rows = docs.select(row_id(rid).alias("rid"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("t"))
-    return rows.mapInArrow(run, "rid long, doc_id long, t binary, hi long, lo long, keys binary")
+    rows = docs.select(F.col(rid).alias("rid"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("t"))
+    return rows.mapInArrow(run, "rid long, doc_id long, hi long, lo long, keys binary")
 
 
 def forest(nodes: DataFrame, trees: int) -> DataFrame:
-    """tree, key, rep: the leaves of all tries in order. A key is DEPTH big-endian minima, so its bytes sort as they do."""
+    """tree, key, rep: the leaves of all tries. A key is DEPTH big-endian minima, so its bytes sort as they do."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -101,13 +101,11 @@ def forest(nodes: DataFrame, trees: int) -> DataFrame:
                 tree = np.tile(np.arange(trees, dtype=np.int32), part.num_rows)
                 yield pa.RecordBatch.from_arrays([pa.array(tree), keys.cast(pa.binary()), pa.array(rep)], ["tree", "key", "rep"])
 
-    leaves = staged(nodes.select("rep", "keys").mapInArrow(run, "tree int, key binary, rep long"), "forest")
-    # The node is part of the order, so that a run of equal signatures is cut between ranges too.
-    return leaves.repartitionByRange(partitions(nodes.sparkSession), "tree", "key", "rep").sortWithinPartitions("tree", "key", "rep")
+    return nodes.select("rep", "keys").mapInArrow(run, "tree int, key binary, rep long")
 
 
 def trie_links(leaves: DataFrame, depth: int) -> DataFrame:
-    """(u, v): each text of a trie node at this depth with one text of it. leaves as from forest()."""
+    """(u, v): each text of a trie node at this depth with one text of it. leaves as from forest(), written to a table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = last = None  # (tree, prefix, centre) of the range's first and of its current run
@@ -131,7 +129,10 @@ def trie_links(leaves: DataFrame, depth: int) -> DataFrame:
         for t, p, c in dict.fromkeys(x for x in (first, last) if x):
             yield pa.RecordBatch.from_arrays([pa.array([c]), pa.array([c]), pa.array([t], pa.int32()), pa.array([p], pa.binary())], ["u", "v", "tree", "prefix"])
 
-    found = staged(leaves.mapInArrow(run, "u long, v long, tree int, prefix binary"), "runs")
+    # The node is part of the order, so that a run of equal signatures is cut between ranges too.
+    key = ("tree", "key", "rep")
+    ordered = leaves.repartitionByRange(partitions(leaves.sparkSession), *key).sortWithinPartitions(*key)
+    found = staged(ordered.mapInArrow(run, "u long, v long, tree int, prefix binary"), "runs")
     ends = found.filter("prefix is not null").select("tree", "prefix", "u")  # two of a range at most
     joined = ends.join(ends.groupBy("tree", "prefix").agg(F.min("u").alias("v")), ["tree", "prefix"]).filter("u <> v")
     return found.filter("prefix is null").select("u", "v").unionByName(joined.select("u", "v"))
@@ -262,18 +263,23 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, target: float = TARGET,
     rid names a column of row numbers, if docs has one.
     """
     depth, trees = shortened(threshold, target)
-    rows = staged(sketched(docs, trees, text, doc_id, rid), "sketches")
+    if rid is None:
+        docs, rid = numbered(docs.select(doc_id, text))
+    rows = staged(sketched(docs, rid, trees, text, doc_id), "sketches")
     worded = rows.filter("hi is not null")
     nodes = worded.groupBy("hi", "lo").agg(F.min("rid").alias("rep"), F.min_by("keys", "rid").alias("keys"), F.min("doc_id").alias("least"), F.count("*").alias("copies"))
     nodes = staged(nodes, "nodes")
-    pairs = staged(trie_links(forest(nodes, trees), depth).distinct(), "trie-links")
+    leaves = staged(forest(nodes, trees), "forest")
+    pairs = staged(trie_links(leaves, depth).distinct(), "trie-links")
+    release(leaves)
     wanted = pairs.select(F.col("u").alias("rep")).unionByName(pairs.select(F.col("v").alias("rep"))).distinct()
     wanted = staged(nodes.select("rep", "copies").join(wanted, "rep"), "candidates")
-    texts = rows.select("rid", "t").join(wanted, F.col("rid") == F.col("rep")).select("rep", "copies", "t")
+    texts = docs.select(F.col(rid).alias("rep"), F.col(text).cast("binary").alias("t")).join(wanted, "rep").select("rep", "copies", "t")
     sets_of = staged(_shingles(texts), "shingle-sets")
 
     groups = staged(components(pairs), "candidate-sets")
     links = staged(verified(sets_of, groups, threshold), "links")
+    release(sets_of, pairs, wanted)
 
     per_text = links.groupBy("rep").agg(F.sum("links").alias("links"), F.sum("text_links").alias("text_links"), F.min("least").alias("least"), F.min("root").alias("set"), F.max("whole").alias("whole"))
     per_text = staged(per_text, "linked")
@@ -301,4 +307,4 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD, text: str = "text",
     some = staged(join(rows, threshold, text=text, doc_id=doc_id, rid=rid).filter("links > 0"), "near-duplicates")
     first = some.filter(F.col("class_id").eqNullSafe(F.col("doc_id"))).groupBy("class_id").agg(F.min("rid").alias("rid"))
     gone = staged(some.select("rid").join(first.select("rid"), "rid", "left_anti").select(F.col("rid").alias(rid)), "dropped")
-    return rows.join(gone, rid, "left_anti").select(*docs.columns)
+    return without(rows, rid, gone).select(*docs.columns)
