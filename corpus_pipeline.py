@@ -1,9 +1,11 @@
 """Cleans and packs documents: STAGES in order, each reading what the one before wrote.
 
 A stage takes (spark, docs, sf_dir). All but the last return the columns of
-documents, whatever they are called. A stage that scans docs more than once
-numbers the rows in a written table first, so its decisions meet the rows
-they were made on whatever becomes of the executors in between.
+documents, whatever they are called. A stage scans docs more than once;
+what decides by a text alone decides in the scan that keeps the rows, other
+decisions go from scan to scan by the rows' content or by numbers in a
+written table, never by the order of a scan. So they meet the rows they were
+made on whatever becomes of the executors in between.
 
 Defined results: a null, empty or wordless text has no letter and goes in the
 first stage; without any lang only such go there; repeated rows are one document after exact dedup; of ties the
@@ -20,27 +22,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelake.llm import exact_dedup, langid, near_dup, packing, rules
-from tracelake.llm.common import numbered, staged
-
-
-def without(docs: DataFrame, rid: str, rejected: DataFrame) -> DataFrame:
-    """docs without the rows whose number (column rid) is rejected, and without that column."""
-    gone = staged(rejected.select(F.col("rid").alias(rid)), "rejected")
-    return docs.join(gone, rid, "left_anti").drop(rid)
+from tracelake.llm.common import staged
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects texts in no language that the corpus taught, or in two, where that is sure."""
-    rows, rid = numbered(docs)
-    found = staged(langid.identify(rows, langid.learn(rows), rid=rid, lang="lang"), "languages")
-    return without(rows, rid, langid.rejected(found))
+    known = langid.learn(docs)
+    keep = langid.keeper(known, langid.floors(langid.identify(docs, known, lang="lang")))
+    return docs.filter(keep(F.col("text").cast("binary")))
 
 
 def passes_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents that fail the base rules or lie over the forest's threshold."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    rows, rid = numbered(docs)
-    return without(rows, rid, rules.judge(rows, labels, rid=rid).filter(~F.col("kept")))
+    keep = rules.keeper(*rules.fit(staged(rules.measured(docs), "rule-statistics"), labels))
+    return docs.filter(keep(F.col("text").cast("binary")))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
