@@ -8,7 +8,8 @@ documents, on which a linear scorer over hashed features is trained: byte
 trigrams and the votes. The scorer decides.
 
 Only counts of vote patterns (3 ** heuristics at most) and the bounded
-training sample reach the driver.
+training sample reach the driver. Votes are cast once: the texts are written
+with them, and the scorer reads both.
 
 Defined results: a null or empty text has no features but its votes, and is
 judged by them; repeated rows are judged alike; if all documents vote alike,
@@ -17,7 +18,7 @@ or the table is empty, nothing is rejected; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, chunks, column, row_id, staged
-from .rules import statistics
+from .common import ASCII_LOWER, STEP_BYTES, chunks, column, row_id, staged
+from .rules import analysed
 
 #: Hashed features, and documents that train the scorer (a sample by hash of all documents).
 BUCKETS, MAX_TRAIN = 2048, 8000
@@ -42,8 +43,9 @@ SPAN = 400
 HEURISTICS = ("length", "symbols", "end_marks", "lone_marks", "again", "repeats", "duplicate_lines", "caps", "word_length", "variety", "sentences")
 
 
-def variety(words: list[bytes]) -> float:
-    """How few words repeat, over all words and alike for short and long texts: the lesser of two measures.
+def variety(words: Sequence) -> float:
+    """How few words repeat, over all words and alike for short and long texts: the lesser of two measures. words may be
+    any values that stand for them.
 
     The first is the mean share of distinct words in windows of SPAN words
     that cover the text (the last one ends with it). It can't see a list of
@@ -52,21 +54,23 @@ def variety(words: list[bytes]) -> float:
     scaled to the share of distinct words at SPAN words). Up to SPAN words
     both are that share.
     """
-    n = len(words)
+    ids = words if isinstance(words, np.ndarray) else np.unique(words, return_inverse=True)[1]
+    n = len(ids)
     if n <= SPAN:
-        return len(set(words)) / n
-    starts = [*range(0, n - SPAN, SPAN), n - SPAN]
-    windows = sum(len(set(words[a : a + SPAN])) for a in starts) / (SPAN * len(starts))
-    return min(windows, len(set(words)) / (n * SPAN) ** 0.5)
+        return len(np.unique(ids)) / n
+    whole = (n - 1) // SPAN
+    inside = np.sort(np.concatenate([ids[: whole * SPAN], ids[n - SPAN :]]).reshape(whole + 1, SPAN), axis=1)
+    distinct = (whole + 1) + int((inside[:, 1:] != inside[:, :-1]).sum())
+    return min(distinct / (SPAN * (whole + 1)), len(np.unique(ids)) / (n * SPAN) ** 0.5)
 
 
 def votes(text: bytes) -> list[int]:
     """1 good, -1 bad, 0 nothing, for each heuristic."""
-    (n, chars, _, dup_lines, repeats), (symbols, end_marks, lone, again, caps, *_) = statistics(text)
+    (n, chars, _, dup_lines, repeats), (symbols, end_marks, lone, again, caps, *_), ids = analysed(text)
     if not n:
         return [-1] + [0] * (len(HEURISTICS) - 1)
-    words, lines = text.split(), [x for x in text.split(b"\n") if x.split()]
-    varied = variety(words)
+    lines = [x for x in text.split(b"\n") if x.split(None, 1)]
+    varied = variety(ids)
     ended = sum(x.rstrip().endswith((b".", b"!", b"?", b":")) for x in lines) / len(lines)
 
     def judge(bad: bool, good: bool) -> int:
@@ -125,10 +129,14 @@ def hashed(texts: list[bytes], of_votes: np.ndarray) -> np.ndarray:
     out = np.zeros((len(texts), BUCKETS), np.float32)
     places = BUCKETS - 3 * len(HEURISTICS)
     for i, t in enumerate(texts):
-        b = np.frombuffer(t.translate(ASCII_LOWER), np.uint8).astype(np.uint32)
-        if len(b) >= 3:
+        if len(t) < 3:
+            continue
+        count = np.zeros(places)
+        for a in range(0, len(t) - 2, STEP_BYTES):  # a step of trigrams at a time
+            b = np.frombuffer(t[a : a + STEP_BYTES + 2].translate(ASCII_LOWER), np.uint8).astype(np.uint32)
             key = (b[:-2] | b[1:-1] << np.uint32(8) | b[2:] << np.uint32(16)) * np.uint32(2654435761)
-            out[i, :places] = np.sqrt(np.bincount((key >> np.uint32(8)) % places, minlength=places) / len(key))
+            count += np.bincount((key >> np.uint32(8)) % places, minlength=places)
+        out[i, :places] = np.sqrt(count / (len(t) - 2))
     which = places + 3 * np.arange(len(HEURISTICS)) + 1
     out[np.arange(len(texts))[:, None], which + of_votes] = 0.3
     return out
@@ -145,6 +153,12 @@ def train(x: np.ndarray, p: np.ndarray, steps: int = STEPS) -> np.ndarray:
     return w
 
 
+def _read(batch: pa.RecordBatch) -> tuple[list[bytes], np.ndarray]:
+    """(texts, votes) of a batch of the staged votes."""
+    of_votes = np.frombuffer(b"".join(column(batch, "votes").to_pylist()), np.uint8).reshape(-1, len(HEURISTICS))
+    return [x.as_py() or b"" for x in column(batch, "t")], of_votes.astype(int) - 1
+
+
 def classify(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least: float = LEAST) -> DataFrame:
     """rid, doc_id, posterior (of the label model), score (of the scorer), kept of every whole text."""
     rows = docs.select(row_id().alias("rid"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("t"))
@@ -152,9 +166,10 @@ def classify(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least:
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "t"):
             found = [bytes(v + 1 for v in votes(x.as_py() or b"")) for x in column(batch, "t")]
-            yield pa.RecordBatch.from_arrays([column(batch, "rid"), pa.array(found, pa.binary())], ["rid", "votes"])
+            yield pa.RecordBatch.from_arrays([*(column(batch, c) for c in ("rid", "doc_id", "t")), pa.array(found, pa.binary())], ["rid", "doc_id", "t", "votes"])
 
-    voted = staged(rows.select("rid", "t").mapInArrow(vote, "rid long, votes binary"), "votes")
+    # The texts are written with their votes, which cost more than writing them does.
+    voted = staged(rows.mapInArrow(vote, "rid long, doc_id long, t binary, votes binary"), "votes")
     counted = voted.groupBy("votes").count().orderBy("votes").collect()
     n = sum(r["count"] for r in counted)
     patterns = np.array([[v - 1 for v in r.votes] for r in counted], int).reshape(-1, len(HEURISTICS))
@@ -164,12 +179,11 @@ def classify(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least:
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "t"):
-            texts = [x.as_py() or b"" for x in column(batch, "t")]
-            of_votes = np.array([votes(t) for t in texts])
+            texts, of_votes = _read(batch)
             x, p = hashed(texts, of_votes), model.posterior(of_votes)
             yield pa.RecordBatch.from_arrays([column(batch, "rid"), pa.array(p), pa.array([r.astype("<f2").tobytes() for r in x], pa.binary())], ["rid", "p", "x"])
 
-    found = rows.filter(sample).select("rid", "t").mapInArrow(features, "rid long, p double, x binary").orderBy("rid").toArrow() if len(patterns) > 1 else None
+    found = voted.filter(sample).mapInArrow(features, "rid long, p double, x binary").orderBy("rid").toArrow() if len(patterns) > 1 else None
     weights = None
     if found is not None and len(found):
         x = np.stack([np.frombuffer(b, "<f2") for b in found["x"].to_pylist()]).astype(np.float32)
@@ -177,8 +191,7 @@ def classify(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "t"):
-            texts = [x.as_py() or b"" for x in column(batch, "t")]
-            of_votes = np.array([votes(t) for t in texts])
+            texts, of_votes = _read(batch)
             p = model.posterior(of_votes)
             s = np.ones(len(texts))
             for a in range(0, len(texts) if weights is not None else 0, 512):
@@ -186,4 +199,4 @@ def classify(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least:
                 s[part] = 1 / (1 + np.exp(-np.clip(hashed(texts[part], of_votes[part]) @ weights[:-1].astype(np.float32) + weights[-1], -500, 500)))
             yield pa.RecordBatch.from_arrays([column(batch, "rid"), column(batch, "doc_id"), pa.array(p), pa.array(s), pa.array(s >= least)], ["rid", "doc_id", "posterior", "score", "kept"])
 
-    return rows.mapInArrow(score, "rid long, doc_id long, posterior double, score double, kept boolean")
+    return voted.mapInArrow(score, "rid long, doc_id long, posterior double, score double, kept boolean")
