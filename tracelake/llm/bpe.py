@@ -216,7 +216,7 @@ class Encoded:
 
 
 def words(text: str) -> list[str]:
-    """The text cut before each space that a non-space follows, which is always a border of pieces."""
+    """The text cut before each space that a non-space follows, which is a border of pieces in patterns that let a piece begin with one space."""
     if "\0" in text or _SPACES.search(text):
         return _WORD.findall(text)
     return text.replace(" ", "\0 ").split("\0")
@@ -258,9 +258,13 @@ def word_cache(ranks_path: str, pattern: str) -> WordCache:
     return WordCache(PrefixBPE(load_ranks(ranks_path), pattern))
 
 
-def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", doc_id: str = "doc_id", ids: bool = False) -> DataFrame:
+def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", doc_id: str = "doc_id", ids: bool = False, at_spaces: bool = True) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row, and the ids themselves if asked for.
 
+    at_spaces says that in this pattern a piece begins at every space before
+    a non-space, as in those of the public byte-level tokenizers; without it
+    a text is cut by the pattern alone, which is slower.
+
     ids_sha256 is of the decimal ids joined by a space, decoded_sha256 of the
     bytes that the ids decode to.
     """
@@ -272,7 +276,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, text: str =
             n, idsha, decsha, lists = [], [], [], []
             for x in column(batch, "t"):
                 x = x.as_py() or ""
-                parts = known.all(words(x)) if x else []
+                parts = known.all(words(x) if at_spaces else [x]) if x else []
                 decimal = " ".join([p[0] for p in parts])
                 n.append(decimal.count(" ") + 1 if decimal else 0)
                 idsha.append(hashlib.sha256(decimal.encode()).hexdigest())

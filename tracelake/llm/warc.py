@@ -9,7 +9,10 @@ and checks every payload against its digest.
 Archives go through pyarrow's file systems, under a name of the attempt's
 own, so a task that runs twice leaves an unreferenced file and no damage.
 
-Defined results: a null html is an empty payload, a null url an empty one.
+Defined results: a null html is an empty payload, a null url an empty one;
+runs of white space in a url become a space each, so that it stays one line
+of a header (the index holds it so too); an empty table gives an empty
+archive; other columns are ignored.
 Of equal payloads of at least MIN_REVISIT bytes the largest page_id is the
 response (a null id is the smallest; rows that repeat that id with that
 payload are all responses), the others are revisits of it.
@@ -28,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, partitions, scratch, staged
+from .common import BROADCAST, HOT, column, partitions, scratch, staged
 
 MIN_REVISIT = 1000
 
@@ -83,9 +86,15 @@ def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", url: s
     payload = F.coalesce(F.col(html).cast("binary"), F.lit(b""))
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), payload.alias("payload"), F.sha1(payload).alias("digest"), F.octet_length(payload).cast("long").alias("size"))
     # Payloads stay where they are: only digests are grouped, and of those only the repeated ones come back.
-    repeated = rows.filter(F.col("size") >= MIN_REVISIT).groupBy("digest").agg(F.max("page_id").alias("keep"), F.count("*").alias("n")).filter("n > 1").select("digest", "keep")
+    repeated = rows.filter(F.col("size") >= MIN_REVISIT).groupBy("digest").agg(F.max("page_id").alias("keep"), F.count("*").alias("n")).filter("n > 1").select("digest", "keep", "n")
     repeated = staged(repeated, "repeated-payloads")
-    marked = rows.join(repeated, "digest", "left")
+    n = repeated.count()
+    if n <= BROADCAST // 4:
+        marked = rows.join(F.broadcast(repeated.drop("n")), "digest", "left")
+    else:  # too many for that: those with most rows go to the rows, the others meet them in a merge join
+        hot = repeated.filter(F.col("n") > F.lit(max(1000, rows.count() // HOT))).drop("n")
+        here = rows.join(F.broadcast(hot), "digest")
+        marked = here.unionByName(rows.join(F.broadcast(hot.select("digest")), "digest", "left_anti").join(repeated.drop("n").hint("merge"), "digest", "left"))
     revisit = F.col("keep").isNotNull() & ~F.col("keep").eqNullSafe(F.col("page_id"))
     marked = marked.select("page_id", "url", F.when(~revisit, F.col("payload")).alias("payload"), "digest", "size", F.when(revisit, F.col("keep")).alias("refers_to"))
     root = f"{path}/archives"
@@ -147,8 +156,15 @@ def read_archives(index: DataFrame, payloads: bool = False) -> DataFrame:
                 fs, at = open_store(file)
                 name, source = file, fs.open_input_file(at)
             data = source.read_at(max(a + n for a, n in run), start)
-            found = [parse(zlib.decompress(data[a : a + n], 31)) for a, n in run]
-            yield pa.RecordBatch.from_pydict({c: [x[c] for x in found] for c in to.names}, schema=to)
+            found, size = [], 0
+            for a, n in run:
+                one = parse(zlib.decompress(data[a : a + n], 31))
+                found.append({c: one[c] for c in to.names})
+                size += one["payload_bytes"] if payloads else 0
+                if size > READ:  # what was inflated goes on before more is
+                    yield pa.RecordBatch.from_pylist(found, schema=to)
+                    found, size = [], 0
+            yield pa.RecordBatch.from_pylist(found, schema=to)
         if source is not None:
             source.close()
 
