@@ -200,7 +200,10 @@ def verified(sets_of: DataFrame, groups: DataFrame, threshold: float) -> DataFra
     # A chunk goes to one block with each chunk of its candidates, itself included.
     dealt = sets_of.join(places, F.col("rep") == F.col("node")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     dealt = dealt.select("rep", "root", F.least("chunk", "other").alias("x"), F.greatest("chunk", "other").alias("y"), (F.col("chunk") > F.col("other")).cast("int").alias("side"), "copies", "shingles", "parts")
-    dealt = dealt.repartition(partitions(spark), "root", "x", "y").sortWithinPartitions("root", "x", "y", "rep")
+    # The blocks of one set go to tasks in turn, so that a large set is spread evenly.
+    n = partitions(spark)
+    turn = F.pmod(F.xxhash64("root"), F.lit(n)) + F.floor(F.col("y") * (F.col("y") + 1) / 2) + F.col("x")
+    dealt = dealt.repartitionById(n, F.pmod(turn, F.lit(n)).cast("int")).sortWithinPartitions("root", "x", "y", "rep")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
