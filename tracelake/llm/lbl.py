@@ -50,7 +50,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, column, row_id, staged
+from .common import ASCII_LOWER, column, row_id, staged, word_parts
 
 #: Classes, members of a class (the first stands for its rare words), width of the vectors, words of context.
 CLASSES, SLOTS, WIDTH, CONTEXT = 64, 64, 16, 4
@@ -59,8 +59,9 @@ WORDS = CLASSES * SLOTS
 #: Words that the driver sends to all tasks with their counts.
 HEAD = 1 << 17
 
-#: Noise classes and noise members of a step, tokens of a step, step size.
-NOISE, SLOT_NOISE, STEP, RATE = 16, 8, 2048, 0.1
+#: Noise classes and noise members of a step, step size, least and most tokens of a step, and steps that a shard shall take if
+#: it has the tokens: small corpora take smaller steps.
+NOISE, SLOT_NOISE, RATE, LEAST_STEP, STEP, STEPS = 16, 8, 0.1, 256, 4096, 512
 
 #: Synchronous rounds, tokens of a shard over all rounds, tokens that a shard shuffles at once.
 ROUNDS, SHARD_TOKENS, BLOCK = 4, 1 << 22, 1 << 18
@@ -82,20 +83,13 @@ def tokens(text: bytes | None) -> list[bytes]:
 
 
 def spans(text: bytes | None) -> Iterator[list[bytes]]:
-    """tokens(text) in parts of about SPAN bytes, so that a very long text takes no more memory."""
-    text = text or b""
-    if len(text) <= SPAN:
-        yield tokens(text)
-        return
-    at, rest = 0, b""
-    while at < len(text):
-        part = rest + text[at : at + SPAN].translate(ASCII_LOWER)
-        at += SPAN
-        words = part.split()
-        # The last word may go on in the next part.
-        rest = words.pop() if words and not part[-1:].isspace() else b""
-        yield words
-    yield [rest, END] if rest else [END]
+    """tokens(text) in parts, so that a very long text takes no more memory."""
+    held: list[bytes] = []
+    for part in word_parts((text or b"").translate(ASCII_LOWER), SPAN):
+        if held:
+            yield held
+        held = part
+    yield [*held, END]
 
 
 def bucket(word: bytes) -> int:
@@ -209,7 +203,7 @@ class Model:
         small = lambda n: rng.normal(0, 0.3 / np.sqrt(WIDTH), (n, WIDTH)).astype(np.float32)
         of_class = share.reshape(CLASSES, SLOTS).sum(1)
         within = (share.reshape(CLASSES, SLOTS) / of_class[:, None]).ravel()
-        member_bias = np.where(within > 0, np.log(np.maximum(within, 1e-30)), -60)
+        member_bias = np.where(within > 0, np.log(np.maximum(within, 1e-30)), -50)
         return Model(small(WORDS + 1), small(CLASSES), np.log(of_class).astype(np.float32), small(WORDS), member_bias.astype(np.float32), np.ones((CONTEXT, WIDTH), np.float32))
 
     def parts(self) -> list[np.ndarray]:
@@ -245,10 +239,12 @@ class Model:
 def _log_softmax(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The log probability of one entry of each row; logits are overwritten."""
     own = logits[np.arange(len(at)), at].astype(float)
-    top = logits.max(1)
-    logits -= top[:, None]
+    top = 0.0
+    if max(-logits.min(), logits.max()) > 60:  # beyond single precision: with the largest taken out
+        top = logits.max(1)
+        logits -= top[:, None]
     np.exp(logits, out=logits)
-    return own - top - np.log(logits.sum(1, dtype=np.float64))
+    return own - top - np.log((logits @ np.ones(logits.shape[1], np.float32)).astype(float))
 
 
 def runs(key: np.ndarray) -> np.ndarray:
@@ -275,7 +271,8 @@ class Trainer:
     """Noise-contrastive estimation with noise shared by a step, and AdaGrad steps. Noise members are drawn as slots, which
     hold words of like frequency in all classes."""
 
-    def __init__(self, model: Model, sums: list[np.ndarray], share: np.ndarray, seed: int):
+    def __init__(self, model: Model, sums: list[np.ndarray], share: np.ndarray, seed: int, tokens: int = STEP):
+        self.tokens = tokens
         self.model = Model(*(p.copy() for p in model.parts()))
         self.sums = [p.copy() for p in sums]
         self.rng = np.random.default_rng(seed)
@@ -302,14 +299,21 @@ class Trainer:
         up2 = (pull(np.einsum("ij,ij->i", q, hit) + m.member_bias[word] - self.log_slot[slot]) / n).astype(np.float32)
         table = m.members.reshape(CLASSES, SLOTS, WIDTH)[:, slots]
         bias = m.member_bias.reshape(CLASSES, SLOTS)[:, slots] - self.log_slot[slots]
-        others = table[of_class]
-        down2 = (-pull(-(np.matmul(others, q[:, :, None])[:, :, 0] + bias[of_class])) / n).astype(np.float32)
-        to_q += up2[:, None] * hit + np.matmul(down2[:, None, :], others)[:, 0]
+        first = runs(of_class)
+        there, ends = of_class[first], np.append(first[1:], n)
+        blocks = list(zip(there.tolist(), first.tolist(), ends.tolist(), strict=True))  # a class's tokens: one matrix product each
+        scores = bias[of_class]
+        for k, a, b in blocks:
+            scores[a:b] += q[a:b] @ table[k].T
+        down2 = (-pull(-scores) / n).astype(np.float32)
+        to_q += up2[:, None] * hit
+        apart = np.empty((len(first), SLOT_NOISE, WIDTH), np.float32)
+        for i, (k, a, b) in enumerate(blocks):
+            to_q[a:b] += down2[a:b] @ table[k]
+            np.matmul(down2[a:b].T, q[a:b], out=apart[i])
 
         classes, class_bias = np.zeros_like(m.classes), np.zeros_like(m.class_bias)
         members, member_bias = np.zeros_like(m.members), np.zeros_like(m.member_bias)
-        first = runs(of_class)
-        there = of_class[first]
         classes[there] = np.add.reduceat(up[:, None] * q, first, axis=0)
         class_bias[there] = np.add.reduceat(up, first)
         np.add.at(classes, noise, down.T @ q)
@@ -317,7 +321,6 @@ class Trainer:
         own = runs(word)
         members[word[own]] = np.add.reduceat(up2[:, None] * q, own, axis=0)
         member_bias[word[own]] = np.add.reduceat(up2, own)
-        apart = np.add.reduceat((down2[:, :, None] * q[:, None, :]).reshape(n, -1), first, axis=0).reshape(len(first), SLOT_NOISE, WIDTH)
         of_noise = there[:, None].astype(np.int64) * SLOTS + slots
         np.add.at(members, of_noise, apart)
         np.add.at(member_bias, of_noise, np.add.reduceat(down2, first, axis=0))
@@ -327,17 +330,19 @@ class Trainer:
         for j in range(CONTEXT):
             of = spread(flat[at - 1 - j], to_q, WORDS + 1)
             inp += of * m.scale[j]
-            scale[j] = (of * m.inp).sum(0)
+            scale[j] = np.einsum("ij,ij->j", of, m.inp)
         for p, s, g in zip(m.parts(), self.sums, (inp, classes, class_bias, members, member_bias, scale), strict=True):
             s += g * g
-            p += RATE * g / np.sqrt(s)
+            g /= np.sqrt(s)
+            g *= RATE
+            p += g
         self.seen += n
 
     def train(self, rows: list[np.ndarray]) -> None:
         flat, at = framed(rows)
         at = at[self.rng.permutation(len(at))]
-        for a in range(0, len(at), STEP):
-            self.step(flat, at[a : a + STEP])
+        for a in range(0, len(at), self.tokens):
+            self.step(flat, at[a : a + self.tokens])
 
 
 def framed(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -417,6 +422,7 @@ def train(rows: DataFrame, words: Vocabulary) -> Model:
     model, share = Model.start(words.share), words.share
     sums = [np.full(p.shape, 1e-4, np.float32) for p in model.parts()]
     shards = max(1, -(-words.n // SHARD_TOKENS))
+    tokens = min(STEP, max(LEAST_STEP, words.n // shards // STEPS))
     place = F.pmod(F.xxhash64("h"), F.lit(shards * ROUNDS))
     dealt = rows.select((place % shards).cast("int").alias("shard"), F.floor(place / shards).alias("round"), "h", "ids")
 
@@ -434,7 +440,7 @@ def train(rows: DataFrame, words: Vocabulary) -> Model:
                     if k != shard:
                         if trainer:
                             yield done()
-                        trainer, shard, held, size = Trainer(model, sums, share, k * ROUNDS + now), k, [], 0
+                        trainer, shard, held, size = Trainer(model, sums, share, k * ROUNDS + now, tokens), k, [], 0
                     held.append(np.frombuffer(x.as_py(), np.uint16))
                     size += len(held[-1])
                     if size >= BLOCK:
@@ -497,7 +503,7 @@ def scored(rows: DataFrame, counts: DataFrame, words: Vocabulary, model: Model)
             yield pa.RecordBatch.from_arrays([*(column(batch, c) for c in names[:-1]), pa.array(found)], names)
 
     schema = ", ".join(f"`{c}` {types.get(c, 'double')}" for c in names)
-    neural = rows.select("rid", *kinds, *sums, "ids").mapInArrow(run, schema)
+    neural = staged(rows.select("rid", *kinds, *sums, "ids").mapInArrow(run, schema), "neural")
     rare = rows.select("rid", F.inline("rare"))
     others = counts.filter(F.col("c") < words.below).select("word", "c")
     seen = rare.join(others, "word", "left").select("rid", "n", F.coalesce("c", F.lit(0)).alias("c"))
