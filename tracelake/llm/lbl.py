@@ -50,7 +50,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, column, row_id, staged, word_parts
+from .common import ASCII_LOWER, column, partitions, row_id, staged, word_parts
 
 #: Classes, members of a class (the first stands for its rare words), width of the vectors, words of context.
 CLASSES, SLOTS, WIDTH, CONTEXT = 64, 64, 16, 4
@@ -451,29 +451,33 @@ def train(rows: DataFrame, words: Vocabulary) -> Model:
 
         return run
 
-    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n, part = 0, 0, 0
-        for batch in batches:
-            for shard, k, state in zip(column(batch, "shard").to_pylist(), column(batch, "n").to_pylist(), column(batch, "state"), strict=True):
-                total, n, part = total + k * np.frombuffer(state.as_py(), "<f4").astype(float), n + k, shard % AVERAGES
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([n], pa.int64()), pa.array([(total / n).astype("<f8").tobytes()], pa.binary())], ["shard", "n", "state"])
+    def averaged(states: DataFrame, kind: str, parts: int) -> DataFrame:
+        """The states in that many groups, each averaged by tokens, in an order of its own, so that rounding doesn't depend on tasks."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total, n, part = 0, 0, 0
+            for batch in batches:
+                for shard, k, state in zip(column(batch, "shard").to_pylist(), column(batch, "n").to_pylist(), column(batch, "state"), strict=True):
+                    total, n, part = total + k * np.frombuffer(state.as_py(), kind).astype(float), n + k, shard % parts
+            if n:
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([n], pa.int64()), pa.array([(total / n).astype("<f8").tobytes()], pa.binary())], ["shard", "n", "state"])
+
+        return states.repartitionById(parts, F.col("shard") % parts).sortWithinPartitions("shard").mapInArrow(run, schema)
 
     schema = "shard int, n long, state binary"
     for now in range(ROUNDS):
         own = dealt.filter(F.col("round") == now).select("shard", "h", "ids").repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "h")
         states = staged(own.mapInArrow(fitted(now, model, sums), schema), "lbl-states")
-        # Summed in an order of its own, so that rounding doesn't depend on tasks either.
-        few = states.repartitionById(AVERAGES, F.col("shard") % AVERAGES).sortWithinPartitions("shard").mapInArrow(summed, schema)
-        found = sorted(few.collect(), key=lambda r: r.shard)
+        some = averaged(states, "<f4", min(shards, max(AVERAGES, partitions(rows.sparkSession))))
+        found = sorted(averaged(some, "<f8", AVERAGES).collect(), key=lambda r: r.shard)
         if n := sum(r.n for r in found):
             parts = _unpacked(sum(r.n / n * np.frombuffer(r.state, "<f8") for r in found), model.parts() + sums)
             model, sums = Model(*parts[: len(parts) // 2]), parts[len(parts) // 2 :]
     return model
 
 
-#: Tasks that sum the shards' models; the driver gets one from each.
-AVERAGES = 8
+#: Averages of the shards' models that reach the driver; they are those of as many averages as the session has partitions.
+AVERAGES = 4
 
 
 def scored(rows: DataFrame, counts: DataFrame, words: Vocabulary, model: Model) -> DataFrame:
