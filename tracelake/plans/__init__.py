@@ -1,3 +1,3 @@
 """All queries; importing this fills the registry."""
 
-from . import engine, grouping, io, more, simulated, tables, windows  # noqa: F401
+from . import engine, grouping, io, more, simulated, single, tables, windows  # noqa: F401
