@@ -90,6 +90,22 @@ def test_written_records(spark, sf_dir, tmp_path):
     assert spark.read.parquet(str(tmp_path / "d/records")).count() == counts["accepted"]
 
 
+def test_each_record_is_made_once(spark, sf_dir, tmp_path):
+    """Both folders and the counts come from one pass over what makes the records."""
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def version(tick):
+        made.add(1)
+        return "9" if tick == 2 else "0.1.0"
+
+    flat = transitions(spark, sf_dir)
+    rows = R.records(flat).withColumn("schema_version", version("tick")).withColumn("split", F.lit("train"))
+    counts = sinks.write_records(rows, str(tmp_path / "d"))
+    assert counts == {"accepted": flat.filter("tick <> 2").count(), "quarantined": flat.filter("tick = 2").count()}
+    assert made.value == flat.count()
+
+
 def test_json_lines_are_sorted(spark, sf_dir, tmp_path):
     rows = R.records(transitions(spark, sf_dir)).withColumn("split", split_of(F.col("provenance.seed").cast("long")))
     sinks.write_jsonl(rows, str(tmp_path / "out"), files=3)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..operators import records as R
 from ..operators.grouping import manifest
 from ..operators.ordering import numbered
+from ..scratch import release, staged
 from .files import split_rank
 
 
@@ -29,12 +30,15 @@ def write_records(rows: DataFrame, path: str, mode: str = "append") -> dict[str,
     """Valid records to records/, by split and episode if rows have a split; the others to _quarantine/ with their reason.
 
     The commit protocol makes each batch visible as a whole. Returns the counts.
+    Records are made and judged once and staged: a filter by their reason
+    would go below what makes them and bring a copy of it for each rule.
     """
-    found = judged(rows).withColumn("episode_id", F.col("provenance.episode_id"))
+    found = staged(judged(rows).withColumn("episode_id", F.col("provenance.episode_id")), "judged")
     keys = [k for k in ("split",) if k in rows.columns]
     found.filter("reason is null").drop("reason").write.mode(mode).partitionBy(*keys).parquet(f"{path}/records")
     found.filter("reason is not null").write.mode(mode).parquet(f"{path}/_quarantine")
     n = found.agg(F.count_if(F.col("reason").isNull()).alias("a"), F.count("reason").alias("q")).first()
+    release(found)
     return {"accepted": n.a, "quarantined": n.q}
 
 
