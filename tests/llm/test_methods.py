@@ -245,6 +245,37 @@ def test_forest_sees_the_counts():
     assert rules.statistics(b"AB cd ef gh ij kl mn op")[1][rules.FEATURES.index("caps_share")] == 1 / 8
 
 
+def test_forest_and_threshold_come_from_all_labelled_rows(spark):
+    """The one row in 16 that a sample of 20,000 by hash leaves out of 21,400 counts too: the bad rows here are all of those."""
+    n = 21_400
+    ids = spark.range(n).select(F.col("id").alias("doc_id"))
+    left_out = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) >= int((1 << 20) * 20_000 / n)
+    features = F.array(*[F.when(left_out, 0.9 - k / 100).otherwise(F.col("doc_id") % (50 + k) / 5000.0) for k in range(8)])
+    rows = ids.select("doc_id", F.lit(100).alias("n_words"), F.lit(0).alias("n_repeat_words"), features.alias("features"))
+    labels = ids.select("doc_id", F.when(left_out, 0).otherwise(1).alias("quality"))
+    forest, threshold = rules.fit(rows, labels)
+    found = rows.select("features", left_out.alias("bad")).collect()
+    x, bad = np.array([r.features for r in found]), np.array([r.bad for r in found])
+    assert bad.any() and threshold < 1
+    whole = rules.grow(x[~bad], rules.FULL_BOX)
+    for name in ("feature", "cut", "low", "high", "roots"):
+        assert (getattr(forest, name) == getattr(whole, name)).all(), name
+    assert threshold == rules.calibrate(whole.score(x), bad)
+    assert (whole.score(x[bad]) >= threshold).all() and (whole.score(x[~bad]) < threshold).all()
+
+
+def test_threshold_by_ranges(spark):
+    """The threshold of a table is that of all its rows, with ties and whatever the ranges are."""
+    rng = np.random.default_rng(4)
+    for k in range(4):
+        score, bad = rng.integers(1, 60, 400) / 64, rng.random(400) < 0.3
+        score[bad] += k / 5
+        table = spark.createDataFrame([(float(s), bool(b)) for s, b in zip(score, bad, strict=True)], "score double, bad boolean")
+        for weight in (0.5, 20.0):
+            assert rules.calibrated(table, weight) == rules.calibrate(score, bad, weight)
+        assert rules.calibrated(table.filter("bad")) == float("inf")
+
+
 def test_labelled_quality(spark, sf_dir):
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     quality = {r.doc_id: r.quality for r in labels.collect()}

@@ -3,8 +3,9 @@
 The base rules look at words `[^\\x20\\x09-\\x0D]+` of the whole text. The
 forest sees ratios of the same counts and of marks at words (never lengths of
 texts, so long and short documents are alike to it): trees split random features at random values,
-and a document that few splits set apart is anomalous. The threshold on the
-forest's score comes from labelled rows: it rejects as many of low quality as
+and a document that few splits set apart is anomalous. Every tree counts all
+good labelled rows. The threshold on the forest's score comes from all
+labelled rows: it rejects as many of low quality as
 it can, where a lost good row weighs GOOD_WEIGHT times a caught bad one.
 
 Defined results: a null text has no words and fails the base rules, as does
@@ -21,20 +22,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import STEP_BYTES, chunks, column, row_id, staged, word_parts
+from ..operators.ordering import placed
+from .common import STEP_BYTES, chunks, column, release, row_id, staged, word_parts
 
 WINDOW = 5
 
 #: Characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
 
-#: Labelled rows that train and calibrate the forest; beyond it a sample by hash is taken.
-MAX_LABELLED = 20_000
-
-#: GOOD_WEIGHT: how much a rejected share of the good rows weighs against a rejected share of the bad ones.
+#: SAMPLE: the rows that a tree's nodes are weighed against, all rows counting as so many. GOOD_WEIGHT: how much a rejected share of the good rows weighs against a rejected share of the bad ones.
 TREES, SAMPLE, GOOD_WEIGHT = 200, 256, 20.0
 
 #: Mean word lengths over LONG count as LONG.
@@ -145,37 +144,74 @@ class Forest:
         return 2.0 ** (-total / len(self.roots) / max(self.mean, 1e-9))
 
 
-def usual_path(n: float) -> float:
-    """Mean path length of an unsuccessful search in a tree of n items."""
-    return 0.0 if n <= 1 else 1.0 if n == 2 else 2 * (np.log(n - 1) + 0.5772156649015329) - 2 * (n - 1) / n
+def usual_path(n: np.ndarray | float) -> np.ndarray | float:
+    """Mean path length of an unsuccessful search in a tree of n items; n need not be whole."""
+    more = np.maximum(n, 2.0)
+    long = 2 * (np.log(more - 1) + 0.5772156649015329) - 2 * (more - 1) / more
+    return np.where(np.less_equal(n, 2), np.maximum(np.subtract(n, 1), 0.0), np.maximum(long, 1.0))
 
 
-def grow(x: np.ndarray, box: tuple[np.ndarray, np.ndarray], trees: int = TREES, sample: int = SAMPLE, seed: int = 0) -> Forest:
-    """Trees over samples of x. Splits are uniform over the node's part of the box, not over the sample's own range:
-    so a statistic that is the same in all of x still sets documents apart that lie elsewhere in the box."""
+def random_trees(box: tuple[np.ndarray, np.ndarray], depth: int, trees: int = TREES, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Feature and cut of all inner nodes of full trees, a row for each tree, the children of node i at 2i + 1 and 2i + 2.
+    Splits are uniform over the node's part of the box, so no row is needed to draw them: a statistic that is the same in
+    all rows still sets documents apart that lie elsewhere in the box."""
     rng = np.random.default_rng(seed)
-    nodes: list[list[float]] = []
-    sample = min(sample, len(x))
-    limit = int(np.ceil(np.log2(max(2, sample)))) + 4
-
-    def node(part: np.ndarray, low: np.ndarray, high: np.ndarray, depth: int) -> int:
-        wide = np.flatnonzero(high > low) if len(part) > 1 else ()
-        at = len(nodes)
-        nodes.append([])
-        if depth >= limit or not len(wide):
-            nodes[at] = [-1, depth + usual_path(len(part)), 0, 0]
-            return at
-        f = int(rng.choice(wide))
-        cut = rng.uniform(low[f], high[f])
-        left = part[:, f] < cut
-        up, down = high.copy(), low.copy()
-        up[f] = down[f] = cut
-        nodes[at] = [f, cut, node(part[left], low, up, depth + 1), node(part[~left], down, high, depth + 1)]
-        return at
-
-    roots = [node(x[rng.choice(len(x), sample, replace=False)], *box, 0) for _ in range(trees)]
-    a = np.array(nodes)
-    return Forest(a[:, 0].astype(int), a[:, 1], a[:, 2].astype(int), a[:, 3].astype(int), np.array(roots), usual_path(sample))
+    feature = rng.integers(len(box[0]), size=(trees, 2**depth - 1)).astype(np.int8)
+    share = rng.random(feature.shape)
+    cut = np.empty(feature.shape)
+    for t in range(trees):
+        low, high = box[0][None], box[1][None]
+        for d in range(depth):
+            at, nodes = slice(2**d - 1, 2 ** (d + 1) - 1), np.arange(2**d)
+            f = feature[t, at]
+            cut[t, at] = low[nodes, f] + share[t, at] * (high[nodes, f] - low[nodes, f])
+            low, high = low.repeat(2, 0), high.repeat(2, 0)
+            high[2 * nodes, f] = low[2 * nodes + 1, f] = cut[t, at]
+    return feature, cut
+
+
+def fallen(x: np.ndarray, feature: np.ndarray, cut: np.ndarray) -> np.ndarray:
+    """How many rows of x fall into each leaf of each of random_trees()."""
+    rows, inner = np.arange(len(x)), feature.shape[1]
+    out = np.zeros((len(feature), inner + 1), np.int64)
+    for t in range(len(feature)):
+        at = np.zeros(len(x), np.int64)
+        while len(at) and at[0] < inner:
+            at = 2 * at + 1 + (x[rows, feature[t, at]] >= cut[t, at])
+        out[t] = np.bincount(at - inner, minlength=inner + 1) if len(at) else 0
+    return out
+
+
+def usual_depth(n: int, sample: int = SAMPLE) -> int:
+    return int(np.ceil(np.log2(max(2, min(sample, n))))) + 4
+
+
+def pruned(feature: np.ndarray, cut: np.ndarray, leaves: np.ndarray, sample: int = SAMPLE) -> Forest:
+    """The isolation forest of random_trees() over all rows counted in leaves. A node of c among n rows weighs what it holds
+    of a sample in the mean, c * sample / n, and is split while that is over 1: no row is left out, and none is drawn."""
+    trees, inner = feature.shape
+    n = int(leaves[0].sum())
+    sample = min(sample, n)
+    size = np.concatenate([np.zeros((trees, inner), np.int64), leaves], 1)
+    for i in reversed(range(leaves.shape[1].bit_length() - 1)):
+        at = np.arange(2**i - 1, 2 ** (i + 1) - 1)
+        size[:, at] = size[:, 2 * at + 1] + size[:, 2 * at + 2]
+    split = size[:, :inner] * sample > n
+    there = np.ones(size.shape, bool)
+    there[:, 1::2] = there[:, 2::2] = split
+    number = there.ravel().cumsum().reshape(size.shape) - 1
+    depth = np.floor(np.log2(np.arange(1, size.shape[1] + 1)))
+    f, c = np.full(size.shape, -1), depth + usual_path(size * (sample / n))
+    low, high = np.zeros(size.shape, np.int64), np.zeros(size.shape, np.int64)
+    f[:, :inner][split], c[:, :inner][split] = feature[split], cut[split]
+    low[:, :inner][split], high[:, :inner][split] = number[:, 1::2][split], number[:, 2::2][split]
+    return Forest(f[there], c[there], low[there], high[there], number[:, 0].copy(), float(usual_path(sample)))
+
+
+def grow(x: np.ndarray, box: tuple[np.ndarray, np.ndarray], trees: int = TREES, sample: int = SAMPLE, seed: int = 0) -> Forest:
+    """A forest over all of x."""
+    feature, cut = random_trees(box, usual_depth(len(x), sample), trees, seed)
+    return pruned(feature, cut, fallen(x, feature, cut), sample)
 
 
 def calibrate(score: np.ndarray, bad: np.ndarray, weight: float = GOOD_WEIGHT) -> float:
@@ -193,21 +229,65 @@ def calibrate(score: np.ndarray, bad: np.ndarray, weight: float = GOOD_WEIGHT) -
     return float((s[at] + s[at + 1]) / 2) if at + 1 < len(s) else float(s[at])
 
 
-def fit(rows: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, doc_id: str = "doc_id", quality: str = "quality") -> tuple[Forest | None, float]:
-    """A forest grown on the good labelled rows that pass the base rules, and its threshold. rows as from measured()."""
+def calibrated(scores: DataFrame, weight: float = GOOD_WEIGHT) -> float:
+    """calibrate() over all rows of a table (score, bad), in ranges of the score; the driver gets a row for each range."""
+    per = scores.groupBy("score").agg(F.count_if("bad").alias("b"), F.count_if(~F.col("bad")).alias("g"))
+    ranges = placed(per, [F.desc("score")])
+    sums = sorted(tuple(r) for r in ranges.groupBy("__p").agg(F.sum("b"), F.sum("g"), F.max("score")).collect())
+    bad, good = sum(r[1] for r in sums), sum(r[2] for r in sums)
+    if not bad or not good:
+        release(ranges)
+        return float("inf")
+    before = [(p, sum(r[1] for r in sums[:i]), sum(r[2] for r in sums[:i]), sums[i + 1][3] if i + 1 < len(sums) else None) for i, (p, *_) in enumerate(sums)]
+    before = scores.sparkSession.createDataFrame(before, "__p int, b0 long, g0 long, after double")
+    order = Window.partitionBy("__p").orderBy(F.desc("score"))
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+    b, g = F.col("b0") + F.sum("b").over(so_far), F.col("g0") + F.sum("g").over(so_far)
+    gain = b.cast("double") / F.lit(float(bad)) - F.lit(float(weight)) * g.cast("double") / F.lit(float(good))
+    below = F.coalesce(F.lead("score").over(order), "after")
+    best = ranges.join(F.broadcast(before), "__p").select(gain.alias("gain"), "score", below.alias("below")).orderBy(F.desc("gain"), F.desc("score")).first()
+    release(ranges)
+    if best.gain <= 0:
+        return float("inf")
+    return best.score if best.below is None else (best.score + best.below) / 2
+
+
+def _features(batch: pa.RecordBatch) -> np.ndarray:
+    return np.array(column(batch, "features").to_pylist()).reshape(batch.num_rows, len(FEATURES))
+
+
+def fit(rows: DataFrame, labels: DataFrame, doc_id: str = "doc_id", quality: str = "quality") -> tuple[Forest | None, float]:
+    """A forest over all good labelled rows that pass the base rules, and its threshold from all labelled rows that do.
+    rows as from measured(). The driver gets one count for each leaf that any row falls into."""
     known = labels.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(quality).cast("int").alias("q")).dropna().groupBy("doc_id").agg(F.min("q").alias("q"))
-    n = known.count()
-    if n > max_labelled:
-        known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * max_labelled / n))
     # Of rows that repeat an id the one with the least features counts, so the forest is the same each time.
-    found = rows.filter(~base_failed()).select("doc_id", "features").join(known, "doc_id").groupBy("doc_id").agg(F.min("features").alias("features"), F.first("q").alias("q")).orderBy("doc_id").collect()
-    if not found:
-        return None, float("inf")
-    x, bad = np.array([r.features for r in found]), np.array([r.q == 0 for r in found])
-    if bad.all():
+    found = rows.filter(~base_failed()).select("doc_id", "features").join(known, "doc_id").groupBy("doc_id").agg(F.min("features").alias("features"), (F.first("q") == 0).alias("bad"))
+    found = staged(found, "labelled")
+    n = found.filter(~F.col("bad")).count()
+    if not n:
+        release(found)
         return None, float("inf")
-    forest = grow(x[~bad], FULL_BOX)
-    return forest, calibrate(forest.score(x), bad)
+    feature, cut = random_trees(FULL_BOX, usual_depth(n))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(feature), feature.shape[1] + 1), np.int64)
+        for batch in batches:
+            total += fallen(_features(batch), feature, cut)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total.ravel()[at])], ["leaf", "n"])
+
+    per_leaf = found.filter(~F.col("bad")).select("features").mapInArrow(counted, "leaf long, n long").groupBy("leaf").agg(F.sum("n").alias("n")).toArrow()
+    leaves = np.zeros((len(feature), feature.shape[1] + 1), np.int64)
+    leaves.ravel()[per_leaf["leaf"].to_numpy()] = per_leaf["n"].to_numpy()
+    forest = pruned(feature, cut, leaves)
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(forest.score(_features(batch))), column(batch, "bad")], ["score", "bad"])
+
+    threshold = calibrated(found.mapInArrow(scored, "score double, bad boolean"))
+    release(found)
+    return forest, threshold
 
 
 def base_failed():
@@ -239,7 +319,7 @@ def judge(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array(column(batch, "features").to_pylist()).reshape(batch.num_rows, len(FEATURES))
+            x = _features(batch)
             score = forest.score(x) if forest is not None and len(x) else np.zeros(len(x))
             failed = column(batch, "base_failed").to_numpy(zero_copy_only=False)
             kept = ~failed & (score < threshold)
